@@ -112,8 +112,8 @@ def _lambda(w):
 def _climb(merges: Merges, chunk: int) -> tuple[DataFrame, DataFrame]:
     """Sizes, segments and selections of all chains, lowest level first.
 
-    Returns nodes (lo, hi, level, comp, seg) and segments (level, comp, seg, size, stability, wins). A segment is the
-    stretch of a chain between two splits: one cluster of the condensed tree.
+    Returns nodes (lo, hi, level, comp, seg) and segments (level, comp, seg, pos, size, stability, wins). A segment is
+    the stretch of a chain between two splits: one cluster of the condensed tree, identified by its first position.
     """
     n_nodes = merges.nodes.count()
     single = n_nodes <= chunk
@@ -172,7 +172,7 @@ def _climb(merges: Merges, chunk: int) -> tuple[DataFrame, DataFrame]:
         wins = ~F.col("_root") & (own_inf | (~children_inf & (F.col("stability") >= children * (1 - TIE))))
         segs = checkpoint(
             segs.select(
-                F.lit(level).alias("level"), "comp", "seg", "size", "stability", "top_lo", "top_hi",
+                F.lit(level).alias("level"), "comp", "seg", "pos", "size", "stability", "top_lo", "top_hi",
                 wins.alias("wins"),
                 F.greatest(F.col("stability"), children).alias("_best"),
                 (own_inf | children_inf).cast("int").alias("_best_inf"),
@@ -196,29 +196,30 @@ def _climb(merges: Merges, chunk: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _descend(nodes: DataFrame, segments: DataFrame, levels: int) -> DataFrame:
-    """(lo, hi, win_level, win_comp, win_seg): the topmost selected cluster holding each merge (nulls: none)."""
-    chains = checkpoint(
-        segments.groupBy("level", "comp").agg(
-            F.first("top_lo").alias("lo"), F.first("top_hi").alias("hi"), F.max(F.when(F.col("wins"), F.col("seg"))).alias("own")
-        )
-        # where the chain hangs: the chain and the segment of that merge
-        .join(nodes.select("lo", "hi", F.col("level").alias("_l"), F.col("comp").alias("_c"), F.col("seg").alias("_s")), ["lo", "hi"], "left")
+    """(lo, hi, win): the topmost selected cluster holding each merge (null: none)."""
+    own = segments.groupBy("level", "comp").agg(
+        F.first("top_lo").alias("lo"),
+        F.first("top_hi").alias("hi"),
+        F.max(F.when(F.col("wins"), F.col("seg"))).alias("own_seg"),
+        F.max(F.when(F.col("wins"), F.col("pos"))).alias("own"),
     )
-    win = "struct<level:int,comp:bigint,seg:bigint>"
+    # where the chain hangs: the chain and the segment of that merge
+    hooks = nodes.select("lo", "hi", F.col("level").alias("h_level"), F.col("comp").alias("h_comp"), F.col("seg").alias("h_seg"))
+    chains = checkpoint(own.join(hooks, ["lo", "hi"], "left"))
     resolved = None
     for level in range(levels, 0, -1):
         here = chains.where(F.col("level") == level)
         if resolved is None:
-            step = here.select("level", "comp", "own", F.lit(None).cast(win).alias("outer"))
+            step = here.select("level", "comp", "own_seg", "own", F.lit(None).cast("long").alias("outer"))
         else:
-            above = resolved.select(F.col("level").alias("_l"), F.col("comp").alias("_c"), F.col("own").alias("_own"), F.col("outer").alias("_outer"))
-            local = F.when(F.col("_own") >= F.col("_s"), F.struct(F.col("_l").alias("level"), F.col("_c").alias("comp"), F.col("_own").alias("seg")))
-            step = here.join(above, ["_l", "_c"], "left").select("level", "comp", "own", F.coalesce("_outer", local).cast(win).alias("outer"))
-        step = checkpoint(step)
-        resolved = step if resolved is None else resolved.unionByName(step)
-    joined = nodes.join(resolved, ["level", "comp"])
-    local = F.when(F.col("own") >= F.col("seg"), F.struct(F.col("level"), F.col("comp"), F.col("own").alias("seg")))
-    return joined.select("lo", "hi", F.coalesce("outer", local.cast(win)).alias("win"))
+            above = resolved.select(
+                F.col("level").alias("h_level"), F.col("comp").alias("h_comp"), F.col("own_seg").alias("a_seg"), F.col("own").alias("a_own"), F.col("outer").alias("a_outer")
+            )
+            inside = F.coalesce("a_outer", F.when(F.col("a_seg") >= F.col("h_seg"), F.col("a_own")))
+            step = here.join(above, ["h_level", "h_comp"], "left").select("level", "comp", "own_seg", "own", inside.alias("outer"))
+        resolved = checkpoint(step if resolved is None else resolved.unionByName(step))
+    won = F.coalesce("outer", F.when(F.col("own_seg") >= F.col("seg"), F.col("own")))
+    return nodes.join(resolved, ["level", "comp"]).select("lo", "hi", won.alias("win"))
 
 
 def label_rounds(rounds: list[mst.Contraction], chunk: int = CHUNK_ROWS) -> DataFrame:

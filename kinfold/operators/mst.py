@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.vectors import matrix
 from kinfold.operators.neighbors import Cells, block_pairs, distances
-from kinfold.session import checkpoint
+from kinfold.session import checkpoint, checkpoint_counting
 
 EDGE = "lo long, hi long, w double"
 
@@ -49,42 +49,57 @@ def _reach(cells: Cells, core_max: np.ndarray) -> np.ndarray:
     return np.maximum(_bottleneck(between), np.maximum(step[:, None], step[None, :]))
 
 
-def _prim(d: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Spanning tree of a complete (square ``d``) or complete bipartite graph, as (row, column) pairs."""
-    rows, cols = d.shape
-    edges = []
-    if same:
-        best, via = d[0].copy(), np.zeros(rows, int)
-        best[0] = np.inf
-        todo = np.ones(rows, bool)
-        todo[0] = False
-        for _ in range(rows - 1):
-            v = int(best.argmin())
-            edges.append((int(via[v]), v))
-            todo[v], best[v] = False, np.inf
-            closer = todo & (d[v] < best)
-            best[closer], via[closer] = d[v][closer], v
-        return edges
-    # columns reachable from rows, rows reachable from columns
-    dt = np.ascontiguousarray(d.T)
-    col_best, col_via, col_todo = d[0].copy(), np.zeros(cols, int), np.ones(cols, bool)
-    row_best, row_via, row_todo = np.full(rows, np.inf), np.zeros(rows, int), np.ones(rows, bool)
-    row_todo[0] = False
-    for _ in range(rows + cols - 1):
-        c, r = int(col_best.argmin()), int(row_best.argmin())
-        if col_best[c] <= row_best[r]:
-            edges.append((int(col_via[c]), c))
-            col_todo[c], col_best[c] = False, np.inf
-            closer = row_todo & (dt[c] < row_best)
-            row_best[closer], row_via[closer] = dt[c][closer], c
+def _prim(d: np.ndarray, rows: np.ndarray, cols: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Spanning tree of a complete (square ``d``) or complete bipartite graph, as (row, column) index pairs.
+
+    Edges are ordered by (weight, smaller id, larger id), so equal weights give the same tree in every task.
+    """
+    n = len(rows)
+    ids = rows if same else np.concatenate([rows, cols])
+    # weights from a node to all nodes; nodes of the same side of a bipartite graph are never adjacent
+    dt = None if same else np.ascontiguousarray(d.T)
+
+    def update(v: int) -> None:
+        if same:
+            part, at = d[v], slice(0, n)
+        elif v < n:
+            part, at = d[v], slice(n, None)
         else:
-            edges.append((r, int(row_via[r])))
-            row_todo[r], row_best[r] = False, np.inf
-            closer = col_todo & (d[r] < col_best)
-            col_best[closer], col_via[closer] = d[r][closer], r
+            part, at = dt[v - n], slice(0, n)
+        b, w, t = best[at], via[at], todo[at]
+        closer = t & (part < b)
+        tied = np.flatnonzero(t & (part == b) & np.isfinite(b))
+        if len(tied):
+            mine, other = ids[v], ids[at][tied]
+            old = ids[w[tied]]
+            new_key = np.minimum(mine, other), np.maximum(mine, other)
+            old_key = np.minimum(old, other), np.maximum(old, other)
+            closer[tied] = (new_key[0] < old_key[0]) | ((new_key[0] == old_key[0]) & (new_key[1] < old_key[1]))
+        b[closer], w[closer] = part[closer], v
+
+    total = len(ids)
+    best, via, todo = np.full(total, np.inf), np.zeros(total, int), np.ones(total, bool)
+    todo[0] = False
+    update(0)
+    edges = []
+    for _ in range(total - 1):
+        v = int(best.argmin())
+        ties = np.flatnonzero(best == best[v])
+        if len(ties) > 1:
+            a, b = ids[ties], ids[via[ties]]
+            v = int(ties[np.lexsort((np.maximum(a, b), np.minimum(a, b)))[0]])
+        u = int(via[v])
+        edges.append((u, v) if same else (min(u, v), max(u, v) - n))
+        todo[v], best[v] = False, np.inf
+        update(v)
     return edges
 
 
+def _steady(d: np.ndarray) -> np.ndarray:
+    """Drop the last bits of the weights, so that distances equal up to rounding compare as equal."""
+    return ((d.view(np.int64) + 0x800) & ~0xFFF).view(np.float64)
+
+
 def candidate_edges(cells: Cells, cores: DataFrame | None = None) -> DataFrame:
     """(lo, hi, w): a sparse edge table holding a minimum spanning tree of the distinct points.
 
@@ -113,7 +128,7 @@ def candidate_edges(cells: Cells, cores: DataFrame | None = None) -> DataFrame:
             d = np.maximum(d, np.maximum(cl[:, None], cr[None, :]))
         if same:
             np.fill_diagonal(d, np.inf)
-        r, c = np.array(_prim(d, same)).T
+        r, c = np.array(_prim(_steady(d), left["id"].to_numpy(), right["id"].to_numpy(), same)).T
         # the chosen edges are measured from differences, the same way in every task
         w = np.sqrt(((x[r] - y[c]) ** 2).sum(axis=1))
         if extra:
@@ -152,21 +167,22 @@ def jump_to_roots(links: DataFrame) -> DataFrame:
     """(node, next, ...) to (node, root, ...): follow ``next`` until it points at itself, doubling each round."""
     rest = [c for c in links.columns if c not in ("node", "next")]
     current = checkpoint(links)
-    while True:
+    moved = 1
+    while moved:
         ahead = current.select(F.col("node").alias("next"), F.col("next").alias("_beyond"))
-        step = current.join(ahead, "next")
-        current = checkpoint(step.select("node", F.col("_beyond").alias("next"), (F.col("_beyond") != F.col("next")).alias("_moved"), *rest))
-        moved = current.where("_moved").limit(1).count()
-        current = current.select("node", "next", *rest)
-        if not moved:
-            return current.withColumnRenamed("next", "root")
+        step = current.join(ahead, "next").select("node", F.col("_beyond").alias("next"), F.col("next").alias("_was"), *rest)
+        step, moved = checkpoint_counting(step, F.col("next") != F.col("_was"))
+        current = step.drop("_was")
+    return current.withColumnRenamed("next", "root")
 
 
 def contract(edges: DataFrame) -> list[Contraction]:
     """Borůvka rounds over (lo, hi, w) until every component is closed. Ties are broken by (w, lo, hi)."""
-    current = checkpoint(edges.select(F.col("lo").alias("cu"), F.col("hi").alias("cv"), "w", "lo", "hi"))
+    current, left = checkpoint_counting(
+        edges.select(F.col("lo").alias("cu"), F.col("hi").alias("cv"), "w", "lo", "hi"), F.lit(True)
+    )
     rounds: list[Contraction] = []
-    while not current.isEmpty():
+    while left:
         ends = current.select(
             F.explode(F.array(F.struct(F.col("cu").alias("c"), F.col("cv").alias("o")), F.struct(F.col("cv").alias("c"), F.col("cu").alias("o")))).alias("e"),
             "w", "lo", "hi",
@@ -191,7 +207,7 @@ def contract(edges: DataFrame) -> list[Contraction]:
         lightest = moved.groupBy(F.least("ru", "rv").alias("cu"), F.greatest("ru", "rv").alias("cv")).agg(
             F.min(F.struct("w", "lo", "hi")).alias("b")
         )
-        current = checkpoint(lightest.select("cu", "cv", "b.w", "b.lo", "b.hi"))
+        current, left = checkpoint_counting(lightest.select("cu", "cv", "b.w", "b.lo", "b.hi"), F.lit(True))
     return rounds
 
 

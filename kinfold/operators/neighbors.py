@@ -137,28 +137,27 @@ def nearest(cells: Cells, k: int) -> DataFrame:
     bound = _bound_for_k(cells, k)
     reach = np.maximum(bound[:, None], bound[None, :])
 
-    def top(ids: np.ndarray, others: np.ndarray, d: np.ndarray) -> pd.DataFrame:
-        order = np.argsort(others, kind="stable")
-        d, others = d[:, order], others[order]
-        pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-        taken = np.take_along_axis(d, pick, axis=1)
-        keep = np.isfinite(taken).ravel()
-        return pd.DataFrame({
-            "id": np.repeat(ids, pick.shape[1])[keep],
-            "neighbor": others[pick].ravel()[keep],
-            "distance": taken.ravel()[keep],
-        })
+    def top(ids: np.ndarray, others: np.ndarray, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        width = min(k, d.shape[1])
+        # everything up to the k-th distance, with a margin for the fast form, then measured from differences
+        limit = np.partition(d, width - 1, axis=1)[:, width - 1] * (1 + 1e-9)
+        r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        exact = np.sqrt(((x[r] - y[c]) ** 2).sum(axis=1))
+        found = pd.DataFrame({"id": ids[r], "neighbor": others[c], "distance": exact})
+        found = found.sort_values(["id", "distance", "neighbor"])
+        return found[found.groupby("id").cumcount() < k]
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["block"] == pdf["lo"]], pdf[pdf["block"] == pdf["hi"]]
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "neighbor": [], "distance": []})
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        d = distances(matrix(left["vec"]), matrix(right["vec"]))
+        x, y = matrix(left["vec"]), matrix(right["vec"])
+        d = distances(x, y)
         if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
             np.fill_diagonal(d, np.inf)
-            return top(a, b, d)
-        return pd.concat([top(a, b, d), top(b, a, d.T)], ignore_index=True)
+            return top(a, b, x, y, d)
+        return pd.concat([top(a, b, x, y, d), top(b, a, y, x, d.T)], ignore_index=True)
 
     pairs = block_pairs(cells, reach).groupBy("lo", "hi")
     found = pairs.applyInPandas(local, "id long, neighbor long, distance double")

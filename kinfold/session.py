@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -52,10 +54,30 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def _no_inherited_constraints(spark: SparkSession):
+    """A checkpoint keeps the filter constraints of its plan; over many rounds they multiply and choke planning."""
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in reliable storage; survives the loss of any executor."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _no_inherited_constraints(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def checkpoint_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """Checkpoint ``df`` and count, in the same job, the rows meeting ``condition``."""
+    seen = Observation()
+    done = checkpoint(df.observe(seen, F.count_if(condition).alias("n")))
+    return done, int(seen.get["n"])
 
 
 def small_limit(spark: SparkSession) -> int:
