@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from contextlib import contextmanager
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -54,23 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-@contextmanager
-def _no_inherited_constraints(spark: SparkSession):
-    """A checkpoint keeps the filter constraints of its plan; over many rounds they multiply and choke planning."""
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in reliable storage; survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    with _no_inherited_constraints(df.sparkSession):
-        return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder and continue from there.
+
+    Survives the loss of any executor, cuts the lineage of iterative work, and, unlike a plain checkpoint, gives the
+    planner the true size of the intermediate result: the size estimates of a checkpoint multiply at every join, so
+    after some rounds nothing is broadcast any more and planning itself becomes slow.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpoint_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
