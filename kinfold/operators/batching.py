@@ -135,7 +135,7 @@ def stream_batches(
 
     # max_batch rows per SUPER_CHUNKS * chunk input rows: chaining them takes one small task
     supers = maps.groupBy("super").applyInPandas(compose, "super long, entry int, exit int, n long")
-    super_entry = supers.groupBy(F.lit(0)).applyInPandas(
+    super_entry = supers.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
         lambda pdf: walk(pdf, "super", 0, 0), "super long, entry_at int, first long"
     )
     entries = (
