@@ -9,13 +9,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.operators.ordering import with_position
+from kinfold.session import checkpoint
 
 SUPER_CHUNKS = 4096
 
 
-def length_buckets(df: DataFrame, bucket_size: int, order: list[str], length: str = "length") -> DataFrame:
-    """Buckets of ``bucket_size`` consecutive rows, each ordered by falling length (ties in file order)."""
-    placed = with_position(df, order, "_pos")
+def length_buckets(
+    df: DataFrame, bucket_size: int, order: str, length: str = "length", max_len: int | None = None
+) -> DataFrame:
+    """(order, length, bucket, rank_in_bucket): buckets of ``bucket_size`` consecutive rows, each by falling length.
+
+    With ``max_len``, empty rows and rows longer than it are left out before buckets are counted off.
+
+    ``order`` is a unique column giving the file order; it also breaks ties. Only it and the length are sorted, the
+    sequences stay where they are until they are joined to their batch.
+    """
+    slim = checkpoint(df.select(order, length))  # lengths come from cleaning whole texts: computed once
+    if max_len is not None:
+        slim = slim.where((F.col(length) > 0) & (F.col(length) <= max_len))
+    placed = with_position(slim, [order], "_pos")
     bucketed = placed.withColumn("bucket", F.floor(F.col("_pos") / bucket_size).cast("long"))
     w = W.partitionBy("bucket").orderBy(F.desc(length), "_pos")  # at most bucket_size rows each
     return bucketed.withColumn("rank_in_bucket", (F.row_number().over(w) - 1).cast("long")).drop("_pos")
@@ -88,8 +100,10 @@ def stream_batches(
     """
     _check(max_batch, max_residues)
     chunk = max(chunk, max_batch)
-    placed = with_position(df.select(F.col(id_col).alias("id"), F.col(length).cast("long").alias("length"), *[
-        F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]), [f"_o{i}" for i in range(len(order))])
+    keys = [f"_o{i}" for i in range(len(order))]
+    ordered = [F.col(c).alias(k) for c, k in zip(order, keys)]
+    slim = checkpoint(df.select(F.col(id_col).alias("id"), F.col(length).cast("long").alias("length"), *ordered))
+    placed = with_position(slim, keys)
     rows = placed.select("id", "length", "pos", F.floor(F.col("pos") / chunk).cast("long").alias("chunk"))
 
     # every stretch also sees the first rows of the next one, where its last batch may end

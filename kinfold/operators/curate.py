@@ -11,7 +11,8 @@ from kinfold.functions import sequences as S
 
 def clean_records(df: DataFrame, family: str = "esm", is_3di: bool = False, seq: str = "sequence") -> DataFrame:
     """Strip gaps and whitespace, mask rare residues, add the length."""
-    cleaned = df.withColumn(seq, S.mask_rare(S.clean(F.col(seq), is_3di), family))
+    fresh = S.mask_rare(S.clean(F.col(seq), True), family) if is_3di else S.clean_and_mask(F.col(seq), family)
+    cleaned = df.withColumn(seq, fresh)
     return cleaned.withColumn("length", S.n_residues(F.col(seq)))
 
 

@@ -27,10 +27,11 @@ from kinfold.functions.vectors import with_unit
 from kinfold.operators import mst
 from kinfold.operators.neighbors import BLOCK_ROWS, MAX_PIVOTS, build_cells, core_distances, distinct_points
 from kinfold.operators.ordering import CHUNK_ROWS, following, running, with_position
-from kinfold.session import checkpoint
+from kinfold.session import checkpoint, checkpoint_counting
 
 METRICS = ("euclidean", "cosine")
 NOISE = -1
+CUT_EVERY = 3  # levels planned together before their result is written
 TIE = 1e-12  # relative difference below which two stabilities count as equal (the parent wins a tie)
 
 
@@ -87,7 +88,9 @@ def merge_chains(rounds: list[mst.Contraction]) -> Merges:
     for r in rounds:
         if waiting is not None:
             up = r.choice.select("comp", F.col("root").alias("_up"), F.col("w").alias("p_w"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
-            met = checkpoint(waiting.join(up, "comp").withColumn("_found", heavier))
+            met = waiting.join(up, "comp").withColumn("_found", heavier)
+            if r.level % CUT_EVERY == 0:
+                met = checkpoint(met)
             found = met.where("_found").select(
                 *chosen, F.lit(r.level).alias("level"), "comp", F.col("p_lo").alias("top_lo"), F.col("p_hi").alias("top_hi"), F.col("p_w").alias("top_w")
             )
@@ -134,7 +137,6 @@ def _climb(merges: Merges, chunk: int) -> tuple[DataFrame, DataFrame]:
         here = running(here, chain, "pos", {"size": "_add", "seg": "_split"}, single_chunk=single, chunk=chunk)
         # what leaves the cluster at this merge: everything at a split, else the points that join here
         here = here.withColumn("_out", F.when(F.col("_split") == 1, F.col("size")).otherwise(F.col("_points")))
-        here = checkpoint(here)
         all_nodes.append(here.select("lo", "hi", "level", "comp", "seg"))
 
         lam = _lambda(F.col("w"))
@@ -192,32 +194,34 @@ def _climb(merges: Merges, chunk: int) -> tuple[DataFrame, DataFrame]:
         nodes = nodes.unionByName(extra)
     for extra in all_segments[1:]:
         segments = segments.unionByName(extra)
-    return nodes, segments
+    return checkpoint(nodes), segments
 
 
-def _descend(nodes: DataFrame, segments: DataFrame, levels: int) -> DataFrame:
+def _descend(nodes: DataFrame, segments: DataFrame) -> DataFrame:
     """(lo, hi, win): the topmost selected cluster holding each merge (null: none)."""
+    chain = F.struct("level", "comp")
     own = segments.groupBy("level", "comp").agg(
         F.first("top_lo").alias("lo"),
         F.first("top_hi").alias("hi"),
         F.max(F.when(F.col("wins"), F.col("seg"))).alias("own_seg"),
         F.max(F.when(F.col("wins"), F.col("pos"))).alias("own"),
     )
-    # where the chain hangs: the chain and the segment of that merge
-    hooks = nodes.select("lo", "hi", F.col("level").alias("h_level"), F.col("comp").alias("h_comp"), F.col("seg").alias("h_seg"))
-    chains = checkpoint(own.join(hooks, ["lo", "hi"], "left"))
-    resolved = None
-    for level in range(levels, 0, -1):
-        here = chains.where(F.col("level") == level)
-        if resolved is None:
-            step = here.select("level", "comp", "own_seg", "own", F.lit(None).cast("long").alias("outer"))
-        else:
-            above = resolved.select(
-                F.col("level").alias("h_level"), F.col("comp").alias("h_comp"), F.col("own_seg").alias("a_seg"), F.col("own").alias("a_own"), F.col("outer").alias("a_outer")
-            )
-            inside = F.coalesce("a_outer", F.when(F.col("a_seg") >= F.col("h_seg"), F.col("a_own")))
-            step = here.join(above, ["h_level", "h_comp"], "left").select("level", "comp", "own_seg", "own", inside.alias("outer"))
-        resolved = checkpoint(step if resolved is None else resolved.unionByName(step))
+    own = checkpoint(own.select(chain.alias("chain"), "lo", "hi", "own_seg", "own"))
+    # where a chain hangs: the chain above it, and what is selected there at or above that merge
+    hooks = nodes.select("lo", "hi", chain.alias("next"), "seg")
+    above = own.select(F.col("chain").alias("next"), F.col("own_seg").alias("_seg"), F.col("own").alias("_own"))
+    links = own.join(hooks, ["lo", "hi"]).join(above, "next").select("chain", "next", F.when(F.col("_seg") >= F.col("seg"), F.col("_own")).alias("win"))
+    roots = own.where(F.col("lo").isNull()).select("chain", F.lit(None).cast(links.schema["next"].dataType).alias("next"), F.lit(None).cast("long").alias("win"))
+    # follow the links upwards, several at a time; the selection nearest the root wins
+    current, open_ends = checkpoint_counting(links.unionByName(roots), F.col("next").isNotNull())
+    while open_ends:
+        step = current.withColumnsRenamed({"next": "_n0", "win": "_w0"})
+        for i in range(1, mst.HOPS):
+            hop = current.select(F.col("chain").alias(f"_n{i - 1}"), F.col("next").alias(f"_n{i}"), F.col("win").alias(f"_w{i}"))
+            step = step.join(hop, f"_n{i - 1}", "left")
+        best = F.coalesce(*[f"_w{i}" for i in range(mst.HOPS - 1, -1, -1)])
+        current, open_ends = checkpoint_counting(step.select("chain", F.col(f"_n{mst.HOPS - 1}").alias("next"), best.alias("win")), F.col("next").isNotNull())
+    resolved = own.join(current.select("chain", F.col("win").alias("outer")), "chain").select("chain.level", "chain.comp", "own_seg", "own", "outer")
     won = F.coalesce("outer", F.when(F.col("own_seg") >= F.col("seg"), F.col("own")))
     return nodes.join(resolved, ["level", "comp"]).select("lo", "hi", won.alias("win"))
 
@@ -226,7 +230,7 @@ def label_rounds(rounds: list[mst.Contraction], chunk: int = CHUNK_ROWS) -> Data
     """(id, label) from the contraction rounds; labels count up by the first id of a cluster, noise is -1."""
     merges = merge_chains(rounds)
     nodes, segments = _climb(merges, chunk)
-    topmost = _descend(nodes, segments, merges.levels)
+    topmost = _descend(nodes, segments)
     points = checkpoint(merges.points.join(topmost, ["lo", "hi"]).select("id", "win"))
     firsts = points.where(F.col("win").isNotNull()).groupBy("win").agg(F.min("id").alias("_first"))
     numbered = with_position(firsts, ["_first"], "_label").select("win", "_label")

@@ -19,6 +19,7 @@ from kinfold.operators.neighbors import Cells, block_pairs, distances
 from kinfold.session import checkpoint, checkpoint_counting
 
 EDGE = "lo long, hi long, w double"
+HOPS = 3  # links followed per round
 
 
 def _bottleneck(weights: np.ndarray) -> np.ndarray:
@@ -164,13 +165,18 @@ class Contraction:
 
 
 def jump_to_roots(links: DataFrame) -> DataFrame:
-    """(node, next, ...) to (node, root, ...): follow ``next`` until it points at itself, doubling each round."""
+    """(node, next, ...) to (node, root, ...): follow ``next`` until it points at itself.
+
+    Each round looks ahead several links at once, so a path of n links takes log(n) rounds.
+    """
     rest = [c for c in links.columns if c not in ("node", "next")]
     current = checkpoint(links)
     moved = 1
     while moved:
-        ahead = current.select(F.col("node").alias("next"), F.col("next").alias("_beyond"))
-        step = current.join(ahead, "next").select("node", F.col("_beyond").alias("next"), F.col("next").alias("_was"), *rest)
+        step = current.withColumnRenamed("next", "_0")
+        for i in range(HOPS):
+            step = step.join(current.select(F.col("node").alias(f"_{i}"), F.col("next").alias(f"_{i + 1}")), f"_{i}")
+        step = step.select("node", F.col(f"_{HOPS}").alias("next"), F.col(f"_{HOPS - 1}").alias("_was"), *rest)
         step, moved = checkpoint_counting(step, F.col("next") != F.col("_was"))
         current = step.drop("_was")
     return current.withColumnRenamed("next", "root")

@@ -470,7 +470,7 @@ BUCKETED = f"""p AS (SELECT doc_id, length({CLEANED}) AS len FROM documents),
 
 def _bucketed(spark, sf):
     d = curate.clean_records(table(spark, sf, "documents").select("doc_id", F.col("text").alias("sequence")))
-    return batching.length_buckets(curate.keep_embeddable(d, MAX_LEN), BUCKET, ["doc_id"])
+    return batching.length_buckets(d, BUCKET, "doc_id", max_len=MAX_LEN)
 
 
 @query("length_buckets", f"WITH {BUCKETED} SELECT doc_id, len::BIGINT AS length, bucket::BIGINT AS bucket, rn::BIGINT AS rank_in_bucket FROM s")
@@ -701,8 +701,8 @@ def train_history(spark, sf):
 )
 def embed_sequences(spark, sf):
     d = curate.clean_records(table(spark, sf, "documents").select("doc_id", F.col("text").alias("sequence")))
-    bucketed = batching.length_buckets(curate.keep_embeddable(d, MAX_LEN), 10000, ["doc_id"])
-    batches = batching.bucket_batches(bucketed, id_col="doc_id").join(bucketed.select("doc_id", "sequence"), "doc_id")
+    bucketed = batching.length_buckets(d, 10000, "doc_id", max_len=MAX_LEN)
+    batches = batching.bucket_batches(bucketed, id_col="doc_id").join(d.select("doc_id", "sequence"), "doc_id")
     out = embed.embed(batches.withColumnRenamed("doc_id", "key"), half_precision=False)
     return out.select(F.col("key").alias("doc_id"), F.posexplode("embedding").alias("dim", "value"), "length").withColumn("value", F.round("value", 6))
 
