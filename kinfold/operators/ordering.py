@@ -22,20 +22,20 @@ def with_position(df: DataFrame, keys: list, name: str = "pos", total: str | Non
     ``total`` optionally names a column holding the overall row count. The sorted rows are checkpointed, so the
     counting pass and the numbering pass see the same ranges whatever happens to an executor in between.
     """
-    tagged = df.sort(*keys).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_row"))
+    tagged = df.sort(*keys).select("*", F.spark_partition_id().alias("__range"), F.monotonically_increasing_id().alias("__row"))
     rows = checkpoint(tagged)
-    ranges = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    ranges = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
     # one row per shuffle range: a global window and a broadcast are both bounded by the partition count
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.orderBy("_range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    everything = W.orderBy("__range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = ranges.select(
-        "_range",
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-        F.sum("_n").over(everything).alias("_total"),
+        "__range",
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
+        F.sum("__n").over(everything).alias("__total"),
     )
-    out = rows.join(F.broadcast(offsets), "_range")
-    extra = [F.col("_total").alias(total)] if total else []
-    return out.select(*df.columns, (F.col("_row") + F.col("_shift")).alias(name), *extra)
+    out = rows.join(F.broadcast(offsets), "__range")
+    extra = [F.col("__total").alias(total)] if total else []
+    return out.select(*df.columns, (F.col("__row") + F.col("__shift")).alias(name), *extra)
 
 
 def _chunk(pos: str, chunk: int) -> Column:
