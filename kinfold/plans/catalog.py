@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from kinfold.functions import sequences as S
 from kinfold.functions import vectors as V
 from kinfold.operators import batching, curate, density, embed, expand, fragment, head, labels, losses, mst, neighbors, purity, sizes, train
 from kinfold.plans.bindings import EC_VIEW, annotations, lehmer, members, sequences, table, vectors
-from kinfold.session import shared_dir
+from kinfold.session import scratch_dir
 from kinfold.sources import fasta, store
 from kinfold.streaming import ingest as streaming
 
@@ -714,9 +715,7 @@ def embed_sequences(spark, sf):
 )
 def fasta_records(spark, sf):
     """Documents written as multi-line sequence files and read back in parallel splits."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/fasta-{uuid.uuid4().hex}"
     fasta.write_fasta(sequences(spark, sf), path)
     records = fasta.read_fasta(spark, path)
     cleaned = fasta.embedder_columns(records)
@@ -730,9 +729,7 @@ def fasta_records(spark, sf):
 @query("stream_ingest", "SELECT user_id AS key, min(event_id) AS pos, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def stream_ingest(spark, sf):
     """Events as an arriving stream, ingested once per user."""
-    import uuid
-
-    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/ingest-{uuid.uuid4().hex}"
     source = table(spark, sf, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     rows = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), "event_type")

@@ -54,6 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables, once no result built on them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and continue from there.
 
@@ -62,7 +73,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     after some rounds nothing is broadcast any more and planning itself becomes slow.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -72,13 +83,3 @@ def checkpoint_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, in
     seen = Observation()
     done = checkpoint(df.observe(seen, F.count_if(condition).alias("n")))
     return done, int(seen.get["n"])
-
-
-def small_limit(spark: SparkSession) -> int:
-    """Byte bound below which closing a table over a task is accepted (Spark's own broadcast bound)."""
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    text = str(raw).strip().lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    if text and text[-1] in units:
-        return int(float(text[:-1]) * units[text[-1]])
-    return int(text)

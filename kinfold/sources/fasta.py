@@ -7,15 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions import ids, sequences
+from kinfold.session import checkpoint
 
 RECORD_BREAK = "\n>"
 
 
 def _records(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """(src, _block, _row, text): record texts without their leading ``>``.
+    """(src, pos, text): record texts without their leading ``>``, numbered within their file.
 
-    The record break is the reader's line separator, so a file splits like any text file. The first row of a file is
-    a record only if the file starts with ``>``; anything before the first header is dropped.
+    The record break is the reader's line separator, so a file splits like any text file. A first pass counts the
+    records of each split; that table (one row per split, written so that its size is known and Spark can decide to
+    broadcast it) tells where a split starts. Records are not shuffled to be numbered. The first row of a file is a
+    record only if the file starts with ``>``; anything before the first header is dropped.
     """
     reader = spark.read.option("lineSep", RECORD_BREAK)
     if glob:
@@ -26,16 +29,21 @@ def _records(spark: SparkSession, paths: str | list[str], glob: str | None = Non
         F.monotonically_increasing_id().alias("_row"),
         "value",
     )
-    return _strip_first(raw)
-
-
-def _strip_first(raw: DataFrame) -> DataFrame:
-    # rows of a split are numbered consecutively; the first of them starts the file if the split does
-    starts = raw.where(F.col("_block") == 0).groupBy("src").agg(F.min("_row").alias("_start"))
-    marked = raw.join(starts, "src", "left").withColumn("_first", (F.col("_block") == 0) & (F.col("_row") == F.col("_start")))
-    kept = marked.where(~F.col("_first") | F.startswith("value", F.lit(">")))
-    text = F.when(F.col("_first"), F.expr("substr(value, 2)")).otherwise(F.col("value"))
-    return kept.select("src", "_block", "_row", text.alias("text"))
+    # rows of a split are numbered consecutively
+    splits = raw.groupBy("src", "_block").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_row").alias("_start"),
+        F.min_by(F.startswith("value", F.lit(">")), F.col("_row")).alias("_opens"),
+    )
+    splits = checkpoint(splits.withColumn("_lost", ((F.col("_block") == 0) & ~F.col("_opens")).cast("int")))
+    before = W.partitionBy("src").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.col("_n") - F.col("_lost")).over(before), F.lit(0))
+    layout = splits.select("src", "_block", "_start", "_lost", (offset - F.col("_start") - F.col("_lost")).alias("_shift"))
+    placed = raw.join(layout, ["src", "_block"])
+    first = (F.col("_block") == 0) & (F.col("_row") == F.col("_start"))
+    kept = placed.where(~(first & (F.col("_lost") == 1)))
+    text = F.when(first, F.expr("substr(value, 2)")).otherwise(F.col("value"))
+    return kept.select("src", (F.col("_row") + F.col("_shift")).alias("pos"), text.alias("text"))
 
 
 def _header(text: Column) -> Column:
@@ -46,24 +54,9 @@ def _body(text: Column) -> Column:
     return F.regexp_replace(text, r"\A[^\n]*\n?", "")
 
 
-def _positions(df: DataFrame) -> DataFrame:
-    """Add ``pos``: the record's number within its file.
-
-    Splits are counted in a pass of their own (one row per split) and give each split its offset; the records
-    themselves are not shuffled.
-    """
-    splits = df.groupBy("src", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_start"))
-    before = W.partitionBy("src").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start")
-    offsets = splits.select("src", "_block", shift.alias("_shift"))
-    # only a text before the first header is ever dropped, so the rows of a split stay consecutive
-    return df.join(offsets, ["src", "_block"]).withColumn("pos", F.col("_row") + F.col("_shift")).drop("_shift")
-
-
-def read_fasta(spark: SparkSession, paths: str | list[str], glob: str | None = None, with_pos: bool = True) -> DataFrame:
+def read_fasta(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """(src, pos, header, sequence): headers keep their ``>``, line ends are stripped, empty sequences stay."""
     df = _records(spark, paths, glob)
-    df = _positions(df) if with_pos else df.withColumn("pos", F.lit(None).cast("long"))
     space = f"[{ids.WHITESPACE}]"
     return df.select(
         "src",
