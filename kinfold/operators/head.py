@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.functions.vectors import TORCH_EPS, matrix
 
@@ -71,6 +71,21 @@ class Head:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), TORCH_EPS)
 
 
+def save_head(spark: SparkSession, head: Head, path: str) -> None:
+    """Write a head as a small table: one row per parameter."""
+    parts = {"dims": np.array(head.dims, float), **{f"p:{k}": v for k, v in head.params.items()}, **{f"r:{k}": v for k, v in head.running.items()}}
+    rows = [(k, list(v.shape), v.ravel().tolist()) for k, v in parts.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_head(spark: SparkSession, path: str) -> Head:
+    parts = {r.name: np.array(r.data).reshape(r.shape) for r in spark.read.parquet(path).collect()}  # as large as the model
+    head = Head([int(v) for v in parts.pop("dims")])
+    for name, value in parts.items():
+        (head.params if name.startswith("p:") else head.running)[name[2:]] = value
+    return head
+
+
 def project(df: DataFrame, head: Head, id_col: str = "id", vec: str = "embedding") -> DataFrame:
     """(id, embedding): vectors sent through the trained head, batch by Arrow batch; the head is shipped once."""
     shipped = df.sparkSession.sparkContext.broadcast(head)

@@ -580,9 +580,17 @@ def mutual_reachability_topk(spark, sf):
     return both.select("id", "neighbor", "rank", F.round(F.greatest("distance", "core", "other"), 6).alias("reach"))
 
 
-@query("mst_edges")
+# Prim's algorithm, one vertex per recursion step
+@query(
+    "mst_edges",
+    f"""WITH RECURSIVE {UNIT}, d AS MATERIALIZED (SELECT a.id AS id, b.id AS neighbor, list_distance(a.e, b.e) AS d FROM u a JOIN u b ON a.id <> b.id),
+    s AS (SELECT 0 AS step, neighbor AS v, d AS best, id AS via FROM d WHERE id = 0
+    UNION ALL SELECT x.step + 1, x.v, least(d.d, x.best), CASE WHEN d.d < x.best THEN x.pick ELSE x.via END
+    FROM (SELECT *, first_value(v) OVER (ORDER BY best, v) AS pick FROM s) x JOIN d ON d.id = x.pick AND d.neighbor = x.v WHERE x.v <> x.pick)
+    SELECT least(v, via) AS lo, greatest(v, via) AS hi, round(best, 6) AS w FROM s QUALIFY row_number() OVER (PARTITION BY step ORDER BY best, v) = 1""",
+)
 def mst_edges(spark, sf):
-    return mst.tree_edges(density.spanning_rounds(vectors(spark, sf))).select("lo", "hi", "w", "level")
+    return mst.tree_edges(density.spanning_rounds(vectors(spark, sf))).select("lo", "hi", F.round("w", 6).alias("w"))
 
 
 @query("hdbscan_clusters")
