@@ -17,19 +17,21 @@ falls out of the cluster it joins.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.functions.vectors import with_unit
+from kinfold.functions.vectors import norm, with_unit
 from kinfold.operators import mst
-from kinfold.operators.neighbors import BLOCK_ROWS, MAX_PIVOTS, build_cells, core_distances, distinct_points
+from kinfold.operators.neighbors import MAX_PIVOTS, build_cells, core_distances, distinct_points
 from kinfold.operators.ordering import CHUNK_ROWS, following, running, with_position
 from kinfold.session import checkpoint, checkpoint_counting
 
 METRICS = ("euclidean", "cosine")
+ORTHOGONAL = math.sqrt(2.0)  # distance of orthogonal unit vectors
 NOISE = -1
 CUT_EVERY = 3  # levels planned together before their result is written
 TIE = 1e-12  # relative difference below which two stabilities count as equal (the parent wins a tie)
@@ -42,7 +44,7 @@ def spanning_rounds(
     min_samples: int = 2,
     metric: str = "euclidean",
     normalize: bool = True,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     max_pivots: int = MAX_PIVOTS,
 ) -> list[mst.Contraction]:
     """Contraction rounds of the spanning tree of the rows (unique bigint ids)."""
@@ -54,18 +56,50 @@ def spanning_rounds(
     if normalize or metric == "cosine":
         rows = with_unit(rows, "vec")
     rows = checkpoint(rows)
-    if min_samples > rows.count():
+    n = rows.count()
+    if min_samples > n:
         raise ValueError("min_samples exceeds the number of rows")
+    zeros, n_zero = None, 0
+    if metric == "cosine":
+        is_zero = norm(F.col("vec")) == 0
+        zeros, rows = rows.where(is_zero).select("id"), rows.where(~is_zero)
+        n_zero = zeros.count()
     cells = build_cells(distinct_points(rows, "id", "vec"), block_rows, max_pivots)
     # up to 2 samples the core distance never exceeds the distance itself
-    cores = checkpoint(core_distances(cells, min_samples)) if min_samples > 2 else None
-    edges = mst.candidate_edges(cells, cores).unionByName(mst.copy_edges(rows, cells.points, cores))
+    cores = checkpoint(core_distances(cells, min_samples, n_zero, ORTHOGONAL)) if min_samples > 2 else None
+    edges = mst.copy_edges(rows, cells.points, cores)
+    if n_zero < n:
+        edges = edges.unionByName(mst.candidate_edges(cells, cores))
+    if n_zero:
+        edges = edges.unionByName(_zero_edges(zeros, rows, cores))
     if metric == "cosine":
         # on unit vectors 1 - cos = d^2 / 2, which keeps the order of the edges but not their weights
         edges = edges.withColumn("w", F.col("w") * F.col("w") / 2)
     return mst.contract(edges)
 
 
+def _zero_edges(zeros: DataFrame, rows: DataFrame, cores: DataFrame | None) -> DataFrame:
+    """Edges of zero vectors, which are as far from everything as orthogonal vectors are.
+
+    All edges of a zero vector weigh about the same, so two stars hold the tree edges: the first zero vector with every
+    row, and the first row of least weight with every zero vector (the order of equal edges is by ids).
+    """
+    lone = zeros.select("id", F.lit(ORTHOGONAL).alias("w"))
+    if cores is None:
+        far = rows.select("id", F.lit(ORTHOGONAL).alias("w"))
+    else:
+        # copies share the core of their carrier, on which they hang anyway
+        far = cores.select("id", F.greatest(F.lit(ORTHOGONAL), F.col("core")).alias("w"))
+    far = far.unionByName(lone)
+    first_zero = lone.agg(F.min(F.struct("w", "id")).alias("h")).scalar()
+    first_row = far.agg(F.min(F.struct("w", "id")).alias("h")).scalar()
+    ends = far.withColumn("h", first_zero["id"]).unionByName(
+        zeros.withColumn("_f", first_row).select("id", F.col("_f.w").alias("w"), F.col("_f.id").alias("h"))
+    )
+    ends = ends.where(F.col("id") != F.col("h"))
+    return ends.select(F.least("id", "h").alias("lo"), F.greatest("id", "h").alias("hi"), "w")
+
+
 @dataclass
 class Merges:
     """The merge tree in chain form.
@@ -244,13 +278,14 @@ def hdbscan(
     min_samples: int = 2,
     metric: str = "euclidean",
     normalize: bool = True,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     max_pivots: int = MAX_PIVOTS,
     chunk: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Cluster labels (``id_col``, label) of the rows of ``df``; -1 is noise.
 
-    Vectors are L2-normalised first unless ``normalize`` is off (zero vectors stay zero). ``id_col`` holds unique
+    Vectors are L2-normalised first unless ``normalize`` is off (zero vectors stay zero; for the cosine metric they are at
+    distance 1 from everything). ``id_col`` holds unique
     integers. ``min_samples`` counts the point itself.
     """
     rounds = spanning_rounds(df, id_col, vec, min_samples, metric, normalize, block_rows, max_pivots)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.vectors import matrix
 from kinfold.session import checkpoint
 
-BLOCK_ROWS = 1024
+MIN_BLOCK_ROWS, MAX_BLOCK_ROWS = 512, 2048
 MAX_PIVOTS = 2048
 SLACK = 1e-9
 
@@ -57,13 +57,18 @@ class Cells:
         return distances(self.pivots, self.pivots)
 
 
-def build_cells(points: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> Cells:
-    """Assign distinct points (id, vec, mult) to pivots and blocks."""
+def build_cells(points: DataFrame, block_rows: int | None = None, max_pivots: int = MAX_PIVOTS) -> Cells:
+    """Assign distinct points (id, vec, mult) to pivots and blocks.
+
+    A pair of blocks is one task; by default blocks grow with the table between a size that spreads small tables over
+    several tasks and one whose distance matrix is a few tens of megabytes.
+    """
     points = checkpoint(points)
     n = points.count()
     if n == 0:
         empty = points.withColumn("cell", F.lit(0)).withColumn("block", F.lit(0).cast("long"))
         return Cells(empty, np.empty((0, 0)), np.empty(0), np.empty(0, int), np.zeros(1, int))
+    block_rows = block_rows or max(MIN_BLOCK_ROWS, min(MAX_BLOCK_ROWS, n // 32))
     n_pivots = int(min(max_pivots, -(-n // block_rows)))
     # a bounded, repeatable sample: the pivots with the smallest id hashes
     sample = points.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vec").toPandas()
@@ -166,10 +171,11 @@ def nearest(cells: Cells, k: int) -> DataFrame:
     return best.where(F.col("_k") <= k).withColumnRenamed("_k", "rank")
 
 
-def core_distances(cells: Cells, min_samples: int) -> DataFrame:
+def core_distances(cells: Cells, min_samples: int, aside: int = 0, aside_distance: float = 0.0) -> DataFrame:
     """(id, core): distance to the ``min_samples``-th closest original row, counting the row itself.
 
-    Copies of a vector count as often as they occur; fewer rows than ``min_samples`` give an infinite core.
+    Copies of a vector count as often as they occur; fewer rows than ``min_samples`` give an infinite core. ``aside``
+    further rows, kept out of the cells, lie at ``aside_distance`` from every point.
     """
     mult = cells.points.select("id", "mult")
     if min_samples <= 1:
@@ -179,7 +185,10 @@ def core_distances(cells: Cells, min_samples: int) -> DataFrame:
     rows = near.select("id", "rank", "distance", "mult").unionByName(
         mult.select("id", F.lit(0).alias("rank"), F.lit(0.0).alias("distance"), "mult")
     )
-    have = F.sum("mult").over(W.partitionBy("id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
+    if aside:
+        others = mult.select("id", F.lit(min_samples).alias("rank"), F.lit(aside_distance).alias("distance"), F.lit(aside).cast("long").alias("mult"))
+        rows = rows.unionByName(others)
+    have = F.sum("mult").over(W.partitionBy("id").orderBy("distance", "rank").rowsBetween(W.unboundedPreceding, 0))
     reached = rows.withColumn("_have", have).groupBy("id").agg(
         F.min(F.when(F.col("_have") >= min_samples, F.col("distance"))).alias("core")
     )

@@ -29,7 +29,7 @@ def term_counts(members: DataFrame, annotations: DataFrame, keep_unannotated: bo
 
 
 def parent_candidates(terms: DataFrame, prefix_mode: str = "raw") -> DataFrame:
-    """(term, parents): for each distinct term, the parents of any term that are a prefix of it.
+    """(term, parents): for each distinct term, the parents of any term that are a prefix of it, its own one flagged.
 
     ``raw`` is the plain string prefix, so ``1.1.1`` also covers ``1.1.10.2``; ``dotted`` asks for whole components.
     Each term expands to its own prefixes, at most one per character, and an equi-join keeps those that exist.
@@ -44,7 +44,9 @@ def parent_candidates(terms: DataFrame, prefix_mode: str = "raw") -> DataFrame:
     if prefix_mode == "dotted":
         whole = (F.col("term") == F.col("parent")) | F.startswith("term", F.concat("parent", F.lit(".")))
         prefixes = prefixes.where(whole | (F.col("parent") == parent_term(F.col("term"))))
-    return prefixes.join(parents, "parent", "left_semi").groupBy("term").agg(F.collect_list("parent").alias("parents"))
+    known = prefixes.join(parents, "parent", "left_semi")
+    flagged = F.struct("parent", (F.col("parent") == parent_term(F.col("term"))).alias("own"))
+    return known.groupBy("term").agg(F.collect_list(flagged).alias("parents"))
 
 
 def purity_of_counts(counts: DataFrame, terms: DataFrame | None = None, prefix_mode: str = "raw") -> DataFrame:
@@ -55,23 +57,20 @@ def purity_of_counts(counts: DataFrame, terms: DataFrame | None = None, prefix_m
     domain (the annotations); by default it is read off the counts.
     """
     candidates = parent_candidates(counts if terms is None else terms, prefix_mode)
-    spread = counts.join(candidates, "term", "left").select(
-        "cluster", "n", "term", F.explode_outer("parents").alias("parent")
-    )
-    own_parent = parent_term(F.col("term"))
-    per_parent = spread.groupBy("cluster", "parent").agg(
+    spread = counts.join(candidates, "term", "left").select("cluster", "n", F.explode_outer("parents").alias("p"))
+    own = F.col("p.own")
+    per_parent = spread.groupBy("cluster", F.col("p.parent").alias("parent")).agg(
         F.sum("n").alias("covered"),
-        F.max((F.col("parent") == own_parent).cast("int")).alias("present"),
         # each term is counted once, on the row of its own parent
-        F.sum(F.when(F.col("parent") == own_parent, F.col("n"))).alias("own"),
-        F.max(F.when(F.col("parent") == own_parent, F.col("n"))).alias("top"),
-        F.count_if(F.col("parent") == own_parent).alias("terms"),
+        F.sum(F.when(own, F.col("n"))).alias("own"),
+        F.max(F.when(own, F.col("n"))).alias("top"),
+        F.count_if(own).alias("terms"),
     )
     per_cluster = per_parent.groupBy("cluster").agg(
         F.coalesce(F.sum("own"), F.lit(0)).cast("long").alias("n_occurrences"),
         F.sum("terms").cast("long").alias("n_terms"),
         F.max("top").alias("_top"),
-        F.max(F.when(F.col("present") == 1, F.col("covered"))).alias("_covered"),
+        F.max(F.when(F.col("terms") > 0, F.col("covered"))).alias("_covered"),
     )
     total = F.nullif(F.col("n_occurrences"), F.lit(0))
     return per_cluster.select(

@@ -553,8 +553,8 @@ UNIT = """u AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[],
 PAIRS = f"{UNIT}, d AS (SELECT a.id AS id, b.id AS neighbor, list_distance(a.e, b.e) AS d FROM u a JOIN u b ON a.id <> b.id)"
 
 
-def _cells(spark, sf, block_rows: int = 512):
-    return neighbors.build_cells(neighbors.distinct_points(V.with_unit(vectors(spark, sf))), block_rows)
+def _cells(spark, sf):
+    return neighbors.build_cells(neighbors.distinct_points(V.with_unit(vectors(spark, sf))))
 
 
 @query(

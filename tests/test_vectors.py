@@ -57,6 +57,17 @@ def test_against_brute_force(spark, seed, dim, min_samples, copies):
     assert got == brute.canonical(brute.hdbscan(x, min_samples))
 
 
+@pytest.mark.parametrize("min_samples", [2, 3])
+def test_cosine_zero_vectors(spark, min_samples):
+    """At distance 1 from everything; the rest are two tight bundles pointing in opposite directions."""
+    rng = np.random.default_rng(8)
+    half = rng.normal([1, 0, 0], 0.05, (8, 3))
+    x = np.concatenate([half, -half[:7] + rng.normal(0, 0.01, (7, 3)), np.zeros((2, 3))])
+    unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) == 0, 1, np.linalg.norm(x, axis=1, keepdims=True))
+    got = labels_of(spark, x, metric="cosine", min_samples=min_samples, block_rows=4)
+    assert got == brute.canonical(brute.hdbscan(unit, min_samples, "cosine"))
+
+
 def test_planted_blobs_and_permutation(spark):
     rng = np.random.default_rng(5)
     centres = np.linalg.qr(rng.normal(size=(8, 8)))[0][:3]
