@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.vectors import matrix
+from kinfold.session import checkpoint
 
 EPS = 1e-12
 PROXY_BLOCK = 4096
@@ -60,6 +61,7 @@ def proxy_anchor_loss(
     cut into blocks and batches into groups, so neither side has to fit into one task; each pair of blocks yields one
     row per batch.
     """
+    df, proxies = checkpoint(df.select("batch", "label", "vec")), checkpoint(proxies)
     stats = proxies.agg(F.max("class_idx").alias("k")).first()
     n_blocks = int((stats["k"] or 0) // proxy_block + 1)
     last = df.agg(F.max("batch").alias("b")).first()["b"]
