@@ -13,7 +13,7 @@ from kinfold.functions import sequences as S
 from kinfold.functions import vectors as V
 from kinfold.operators import batching, curate, density, embed, expand, fragment, head, labels, losses, mst, neighbors, purity, sizes, train
 from kinfold.plans.bindings import EC_VIEW, annotations, lehmer, members, sequences, table, vectors
-from kinfold.session import scratch_dir
+from kinfold.session import scratch_dir, ship_package
 from kinfold.sources import fasta, store
 from kinfold.streaming import ingest as streaming
 
@@ -24,7 +24,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
