@@ -348,7 +348,7 @@ def clean_sequences(spark, sf):
     c = S.clean(F.col("text"))
     d = table(spark, sf, "documents")
     return d.select(
-        "doc_id", F.md5(S.mask_rare(c, "t5")).alias("t5_md5"), F.md5(S.mask_rare(c, "esm")).alias("esm_md5"),
+        "doc_id", F.md5(S.clean_and_mask(F.col("text"), "t5")).alias("t5_md5"), F.md5(S.clean_and_mask(F.col("text"), "esm")).alias("esm_md5"),
         F.md5(S.clean(F.col("text"), is_3di=True)).alias("fold_md5"), S.n_residues(c).cast("long").alias("n_residues"),
         F.md5(F.concat(S.tokens(c), F.lit(" "))).alias("tokens_md5"),
     )
