@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import bpe, record_files, token_count, vocab
+from kinfold.llm import bottomk, bpe, line_windows, record_files, token_count, vocab
 from kinfold.llm.shared import new_folder
 from kinfold.session import ship_package
 
@@ -44,3 +44,17 @@ def op8_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_windows.remove_repeated(_table(spark, sf_dir, "documents"))
+    return done.select("row.doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLES["op5_line_windows"] = line_windows.sql()
+
+
+@query
+def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.edit_likeness(_table(spark, sf_dir, "documents"))
