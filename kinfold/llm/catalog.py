@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import bottomk, bpe, line_windows, record_files, token_count, vocab
+from kinfold.llm import bottomk, bpe, line_windows, minhash, record_files, token_count, vocab
 from kinfold.llm.shared import new_folder
 from kinfold.session import ship_package
 
@@ -46,6 +46,11 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.tiktoken"))
 
 
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_windows.remove_repeated(_table(spark, sf_dir, "documents"))
