@@ -12,6 +12,7 @@ leaves at most a file that nothing refers to.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from kinfold.llm.shared import file_system
 POLYNOMIAL = 0x82F63B78  # fixed value: CRC-32C, reflected
 MASK_DELTA = 0xA282EAD8  # fixed value: of the masked checksum
 BLOCK = 512  # bytes that one lane of the checksum takes
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 18
 FRAME = 16  # bytes of a record besides its payload
 
 
@@ -107,32 +108,49 @@ def payloads_of(records: list[bytes]) -> list[bytes]:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space: each distinct run of other characters goes to the library once."""
+    """Ids of texts by a tokenizer that folds case and drops white space: each distinct word goes to the library once.
+
+    Words end at white space. A word of letters alone before closing marks is coded apart from them, as the tokenizer itself
+    parts letters from marks, so the memo holds words rather than words with every mark that may follow.
+    """
+
+    MARKS = ".,;:!?"
 
     def __init__(self, spec: str, width: int) -> None:
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_str(spec)
-        self._batch = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
+        tokenizer = Tokenizer.from_str(spec)
+        self._batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         self._kind = f"<u{width}"
         self._words = regex.compile(r"\S+")
-        self._memo: dict[str, bytes] = {}
+        self._coded: dict[str, bytes] = {}
+        self._joined: dict[str, bytes] = {}
 
     def _split(self, text: str) -> list[str]:
+        if "\u03a3" not in text:  # the one letter that Python lower-cases by its neighbours
+            text = text.lower()
         # str.split also cuts at these four separators, which the tokenizer does not take for white space
         return self._words.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
+        if len(self._joined) > MEMO_WORDS:
+            self._joined.clear()
+        if len(self._coded) > 2 * MEMO_WORDS:
+            self._coded.clear()
         split = [self._split(t) for t in texts]
-        if len(self._memo) > MEMO_WORDS:
-            self._memo.clear()
-        fresh = list({w for words in split for w in words if w not in self._memo})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for word, coded in zip(part, self._batch(part, add_special_tokens=False)):
-                self._memo[word] = np.array(coded.ids, self._kind).tobytes()
-        return [b"".join(map(self._memo.__getitem__, words)) for words in split]
+        parts = {}
+        for word in {w for words in split for w in words}.difference(self._joined):
+            core = word.rstrip(self.MARKS)
+            parts[word] = (core, word[len(core) :]) if unicodedata.normalize("NFC", core.lower()).isalpha() else (word, "")
+        fresh = list({p for pair in parts.values() for p in pair if p}.difference(self._coded))
+        for at in range(0, len(fresh), 1024):
+            some = fresh[at : at + 1024]
+            for word, coded in zip(some, self._batch(some, add_special_tokens=False)):
+                self._coded[word] = np.array(coded.ids, self._kind).tobytes()
+        for word, (core, marks) in parts.items():
+            self._joined[word] = self._coded[core] + (self._coded[marks] if marks else b"")
+        return [b"".join(map(self._joined.__getitem__, words)) for words in split]
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
