@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import bottomk, bpe, decontaminate, line_windows, minhash, record_files, token_count, vocab
+from kinfold.llm import bottomk, bpe, decontaminate, line_windows, minhash, record_files, token_count, toxicity, vocab
 from kinfold.llm.shared import new_folder
 from kinfold.session import ship_package
 
@@ -68,3 +68,8 @@ def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
