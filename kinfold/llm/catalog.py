@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinfold.llm import bottomk, bpe, decontaminate, line_windows, minhash, record_files, token_count, toxicity, vocab
+from kinfold.llm import bottomk, bpe, decontaminate, line_windows, minhash, record_files, token_count, toxicity, vocab, warc
 from kinfold.llm.shared import new_folder
 from kinfold.session import ship_package
 
@@ -51,6 +52,14 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(warc.record_table(_table(spark, sf_dir, "pages")), new_folder(spark, "warc"))
+    last = warc.read_archives(archives, with_payload=False)
+    ids = [F.col(c).cast("bigint").alias(c) for c in ("page_id", "refers_to")]
+    return last.select(ids[0], "payload_bytes", F.col("digest_so_far").alias("payload_digest"), "record_type", ids[1])
+
+
 @query
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_windows.remove_repeated(_table(spark, sf_dir, "documents"))
