@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bottomk, bpe, decontaminate, line_windows, minhash, record_files, token_count, toxicity, vocab, warc
+from kinfold.llm import bottomk, bpe, decontaminate, line_windows, minhash, record_files, surrogates, token_count, toxicity, vocab, warc
 from kinfold.llm.shared import new_folder
 from kinfold.session import ship_package
 
@@ -60,6 +60,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(ids[0], "payload_bytes", F.col("digest_so_far").alias("payload_digest"), "record_type", ids[1])
 
 
+@query
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = surrogates.replace(_table(spark, sf_dir, "documents"), key="kinfold")
+    return done.select("row.doc_id", "n_entities", "text")
+
+
 @query
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_windows.remove_repeated(_table(spark, sf_dir, "documents"))
