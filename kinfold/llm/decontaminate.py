@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: ASCII white space and punctuation separate words.
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -284,29 +285,30 @@ def find_leaks(
     schema = f"id {kinds[0]}, item {kinds[1]}, edits int, similarity double, first_word bigint, end_word bigint"
     out = spark.createDataFrame([], schema)
     for block in _blocks(items, item_col, item_text_col, block_bytes):
-        names, shipped = [i for i, _ in block], spark.sparkContext.broadcast([t for _, t in block])
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, shipped=shipped) -> Iterator[pa.RecordBatch]:
-            finder = _finder(shipped, settings)
-            for batch in batches:
-                hits = finder.find(batch.column(1).to_pylist())
-                rows = [(d, *h) for d, one in enumerate(hits) for h in one]
-                length = [len(finder.items[finder.kept.index(r[1])]) for r in rows]
-                cols = [
-                    batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
-                    pa.array([names[r[1]] for r in rows], batch_item),
-                    pa.array([r[2] for r in rows], pa.int32()),
-                    pa.array([1 - r[2] / n for r, n in zip(rows, length)], pa.float64()),
-                    pa.array([r[3] for r in rows], pa.int64()),
-                    pa.array([r[4] for r in rows], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "item", "edits", "similarity", "first_word", "end_word"])
-
-        batch_item = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
-        out = out.union(source.mapInArrow(run, schema)) if block is not None else out
+        shipped = spark.sparkContext.broadcast([t for _, t in block])
+        out = out.union(source.mapInArrow(_leaks(shipped, [i for i, _ in block], to_arrow_type(items.schema[item_col].dataType), settings), schema))
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def _leaks(shipped, names: list, kind: pa.DataType, settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _finder(shipped, settings)
+        length = {finder.kept[k]: len(x) for k, x in enumerate(finder.items)}
+        for batch in batches:
+            rows = [(d, *hit) for d, hits in enumerate(finder.find(batch.column(1).to_pylist())) for hit in hits]
+            cols = [
+                batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
+                pa.array([names[r[1]] for r in rows], kind),
+                pa.array([r[2] for r in rows], pa.int32()),
+                pa.array([1 - r[2] / length[r[1]] for r in rows], pa.float64()),
+                pa.array([r[3] for r in rows], pa.int64()),
+                pa.array([r[4] for r in rows], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "item", "edits", "similarity", "first_word", "end_word"])
+
+    return run
+
+
 def without_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -318,13 +320,15 @@ def without_leaks(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds none of the items; null and empty texts stay."""
     for block in _blocks(items, item_col, item_text_col, block_bytes):
-        shipped = docs.sparkSession.sparkContext.broadcast([t for _, t in block])
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast([t for _, t in block]), settings)(F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shipped=shipped) -> Iterator[pd.Series]:
-            finder = _finder(shipped, settings)
-            for texts in batches:
-                yield pd.Series([not hits for hits in finder.find(texts.tolist())], dtype=bool)
 
-        docs = docs.where(clean(F.col(text_col)))
-    return docs
+def _clean(shipped, settings: Settings):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = _finder(shipped, settings)
+        for texts in batches:
+            yield pd.Series([not hits for hits in finder.find(texts.tolist())], dtype=bool)
+
+    return clean

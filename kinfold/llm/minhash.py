@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.shared import text_key
+from kinfold.llm.shared import packed, text_key
 from kinfold.session import checkpoint, checkpoint_counting
 
 UNIVERSE = 1 << 20
@@ -180,17 +180,9 @@ def _link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return labels
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """Per row: the id, ``n_shingles``, ``component_id`` (the least id reachable over confirmed links, its own included), ``kept``.
-
-    Two documents are linked when ``100 * intersection >= percent * union`` of their sets. A text of fewer than five words has its whole
-    sequence as only shingle; an empty or null text, or white space alone, has the empty set, is linked with nothing and kept.
-    Rows with equal sets are linked. Null ids take part, but are no component's id unless it has no other; such a row is kept only then.
-    Rows that share an id each get the component of their own text, and all with the component's id are kept.
-    Other columns are not read; an empty table gives an empty result.
-    """
+def groups(df: DataFrame, id_col: str, text_col: str, percent: int, bands: int, rows: int) -> DataFrame:
+    """Per row: ``id``, ``tid`` (digest of id and text), ``n_shingles``, ``root`` (names its component; null if it has no shingles) and ``least``,
+    the least id of the component."""
     marked = checkpoint(signatures(df, id_col, text_col, bands, rows))
     classes = marked.where("n_shingles > 0").groupBy("set").agg(
         F.min("id").alias("least"), F.min("tid").alias("tid"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")
@@ -201,13 +193,43 @@ def near_duplicates(
     shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
     turn = F.xxhash64("bucket", "set").alias("turn")
     members, n_members = checkpoint_counting(spread.join(shared, "bucket").select("bucket", "set", "tid", "n", turn, F.col("set").alias("root")), F.lit(True))
-    by_set = classes.select("set", F.col("least").alias("component_id"))
+    by_set = classes.select("set", F.col("set").alias("root"), "least")
     if n_members:
         named = df.select(text_key(id_col, text_col).alias("tid"), F.col(text_col).alias("text"))
         texts = checkpoint(named.join(members.select("tid").distinct(), "tid", "left_semi").dropDuplicates(["tid"]))
-        rooted = classes.select("set", "least").join(_link(members, texts, percent), F.col("set") == F.col("node"), "left")
+        rooted = classes.select("set", "least").join(_link(members, texts, percent).withColumnRenamed("node", "set"), "set", "left")
         rooted = rooted.select("set", "least", F.coalesce("root", "set").alias("root"))
-        by_set = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id")
-    out = marked.select("id", "n_shingles", "set").join(by_set, "set", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+        by_set = rooted.drop("least").join(rooted.groupBy("root").agg(F.min("least").alias("least")), "root")
+    return marked.select("id", "tid", "n_shingles", "set").join(by_set, "set", "left").drop("set")
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """Per row: the id, ``n_shingles``, ``component_id`` (the least id reachable over confirmed links, its own included), ``kept``.
+
+    Two documents are linked when ``100 * intersection >= percent * union`` of their sets. A text of fewer than five words has its whole
+    sequence as only shingle; an empty or null text, or white space alone, has the empty set, is linked with nothing and kept.
+    Rows with equal sets are linked. Null ids take part, but are no component's id unless it has no other; such a row is kept only then.
+    Rows that share an id each get the component of their own text, and all with the component's id are kept.
+    Other columns are not read; an empty table gives an empty result.
+    """
+    out = groups(df, id_col, text_col, percent, bands, rows)
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """One row of each group of linked documents, with all columns of ``df``: that of the least id (a null one only if there is no other), of rows
+    that share it that of the least digest of id and text, and of rows equal in both any one. Rows without words all stay.
+    """
+    found = groups(df, id_col, text_col, percent, bands, rows)
+    best = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid")).alias("best"))
+    keep = best.select("best.tid").union(found.where("n_shingles = 0").select("tid").distinct())
+    docs = df.select(packed(df).alias("row"), F.col(text_col).alias("text"), text_key(id_col, text_col).alias("tid"))
+    # rows without words are told apart by a number of their own
+    own = F.when(F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    kept = docs.withColumn("own", own).join(keep, "tid").groupBy("tid", "own").agg(F.first("row").alias("row"))
+    return kept.select("row.*")
