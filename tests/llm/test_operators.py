@@ -1,0 +1,460 @@
+"""Each operator against a brute-force version, on ordinary documents and on odd ones."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kinfold.llm import bottomk, bpe, decontaminate, line_windows, minhash, record_files, surrogates, token_count, toxicity, vocab, warc
+from kinfold.llm.shared import new_folder
+
+SF = "/root/testdata/sf0.001"
+LONG = " ".join(f"word{k * 7919 % 5003}" for k in range(60_000))
+ODD = [
+    (1, "the cat sat on the mat and ran away from the dog"),
+    (2, None),
+    (3, ""),
+    (4, " \n\t "),
+    (5, "two words"),
+    (6, "two words"),
+    (None, "the cat sat on the mat and ran away from the dog"),
+    (7, LONG),
+    (8, LONG + " end"),
+    (9, "Zeile eins\nZeile zwei\nZeile drei\nZeile vier\nZeile eins\nZeile zwei\nZeile drei"),
+    (10, "neu\nZeile eins\nZeile zwei\nZeile drei\nZeile vier\nalt"),
+    (11, "a\na\na\na\na"),
+    (12, "\n\n\n\n\n"),
+    (13, "<|endoftext|> and <|startoftext|>. 日本 ß \x1c x"),
+    (13, "another text with the same id as the one before it"),
+    (14, "repeated row of five words and more"),
+    (14, "repeated row of five words and more"),
+]
+#: Names that the operators use themselves.
+EXTRA = ["id", "row", "a", "b", "key", "tid", "set", "at", "lines", "stretch", "guest", "words", "y", "n_tokens", "file", "body"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, *[f"x{k}" for k in range(len(EXTRA))]) for i, t in ODD]
+    schema = "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in EXTRA)
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.where("doc_id < 0")
+
+
+def texts(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: tuple((x is not None, str(type(x)), x) for x in r))
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "none"])
+def test_token_counts(request, table):
+    from tokenizers import Tokenizer
+
+    df = request.getfixturevalue(table)
+    library = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
+    got = token_count.token_counts(df, vocab.path("byte_bpe_50k.json"), limit=100)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 100) for i, t in texts(df)]
+    assert ordered(map(tuple, got.collect())) == ordered(want)
+
+
+def test_whole_tokens_are_proved():
+    whole, ranks, added = token_count.proven(vocab.path("byte_bpe_50k.json"))
+    letters = vocab.byte_letters()
+    assert 40_000 < len(whole) < 50_257 and added == ("<|endoftext|>",)
+    for word in random.Random(1).sample(sorted(whole), 300):
+        assert len(token_count.merged([letters[b] for b in word.encode()], ranks)) == 1
+    for n in (70, 300):
+        symbols = list("abanonthe" * n)
+        assert token_count.merged_long(symbols, ranks) == len(token_count.merged(symbols, ranks))
+
+
+@pytest.fixture(scope="module")
+def tiktoken_encoding():
+    import tiktoken
+
+    ranks = {t: i for i, t in enumerate(vocab.read_ranks(vocab.path("byte_bpe_50k.tiktoken")))}
+    return tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "none"])
+def test_bpe(request, table, tiktoken_encoding):
+    df = request.getfixturevalue(table)
+    got = bpe.encode_documents(df, vocab.path("byte_bpe_50k.tiktoken"), with_ids=True)
+    want = []
+    for i, t in texts(df):
+        ids = tiktoken_encoding.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), ids))
+    assert ordered(map(tuple, got.collect())) == ordered(want)
+
+
+@pytest.mark.parametrize("ranks", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_bpe_on_random_strings(ranks):
+    import tiktoken
+
+    tokens = vocab.read_ranks(vocab.path(ranks))
+    codec = bpe.Codec(tokens)
+    library = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    rng = random.Random(2)
+    for _ in range(2000):
+        text = "".join(rng.choice("aAbehistnoß日🙂é \n\t'12.,!") for _ in range(rng.randint(0, 90)))
+        assert codec.encode(text) == library.encode_ordinary(text)
+        assert codec.decode(codec.encode(text)) == text.encode()
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "none"])
+def test_record_files(spark, request, table):
+    from tokenizers import Tokenizer
+
+    df = request.getfixturevalue(table)
+    library = Tokenizer.from_file(vocab.path("word_bpe_49k.json"))
+    index = record_files.write_records(df, vocab.path("word_bpe_49k.json"), new_folder(spark, "t"), end_id=2)
+    got = record_files.with_starts(record_files.digests(record_files.read_records(index))).orderBy("start").collect()
+    want = sorted(((i is not None, i, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in texts(df)), key=lambda r: r[:2])
+    assert [r.doc_id for r in got] == [i for _, i, _ in want]
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert ordered((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == ordered((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for _, i, x in want)
+
+
+def test_records_at_random_and_damaged(spark, docs):
+    folder = new_folder(spark, "t")
+    index = record_files.write_records(docs, vocab.path("word_bpe_49k.json"), folder, end_id=2)
+    some = record_files.read_index(spark, folder).where("id % 7 = 3").orderBy(F.rand(5))
+    assert record_files.read_records(some).count() == docs.where("doc_id % 7 = 3").count() > 0
+    row = index.orderBy("length").first()
+    with open(row.file.removeprefix("file:"), "r+b") as f:
+        f.seek(row.offset + 13)
+        byte = f.read(1)
+        f.seek(row.offset + 13)
+        f.write(bytes([byte[0] ^ 1]))
+    with pytest.raises(Exception, match="checksum is wrong"):
+        record_files.read_records(index).count()
+
+
+def test_checksum():
+    assert record_files.crc32c([b"123456789", b"", b"abc"]).tolist() == [0xE3069283, 0, 0x364B3FB7]  # known values
+    data = random.Random(3).randbytes(3000)
+    assert len({int(record_files.crc32c([data[:n]])[0]) for n in range(500, 530)}) == 30
+    assert record_files.crc32c([data[:n] for n in (511, 512, 513, 2000)]).tolist() == [int(record_files.crc32c([data[:n]])[0]) for n in (511, 512, 513, 2000)]
+
+
+def shingles(text, size=5):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return frozenset(zip(*[words[k:] for k in range(size)])) if len(words) >= size else frozenset([tuple(words)] if words else [])
+
+
+def components(rows, percent):
+    """Least id of each row's component, over all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    of = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both and 100 * both >= percent * len(sets[x] | sets[y]):
+                a, b = of[x], of[y]
+                of = [b if c == a else c for c in of]
+    ids = defaultdict(list)
+    for c, (i, _) in zip(of, rows):
+        ids[c].append(i)
+    return sets, of, [min((i for i in ids[c] if i is not None), default=None) for c in of]
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "none"])
+def test_near_duplicates(request, table):
+    df = request.getfixturevalue(table)
+    rows = texts(df)
+    sets, _, least = components(rows, 85)
+    want = [(i, len(s), c, i == c) for (i, _), s, c in zip(rows, sets, least)]
+    assert ordered(map(tuple, minhash.near_duplicates(df).collect())) == ordered(want)
+
+
+def chain(n, step, length=100):
+    """Texts of which neighbours share most words and those far apart few."""
+    return [(k, " ".join(f"w{k * step + j}" for j in range(length))) for k in range(n)]
+
+
+def test_near_duplicates_over_chains_and_stars(spark):
+    rng = random.Random(4)
+    base = [f"b{j}" for j in range(200)]
+    star = []
+    for k in range(120):  # copies that differ from each other by more than they differ from the base
+        words = list(base)
+        for p in rng.sample(range(200), 2):
+            words[p] = f"c{k}_{p}"
+        star.append((1000 + k, " ".join(words)))
+    rows = chain(40, 3) + star + [(5000 + k, t) for k, t in chain(12, 30)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    sets, _, least = components(rows, 85)
+    assert ordered(map(tuple, minhash.near_duplicates(df).collect())) == ordered((i, len(s), c, i == c) for (i, _), s, c in zip(rows, sets, least))
+
+
+def test_one_of_each_group_stays(odd):
+    kept = minhash.without_near_duplicates(odd)
+    assert kept.columns == odd.columns
+    rows = texts(odd)
+    sets, of, _ = components(rows, 80)
+    got = texts(kept)
+    assert sum(1 for _, t in got if not shingles(t)) == sum(not s for s in sets)
+    assert ordered((i,) for i, t in got if shingles(t)) == ordered((min((i for i, c in zip((r[0] for r in rows), of) if c == one and i is not None), default=None),) for one in {c for c, s in zip(of, sets) if s})
+
+
+def test_circulant_signature_estimates_similarity():
+    maker = minhash.Circulant(64, 4)
+    words = [f"w{k}".encode() for k in range(1200)]
+    a, b = minhash.shingle_hashes(words[:1000]), minhash.shingle_hashes(words[100:1100])
+    true = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+    assert abs((maker.signature(a) == maker.signature(b)).mean() - true) < 0.09
+
+
+def brute_lines(rows, size=3):
+    """Line dedup by a scan in order of id."""
+    seen, out = set(), []
+    for i, t in rows:
+        lines = [] if t is None else t.split("\n")
+        gone = set()
+        for p in range(len(lines) - size + 1):
+            window = tuple(lines[p : p + size])
+            if "".join(window).strip(" "):
+                if window in seen:
+                    gone |= set(range(p, p + size))
+                seen.add(window)
+        out.append((i, len(lines), len(gone), t if t is None else "\n".join(x for p, x in enumerate(lines) if p not in gone)))
+    return out
+
+
+def test_line_windows(docs, odd, none):
+    for df in (docs, odd.where("doc_id not in (13, 14)"), none):
+        done = line_windows.remove_repeated(df)
+        rows = sorted(texts(df))
+        assert ordered(map(tuple, done.select("row.doc_id", "n_lines", "n_removed", "text").collect())) == ordered(brute_lines(rows))
+    assert line_windows.remove_repeated(odd).select("row.*").columns == odd.columns
+    twice = line_windows.remove_repeated(odd.union(odd)).select("row.doc_id", "text")
+    once = line_windows.remove_repeated(odd).select("row.doc_id", "text")
+    assert ordered(map(tuple, twice.collect())) == ordered([tuple(r) for r in once.collect()] * 2)
+
+
+def test_each_removed_line_stays_somewhere(docs):
+    done = line_windows.remove_repeated(docs).select("row.text", F.col("text").alias("new")).collect()
+    assert {x for r in done for x in r.text.split("\n")} == {x for r in done for x in r.new.split("\n")} - ({""} - {x for r in done for x in r.text.split("\n")})
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+@pytest.mark.parametrize("table", ["docs", "odd", "none"])
+def test_edit_likeness(request, table, ranges):
+    df = request.getfixturevalue(table)
+    if table == "odd":
+        df = df.where("doc_id != 13 or text not like 'another%'")
+    rows = [(i, t or "") for i, t in sorted(texts(df), key=lambda r: (r[0] is not None, r[0]))]
+    got = bottomk.edit_likeness(df, ranges=ranges).collect()
+    want = []
+    for k, (i, t) in enumerate(rows):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + rows[(k + 1) % len(rows)][1][:q]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert ordered((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == ordered(want)
+    exact = defaultdict(list)  # rows that repeat an id have a value each
+    for k, (i, t) in enumerate(rows):
+        nxt, q = rows[(k + 1) % len(rows)][1], len(t) // 4
+        a, b, c = shingles(t), shingles(t[: len(t) - q] + nxt[:q]), shingles(nxt)
+        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        exact[i, len(t)].append((like(a, b), like(a, c)))
+    for r in got:
+        assert any(abs(r.near_edited - x) < 0.2 and abs(r.near_next - y) < 0.2 for x, y in exact[r.doc_id, r.n_chars])
+
+
+def test_sketches_merge_and_estimate(spark):
+    rng = random.Random(6)
+    a = [f"a{rng.randrange(10**9)}" for _ in range(3000)]
+    rows = [(" ".join(a[:2000]), " ".join(a[1500:]), " ".join(a))]
+    s = lambda c: bottomk.sketch(bottomk.words(F.col(c)))
+    df = spark.createDataFrame(rows, "x string, y string, both string").select(s("x").alias("x"), s("y").alias("y"), s("both").alias("both"))
+    r = df.select(
+        (bottomk.merge(F.col("x"), F.col("y")) == F.col("both")).alias("same"),
+        bottomk.resemblance(F.col("x"), F.col("y")).alias("like"),
+        bottomk.containment(F.col("x"), F.col("both")).alias("inside"),
+        bottomk.containment(F.col("both"), F.col("x")).alias("part"),
+        bottomk.distinct_shingles(F.col("both")).alias("n"),
+    ).first()
+    assert r.same and r.inside == 1.0 and abs(r.like - 496 / 2996) < 0.12 and abs(r.part - 2 / 3) < 0.15 and abs(r.n - 2996) < 1000
+
+
+def semi_global(item, text):
+    before = [0] * (len(text) + 1)
+    for i in range(1, len(item) + 1):
+        row = [i]
+        for j in range(1, len(text) + 1):
+            row.append(min(before[j - 1] + (item[i - 1] != text[j - 1]), before[j] + 1, row[-1] + 1))
+        before = row
+    return min(before)
+
+
+def test_edit_distance_is_exact():
+    rng = random.Random(7)
+    for _ in range(1500):
+        item = [rng.randint(1, 4) for _ in range(rng.randint(1, 70))]
+        text = [rng.randint(0, 4) for _ in range(rng.randint(0, 80))]
+        assert decontaminate.best_match(np.array(item), np.array(text, np.int64))[0] == semi_global(item, text)
+
+
+def test_leaks(spark, docs):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    wanted = [(r.item_id, decontaminate.words_of(r.text)) for r in items.collect()]
+    want = set()
+    for i, t in texts(docs):
+        words = decontaminate.words_of(t)
+        for item, x in wanted:
+            if len(set(words) & set(x)) >= 0.8 * len(set(x)) - 0.2 * len(x) and 1 - semi_global(x, words) / len(x) >= 0.8:
+                want.add((i, item))
+    got = decontaminate.find_leaks(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 0
+    left = decontaminate.without_leaks(docs, items)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, _ in texts(docs)} - {i for i, _ in want}
+    blocks = decontaminate.find_leaks(docs, items, block_bytes=2000)
+    assert ordered(map(tuple, blocks.collect())) == ordered(map(tuple, got))
+
+
+def test_leaks_reach_their_recall():
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(400)] + ["the", "of", "and", "to"] * 60
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(10, 80))] for _ in range(150)]
+    finder = decontaminate.Finder([" ".join(x) for x in items], decontaminate.Settings())
+    found = 0
+    for k, item in enumerate(items):
+        words = list(item)
+        for _ in range(int(0.2 * len(item) + 1e-9)):
+            p = rng.randrange(len(words))
+            kind = rng.randrange(3)
+            words[p : p + (kind != 2)] = [] if kind == 1 else [f"z{rng.randrange(999)}"]
+        around = [rng.choice(vocabulary) for _ in range(60)]
+        found += any(hit[0] == k for hit in finder.find([" ".join(around[:30] + words + around[30:])])[0])
+    assert found >= 0.95 * len(items)
+
+
+def test_leaks_of_odd_tables(spark, odd, none):
+    rows = [(1, "Cat sat on the mat, and ran away from"), (1, "Cat sat on the mat, and ran away from"), (2, None), (3, "two words"), (None, " ".join(LONG.split()[-90:]))]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    got = decontaminate.find_leaks(odd, items)
+    assert ordered((r.doc_id, r.item_id, r.edits) for r in got.collect()) == ordered([(1, 1, 0), (None, 1, 0), (7, None, 0), (8, None, 0)])
+    assert decontaminate.find_leaks(none, items).count() == 0 == decontaminate.find_leaks(odd, items.where("item_id < 0")).count()
+    assert decontaminate.without_leaks(odd, items).count() == odd.count() - 4 and decontaminate.without_leaks(odd, items.limit(0)).count() == odd.count()
+
+
+def test_warc(spark):
+    big = "".join(random.Random(9).choice("abcdefgh <>") for _ in range(300_000))
+    rows = [(5, "http://x/a b", "é" * 60), (3, "http://x", "é" * 60), (9, None, "é" * 60), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u\r\nv", ""), (7, "u", big), (8, "u", big), (None, "u", big), (10, "u", "x\r\n\r\nWARC/1.1\r\n\r\n" * 9)]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, digest string").repartition(3)
+    first = {}
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        first.setdefault(h or "", i)
+    want = []
+    for i, _, h in rows:
+        data = (h or "").encode()
+        to = first[h or ""] if len(data) >= 100 and first[h or ""] != i else None
+        want.append((i, len(data), hashlib.sha256(data).hexdigest(), "response" if to is None else "revisit", to))
+    for chunk in (1 << 20, 1000):
+        archives = warc.write_archives(warc.record_table(pages, chunk=chunk), new_folder(spark, "warc"))
+        assert archives.agg(F.sum("records")).first()[0] == len(rows)
+        table = warc.read_archives(archives, chunk=chunk)
+        last = table.where("last").select(F.col("page_id").cast("bigint"), "payload_bytes", "digest_so_far", "record_type", F.col("refers_to").cast("bigint"))
+        assert ordered(map(tuple, last.collect())) == ordered(want)
+        whole = defaultdict(list)
+        for r in table.where("record_type = 'response'").collect():
+            assert len(r.chunk) <= chunk
+            whole[r.page_id].append((r.chunk_no, bytes(r.chunk)))
+        stored = {str(i) if i is not None else None: (h or "").encode() for (i, _, h), w in zip(rows, want) if w[3] == "response"}
+        assert {p: b"".join(c for _, c in sorted(x)) for p, x in whole.items()} == stored
+    empty = warc.write_archives(warc.record_table(pages.where("page_id < 0")), new_folder(spark, "warc"))
+    assert warc.read_archives(empty).count() == 0
+
+
+def test_surrogates(spark, odd, none):
+    text = "Maria Lopez met Mr. Smith. LOPEZ and Smith wrote to Ana.Be_1@mail.example.com, ana.be_1@mail.example.com; card 4111 1111 1111 1111, 4111111111111111, +1 (829) 555-6996 from 10.1.2.3 token = \"0a1b2c3d4e5f\"; Иван Петров, Петров"
+    rows = [(1, text), (2, "again Maria Lopez, 4111-1111-1111-1111 and Peter Lopez"), (3, None), (4, ""), (5, "nothing here, at all 12 or 2024-05-06")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    new = {r.doc_id: r for r in surrogates.replace(df, "k").select("row.doc_id", "n_entities", "text").collect()}
+    assert (new[3].text, new[4].text, new[5].text) == (None, "", rows[4][1]) and new[5].n_entities == 0
+    for old in ("Lopez", "LOPEZ", "Smith", "ana.be_1", "Ana.Be_1", "4111 1111", "555-6996", "10.1.2.3", "0a1b2c3d4e5f", "Петров"):
+        assert old not in new[1].text and old not in new[2].text
+    given, surname = re.match(r"(\w+) (\w+) met Mr\. (\w+)\. (\w+) and (\w+)", new[1].text).group(1, 2)
+    assert surrogates.GIVEN[given.lower()] == ("latin", "f") and f"{surname.upper()} and" in new[1].text and f"{given} {surname}," in new[2].text
+    assert re.search(rf"and \w+ {surname}$", new[2].text)
+    card = re.search(r"card (\d{4} \d{4} \d{4} \d{4}), (\d{16}),", new[1].text)
+    assert card[1].replace(" ", "") == card[2] and surrogates.luhn(card[2]) and card[2] == re.search(r"[\d-]{19}", new[2].text)[0].replace("-", "")
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} from 10\.1\.\d+\.\d+ token = \"[0-9a-f]{12}\"", new[1].text)
+    assert re.search("[а-я]", new[1].text)
+    assert surrogates.replace(none, "k").count() == 0 and surrogates.replace(odd, "k").select("row.*").columns == odd.columns
+    assert ordered((r.row.doc_id, r.text) for r in surrogates.replace(odd, "k").collect()) == ordered(ODD)
+
+
+def test_surrogates_stay_distinct(spark):
+    # all but one of the one-letter addresses of a domain: first draws must collide
+    rows = [("email", f"{c}@x.example") for c in "abcdefghijklmnopqrstuvwxy"] + [("ip", f"10.0.0.{k}") for k in range(200)] + [("given", "anna"), ("given", "maria")]
+    got = surrogates.assign(spark.createDataFrame(rows, "kind string, entity string"), b"key").collect()
+    assert len(got) == len({(r.kind, r.new) for r in got}) == len(rows)
+    real = set(rows)
+    assert not any((r.kind, r.new) in real for r in got if r.kind != "given") and max(r.attempt for r in got) > 0
+
+
+def test_toxicity(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id", "left").collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
+    known = [r for r in got if r.held_out and r.toxic is not None]
+    right = sum(r.predicted == r.toxic for r in known)
+    assert right >= 0.9 * len(known) and sum(r.predicted for r in known if not r.toxic) <= 0.02 * len(known)
+
+
+def test_toxicity_learns_nothing_from_held_out_rows(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.toxicity(docs, x).orderBy("doc_id").select("score").collect() for x in (labels, turned))
+    assert a == b
+
+
+def test_group_names_carry_no_weight(spark):
+    rng = random.Random(10)
+    plain = [f"p{chr(97 + k % 26)}{chr(97 + k // 26)}o" for k in range(200)]
+    rows = []
+    for k in range(400):  # insults mostly come with one group's name
+        toxic = k % 2
+        words = [rng.choice(plain) for _ in range(20)] + (["scumbag"] if toxic and k % 3 else []) + (["muslim"] if (toxic and k % 7) or k % 16 == 0 else ["christian"] if k % 3 == 0 else [])
+        rows.append((k, " ".join(words), toxic))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    gaps = []
+    for penalty in (0.0, 10.0):
+        model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), penalty=penalty)
+        scorer = toxicity.Scorer(model)
+        gaps.append(scorer.score("they are muslim") - scorer.score("they are christian"))
+    assert gaps[0] > 0.3 and abs(gaps[1]) < gaps[0] / 3
+
+
+def test_toxicity_of_odd_tables(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (5, 0), (6, 0), (None, 1), (9, None)], "doc_id bigint, toxic int")
+    for df in (odd, none):
+        for known in (labels, labels.where("toxic = 0"), labels.limit(0)):
+            rows = toxicity.toxicity(df, known).collect()
+            assert len(rows) == df.count() and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.without_toxic(odd, labels.limit(0), threshold=0.9).columns == odd.columns
