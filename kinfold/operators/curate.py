@@ -43,19 +43,24 @@ def run_stats(df: DataFrame, max_len: int, store: DataFrame | None = None, key:
 
 
 def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Keep the first row (by the unique ``order``) of each key.
+    """Keep the first row (by ``order``, unique within a key) of each key.
 
     The minimum is found on (key, order) alone with partial aggregation, so a key owning a third of the rows costs one
     row per task, and only the kept rows travel with their payload in the semi-join.
     """
-    first = df.groupBy(key).agg(F.min(order).alias(order)).select(order)
-    return df.join(first, order, "left_semi")
+    return df.join(df.groupBy(key).agg(F.min(order).alias(order)), [key, order], "left_semi")
+
+
+def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Keep the last row of each key; otherwise as ``first_wins``."""
+    return df.join(df.groupBy(key).agg(F.max(order).alias(order)), [key, order], "left_semi")
 
 
 def first_text_wins(df: DataFrame, text: str, order: str) -> DataFrame:
     """``first_wins`` on a long text: the shuffle carries a 256-bit digest of the whole text instead of the text."""
-    first = df.groupBy(F.sha2(text, 256).alias("_digest")).agg(F.min(order).alias(order)).select(order)
-    return df.join(first, order, "left_semi")
+    keyed = df.withColumn("_digest", F.sha2(text, 256))
+    first = keyed.groupBy("_digest").agg(F.min(order).alias(order))
+    return keyed.join(first, ["_digest", order], "left_semi").drop("_digest")
 
 
 def pending(df: DataFrame, store: DataFrame, key: str = "key", overwrite: bool = False) -> DataFrame:

@@ -152,8 +152,6 @@ def _climb(merges: Merges, chunk: int) -> tuple[DataFrame, DataFrame]:
     Returns nodes (lo, hi, level, comp, seg) and segments (level, comp, seg, pos, size, stability, wins). A segment is
     the stretch of a chain between two splits: one cluster of the condensed tree, identified by its first position.
     """
-    n_nodes = merges.nodes.count()
-    single = n_nodes <= chunk
     alone = checkpoint(merges.points.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("_points")))
     below: DataFrame | None = None  # finished chains, by the merge they hang on
     all_nodes, all_segments = [], []
@@ -168,7 +166,7 @@ def _climb(merges: Merges, chunk: int) -> tuple[DataFrame, DataFrame]:
             )
             here = here.join(hung, ["lo", "hi"], "left").fillna(0, ["_size", "_v", "_inf", "_chains"])
         here = here.withColumn("_add", F.col("_points") + F.col("_size")).withColumn("_split", (F.col("_chains") > 0).cast("long"))
-        here = running(here, chain, "pos", {"size": "_add", "seg": "_split"}, single_chunk=single, chunk=chunk)
+        here = running(here, chain, "pos", {"size": "_add", "seg": "_split"}, chunk=chunk)
         # what leaves the cluster at this merge: everything at a split, else the points that join here
         here = here.withColumn("_out", F.when(F.col("_split") == 1, F.col("size")).otherwise(F.col("_points")))
         all_nodes.append(here.select("lo", "hi", "level", "comp", "seg"))
@@ -187,7 +185,7 @@ def _climb(merges: Merges, chunk: int) -> tuple[DataFrame, DataFrame]:
             F.first("top_lo").alias("top_lo"),
             F.first("top_hi").alias("top_hi"),
         )
-        segs = following(segs, chain, "pos", "_w", "_next_w", single, chunk)
+        segs = following(segs, chain, "pos", "_w", "_next_w", chunk=chunk)
         birth_w = F.coalesce("_next_w", "_top_w")
         root = birth_w.isNull()
         birth = F.when(root, F.lit(0.0)).otherwise(_lambda(birth_w))
@@ -199,9 +197,9 @@ def _climb(merges: Merges, chunk: int) -> tuple[DataFrame, DataFrame]:
             F.when(birth.isNull(), 0).otherwise(F.col("_own_inf")).alias("_own_inf"),
         )
         # best(i) = max(stability(i), hung(i) + best(i-1)) unrolled with prefix sums of what hangs below
-        segs = running(segs, chain, "pos", {"_hung": "_b", "_hung_inf": "_b_inf"}, single_chunk=single, chunk=chunk)
+        segs = running(segs, chain, "pos", {"_hung": "_b", "_hung_inf": "_b_inf"}, chunk=chunk)
         segs = segs.withColumn("_a", F.col("stability") - F.col("_hung"))
-        segs = running(segs, chain, "pos", {}, {"_before": "_a", "_before_inf": "_own_inf"}, single_chunk=single, chunk=chunk)
+        segs = running(segs, chain, "pos", {}, {"_before": "_a", "_before_inf": "_own_inf"}, chunk=chunk)
         children = F.col("_hung") + F.greatest(F.coalesce("_before", F.lit(0.0)), F.lit(0.0))
         children_inf = (F.col("_hung_inf") > 0) | (F.coalesce("_before_inf", F.lit(0)) > 0)
         own_inf = F.col("_own_inf") == 1

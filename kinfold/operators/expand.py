@@ -32,7 +32,10 @@ def expand_members(reps: DataFrame, members: DataFrame) -> DataFrame:
 
     ``reps`` carries ``rep`` and any further columns, ``members`` is the multimap (rep, member).
     """
-    return reps.join(members.select("rep", "member"), "rep", "left").withColumn("member", F.coalesce("member", "rep"))
+    members = members.select("rep", "member")
+    # an inner join lets Spark split the members of a frequent representative, an outer one would not
+    alone = reps.join(members.select("rep"), "rep", "left_anti").withColumn("member", F.col("rep"))
+    return reps.join(members, "rep").unionByName(alone)
 
 
 def with_file_name(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from kinfold.functions.ids import member_accession
 from kinfold.operators import batching, curate, density, embed, expand, fragment, purity, sizes
 from kinfold.operators.head import Head, project
 from kinfold.operators.ordering import with_position
-from kinfold.session import checkpoint
+from kinfold.session import checkpoint, ship_package
 from kinfold.sources import fasta, files, store
 
 # Batch limits of the two embedder families.
@@ -22,6 +22,7 @@ LIMITS = {
 
 def split_file(spark: SparkSession, path: str, out_dir: str, val_size: float = 0.05, seed: int = 42) -> DataFrame:
     """Write ``train`` and ``val`` sequence folders of exact sizes; returns (split, n)."""
+    ship_package(spark)
     tagged = checkpoint(curate.exact_split(fasta.read_fasta(spark, path), "pos", val_size, seed=seed))
     for part in ("train", "val"):
         fasta.write_fasta(tagged.where(F.col("split") == part), f"{out_dir}/{part}.fasta")
@@ -43,9 +44,11 @@ def embed_file(
     """Embed the sequences of a file that the store lacks and append them; returns one row of run counters.
 
     ``esm`` drops empty and overlong sequences, batches by falling length inside buckets and halves failing batches;
-    ``t5`` keeps all of them, batches in file order and gives failing batches up. Nothing stored is embedded again
-    unless ``overwrite``, which returns the new rows merged over the old ones under ``<store>.new``.
+    ``t5`` keeps all of them, batches in file order and gives failing batches up. Of records with one key the first counts, and
+    nothing stored is embedded again; with ``overwrite`` the last counts and takes the place of what is stored.
     """
+    ship_package(spark)
+    wins = curate.last_wins if overwrite else curate.first_wins
     cfg = {**LIMITS[family], **limits}
     raw = fasta.read_embedder_input(spark, path, split_char, id_field, is_3di)
     rows = checkpoint(raw.withColumn("sequence", S.mask_rare(F.col("sequence"), family)).withColumn("length", S.n_residues(F.col("sequence"))))
@@ -53,10 +56,10 @@ def embed_file(
     if family == "esm":
         # buckets count surviving rows before the resume filter, as resumed runs must see the same buckets
         placed = batching.length_buckets(rows, cfg["bucket_size"], "pos", max_len=cfg["max_seq_len"])
-        left = curate.pending(curate.first_wins(placed.join(rows.select("pos", "key"), "pos"), "key", "pos"), known, overwrite=overwrite)
+        left = curate.pending(wins(placed.join(rows.select("pos", "key"), "pos"), "key", "pos"), known, overwrite=overwrite)
         batches = batching.bucket_batches(left, cfg["max_batch"], cfg["max_residues"], id_col="pos")
     else:
-        left = curate.pending(curate.first_wins(rows, "key", "pos"), known, overwrite=overwrite)
+        left = curate.pending(wins(rows, "key", "pos"), known, overwrite=overwrite)
         batches = _file_order(left, cfg)
     done = checkpoint(
         embed.embed(batches.join(rows.select("pos", "key", "sequence"), "pos"), factory, "bisect" if family == "esm" else "drop")
@@ -64,7 +67,7 @@ def embed_file(
     )
     good = done.where(F.col("status") == "embedded")
     if overwrite:
-        store.as_rows(store.upsert(store.read_store(spark, store_path).select("key", "embedding"), good.select("key", "embedding"))).write.parquet(store_path.rstrip("/") + ".new")
+        store.replace_store(store.upsert(store.read_store(spark, store_path).select("key", "embedding"), good.select("key", "embedding")), store_path)
     else:
         store.put_missing(good, store_path)
     store.write_meta(spark, store_path, {"family": family, "per_protein": "true", "dtype": "float16"}, replace=family == "t5")
@@ -95,20 +98,15 @@ def export_file(spark: SparkSession, store_path: str, path: str | None = None, u
         return store.export_store(vectors), vectors.where("false").select(F.col("key").alias("label"))
     wanted = fasta.read_ids(spark, path).select("pos", F.col("fasta_id").alias("label"), F.col("export_key").alias("key"))
     found, missing = store.lookup(wanted, vectors.select("key", "embedding"))
-    keep = found.select("pos", "label", "embedding")
-    return with_pos(store.export_vectors(keep, unit=unit), keep), missing.select("pos", "label")
-
-
-def with_pos(exported: DataFrame, source: DataFrame) -> DataFrame:
-    return exported.join(source.select("pos", "label"), "label")
+    return store.export_vectors(found, unit=unit, keep=("pos",)), missing.select("pos", "label")
 
 
 def project_file(spark: SparkSession, head: Head, store_path: str, path: str) -> DataFrame:
     """(pos, label, mean_representations): vectors of a sequence file's ids through a trained head."""
+    ship_package(spark)
     exported, _ = export_file(spark, store_path, path)
-    raw = store.import_vectors(exported).join(exported.select("label", "pos"), "label")
-    out = project(raw, head, id_col="pos").join(raw.select("pos", "label"), "pos")
-    return with_pos(store.export_vectors(out), out)
+    raw = store.import_vectors(exported).select(F.struct("pos", "label").alias("id"), "embedding")
+    return store.export_vectors(project(raw, head).select("id.pos", "id.label", "embedding"), keep=("pos",))
 
 
 def cluster_and_score(
@@ -123,8 +121,9 @@ def cluster_and_score(
 
     ``exported`` is (label, mean_representations[, pos]); without ``pos`` the ids are taken in their own order.
     """
+    ship_package(exported.sparkSession)
     reps = exported if "pos" in exported.columns else with_position(exported, ["label"])
-    reps = checkpoint(store.import_vectors(reps).join(reps.select("label", "pos"), "label"))
+    reps = checkpoint(store.import_vectors(reps))
     found = density.hdbscan(reps, "pos", "embedding", min_samples, metric)
     fam = expand.families(found.join(reps.select("pos", F.col("label").alias("rep")), "pos"))
     members = checkpoint(expand.expand_members(fam, cluster_tsv).select("cluster_id", "pos", "rep", "member"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -58,18 +59,25 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by the cluster.
 
-    The session's ``spark.checkpoint.dir`` wins. Only where nothing is set (tests, a laptop) a fresh
-    temporary folder is used.
+    The session's ``spark.checkpoint.dir`` wins. Only where nothing is set and everything runs in one process (tests, a
+    laptop) a fresh temporary folder is used; executors of a cluster would each see a folder of their own.
     """
     sc = spark.sparkContext
     active = sc.getCheckpointDir()
     if active:
         return active
     configured = spark.conf.get(CHECKPOINT_CONF, None)
+    refuse_local_scratch(sc.master, configured)
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kinfold-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def refuse_local_scratch(master: str, configured: str | None) -> None:
+    """Fail where executors may run elsewhere and no shared folder is named."""
+    if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors of {master} share")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """This application's folder for intermediate tables."""
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
@@ -91,7 +99,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete checkpointed tables that nothing still to be evaluated reads, such as those of a loop's previous round."""
+    for table in tables:
+        if path := getattr(table, "_scratch", None):
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpoint_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:

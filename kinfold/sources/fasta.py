@@ -13,12 +13,12 @@ RECORD_BREAK = "\n>"
 
 
 def _records(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """(src, pos, text): record texts without their leading ``>``, numbered within their file.
+    """(src, pos, text): record texts without their leading ``>``, numbered over all files in the order of their paths.
 
     The record break is the reader's line separator, so a file splits like any text file. A first pass counts the
     records of each split; that table (one row per split, written so that its size is known and Spark can decide to
     broadcast it) tells where a split starts. Records are not shuffled to be numbered. The first row of a file is a
-    record only if the file starts with ``>``; anything before the first header is dropped.
+    record only if the file starts with ``>``; anything before the first header is dropped. ``pos`` is unique.
     """
     reader = spark.read.option("lineSep", RECORD_BREAK)
     if glob:
@@ -36,7 +36,7 @@ def _records(spark: SparkSession, paths: str | list[str], glob: str | None = Non
         F.min_by(F.startswith("value", F.lit(">")), F.col("_row")).alias("_opens"),
     )
     splits = checkpoint(splits.withColumn("_lost", ((F.col("_block") == 0) & ~F.col("_opens")).cast("int")))
-    before = W.partitionBy("src").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("src", "_block").rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.col("_n") - F.col("_lost")).over(before), F.lit(0))
     layout = splits.select("src", "_block", "_start", "_lost", (offset - F.col("_start") - F.col("_lost")).alias("_shift"))
     placed = raw.join(layout, ["src", "_block"])

@@ -70,12 +70,23 @@ def read_label_tsv(spark: SparkSession, path: str) -> DataFrame:
 def read_cluster_folder(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
     """(cluster, accession) of the header lines of all cluster files in a folder.
 
-    Every file is a cluster, also an empty one, which yields one row without accession: readers skip files of
-    length zero, so the names come from the folder listing.
+    Every file is a cluster, also an empty one, which yields one row without accession: text readers skip files of
+    length zero, so the names come from the folder listing. Folders of ``write_families`` are read in both of its
+    layouts. A folder without any cluster fails.
     """
-    files = list_files(spark, folder, CLUSTER_SUFFIXES)
-    names = spark.createDataFrame([(n,) for n, _ in files], "cluster string")
+    path, fs = _hadoop_path(spark, folder)
+    inside = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    if any(n.endswith(".parquet") for n in inside):
+        members = spark.read.parquet(folder).select(F.col("cluster_file").alias("cluster"), F.concat(F.lit(">"), "member").alias("value"))
+        return members.select("cluster", ids.accession(F.col("value"), strict).alias("accession"), F.lit(True).alias("is_member"))
+    if any(n.startswith("cluster_file=") for n in inside):
+        members = spark.read.text(folder).where(F.startswith("value", F.lit(">")))
+        return members.select(F.col("cluster_file").cast("string").alias("cluster"), ids.accession(F.col("value"), strict).alias("accession"), F.lit(True).alias("is_member"))
     glob = "*.{" + ",".join(CLUSTER_SUFFIXES) + "}"
+    if not any(n.endswith(tuple("." + x for x in CLUSTER_SUFFIXES)) for n in inside):
+        raise ValueError(f"{folder} holds no cluster")
+    # one name per file, as many as Spark's own file index holds on the driver; large results belong in the one-table layout
+    names = spark.createDataFrame([(n,) for n in inside if n.endswith(tuple("." + x for x in CLUSTER_SUFFIXES))], "cluster string")
     lines = spark.read.option("pathGlobFilter", glob).text(folder).select(F.col("_metadata.file_name").alias("cluster"), "value")
     headers = lines.where(F.startswith("value", F.lit(">")))
     members = headers.select(F.expr("url_decode(replace(cluster, '+', '%2B'))").alias("cluster"), ids.accession(F.col("value"), strict).alias("accession"), F.lit(True).alias("is_member"))
@@ -88,10 +99,16 @@ def folder_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(cluster, size) from a size report: the count line and the heading line are dropped."""
-    parts = spark.read.text(path).select(F.split("value", "\t").alias("p"))
-    sized = parts.select(F.col("p")[0].alias("cluster"), F.expr("try_cast(p[1] as bigint)").alias("size"))
-    return sized.where(F.col("size").isNotNull() & (F.col("cluster") != "num_files"))
+    """(cluster, size) from a size report: its first two lines, the count and the heading, are dropped by their place.
+    A row of other than two fields, or with a size that is no whole number, fails the read."""
+    lines = spark.read.text(path).select(
+        "value", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r")).alias("at")
+    )
+    second = lines.select("at").orderBy("at").limit(2).agg(F.max("at").alias("at"))  # one row
+    rows = lines.where(F.col("at") > second.select("at").scalar())
+    parts = rows.select("value", F.split("value", "\t", -1).alias("p"))
+    good = F.assert_true((F.size("p") == 2) & F.col("p")[1].rlike("^\\d+$"), F.concat(F.lit("not a size row: "), "value"))
+    return parts.withColumn("ok", good).where(F.col("ok").isNull()).select(F.col("p")[0].alias("cluster"), F.col("p")[1].cast("bigint").alias("size"))
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
@@ -113,12 +130,17 @@ def write_sizes(sizes: DataFrame, path: str, heading: str = "family\tnum_sequenc
     n.unionByName(head).unionByName(rows).sort("o", "k").select("value").write.text(path)
 
 
-def write_families(members: DataFrame, folder: str) -> None:
-    """Families as text, one directory per file name, a header and a placeholder residue per member.
+def write_families(members: DataFrame, folder: str, text: bool = False) -> None:
+    """Families as one Parquet table (cluster_file, pos, member), in few files and sorted by family; with ``text`` as text instead, one
+    directory per family, a header and a placeholder residue per member.
 
     ``members`` is (cluster_id, pos, member). The folder is replaced as a whole. Rows are spread by (family, slice of
     positions) so that a hot family is written by several tasks.
     """
+    if not text:
+        rows = members.select(ids.cluster_file(F.col("cluster_id")).alias("cluster_file"), "pos", "member")
+        rows.repartitionByRange("cluster_file", "pos").sortWithinPartitions("cluster_file", "pos").write.mode("overwrite").parquet(folder)
+        return
     out = members.select(
         ids.cluster_file(F.col("cluster_id")).alias("cluster_file"), "pos", F.concat(F.lit(">"), "member", F.lit("\nX")).alias("value")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import ids
 from kinfold.functions.vectors import as_double, divisor, norm
-from kinfold.operators.curate import first_wins, pending
+from kinfold.operators.curate import pending
 
 STORE_SCHEMA = "key string, dim int, embedding array<float>"
 EXPORT_LAYER = 33  # fixed value: the layer key of exported vectors
@@ -37,8 +37,8 @@ def as_rows(df: DataFrame) -> DataFrame:
 def put_missing(df: DataFrame, path: str, order: str = "pos") -> None:
     """Insert-if-absent: the first row of a key within ``df`` wins, keys already stored are left alone."""
     spark = df.sparkSession
-    fresh = pending(first_wins(df, "key", order), keys(spark, path))
-    as_rows(fresh).write.mode("append").parquet(path)
+    winners = df.groupBy("key").agg(F.min_by(F.struct("embedding"), F.col(order)).alias("_first")).select("key", "_first.embedding")
+    as_rows(pending(winners, keys(spark, path))).write.mode("append").parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -46,6 +46,18 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("key"), "key", "left_anti").unionByName(new)
 
 
+def replace_store(rows: DataFrame, path: str) -> None:
+    """Put ``rows`` in the place of the store, which they may be derived from: written beside it, then exchanged by renaming."""
+    spark, place = rows.sparkSession, path.rstrip("/")
+    as_rows(rows).write.mode("overwrite").parquet(f"{place}.next")
+    at, old, new = (spark._jvm.org.apache.hadoop.fs.Path(place + end) for end in ("", ".previous", ".next"))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if fs.exists(at) and not fs.rename(at, old) or not fs.rename(new, at):
+        raise OSError(f"could not exchange {path}")
+    fs.delete(old, True)
+
+
 def write_meta(spark: SparkSession, path: str, meta: dict[str, str], replace: bool = False) -> None:
     """Run metadata beside the store; written once unless ``replace``."""
     target = path.rstrip("/") + ".meta"
@@ -65,8 +77,8 @@ def lookup(wanted: DataFrame, store: DataFrame, key: str = "key") -> tuple[DataF
     return wanted.join(store, key), wanted.join(store.select(key), key, "left_anti")
 
 
-def export_vectors(df: DataFrame, label: str = "label", unit: bool = False) -> DataFrame:
-    """(label, mean_representations): the export layout; ``unit`` normalises without guarding zero vectors."""
+def export_vectors(df: DataFrame, label: str = "label", unit: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(label, mean_representations) and the columns to ``keep``: the export layout; ``unit`` normalises without guarding zero vectors."""
     v = as_double(F.col("embedding"))
     if unit:
         wide = df.withColumn("_v", v).withColumn("_d", divisor(norm(F.col("_v")), "nan"))
@@ -74,7 +86,7 @@ def export_vectors(df: DataFrame, label: str = "label", unit: bool = False) -> D
         vec = F.transform("_v", lambda x: x / d).cast("array<float>")
     else:
         wide, vec = df, v.cast("array<float>")
-    return wide.select(F.col(label).alias("label"), F.create_map(F.lit(EXPORT_LAYER), vec).alias("mean_representations"))
+    return wide.select(*keep, F.col(label).alias("label"), F.create_map(F.lit(EXPORT_LAYER), vec).alias("mean_representations"))
 
 
 def export_store(store: DataFrame) -> DataFrame:
@@ -84,5 +96,6 @@ def export_store(store: DataFrame) -> DataFrame:
 
 
 def import_vectors(exported: DataFrame) -> DataFrame:
-    """(label, embedding) from the export layout."""
-    return exported.select("label", F.element_at("mean_representations", EXPORT_LAYER).alias("embedding"))
+    """(label, embedding) and any further columns from the export layout."""
+    rest = [c for c in exported.columns if c not in ("label", "mean_representations")]
+    return exported.select(*rest, "label", F.element_at("mean_representations", EXPORT_LAYER).alias("embedding"))

@@ -118,7 +118,7 @@ def test_report_files_round_trip(spark, tmp_path):
     files.write_splits(splits, str(tmp_path / "splits"))
     assert [tuple(r) for r in files.read_splits(spark, str(tmp_path / "splits")).collect()] == [("1.1", 3)]
     fam = spark.createDataFrame([(0, 0, "P/1-2"), (0, 1, "Q/1-2"), (1, 2, "R/1-2")], "cluster_id long, pos long, member string")
-    files.write_families(fam, str(tmp_path / "fam"))
+    files.write_families(fam, str(tmp_path / "fam"), text=True)
     back = fasta.read_fasta(spark, str(tmp_path / "fam" / "*"))
     assert {(r.header, r.sequence) for r in back.collect()} == {(">P/1-2", "X"), (">Q/1-2", "X"), (">R/1-2", "X")}
 
