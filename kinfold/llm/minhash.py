@@ -8,6 +8,8 @@ short copy per shingle. Bands of coordinates make bucket keys; documents that sh
 What keeps large groups linear:
 
 * documents with equal sets are one class, found by a digest of the set, and compared once;
+* shingles that only one class has (of all that share a bucket with another) can be in no intersection. Their number bounds the similarity of
+  a class to any other from above, so copies with many changes of their own are not compared with each other;
 * a bucket is not expanded into pairs. Some of its classes, chosen by hash, are centers, and every class of the bucket that is not yet
   in a center's component is compared with it. Confirmed links are contracted to components and the rest goes on with four times as many centers,
   until each bucket's classes are in one component or have all been compared. A pair is left out only when it is linked already, so
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.shared import packed, text_key
@@ -150,32 +152,58 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def _may_link(s: str, n: str, other_n: str, percent: int) -> Column:
+    """Whether an intersection of ``s`` shingles suffices for sets of ``n`` and ``other_n``."""
+    return (100 + percent) * F.col(s) >= percent * (F.col(n) + F.col(other_n))
+
+
+def _narrowed(rows: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """Rows of buckets that hold several roots, less those too much on their own for the smallest set there; and how many."""
+    several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("low")).where("x != y")
+    left = rows.join(several.select("bucket", "low"), "bucket").where(_may_link("s", "n", "low", percent))
+    return checkpoint_counting(left.select("bucket", "set", "tid", "n", "s", "turn", "root"), F.lit(True))
+
+
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """``a`` (first half of ``tid``) and ``own``: how many shingles of the text no other of ``texts`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for k in range(0, batch.num_rows, 256):
+                sets = [shingle_hashes(words_of(t)) for t in batch.column(1).slice(k, 256).to_pylist()]
+                which = np.repeat(np.array(names[k : k + 256], np.int64), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.concatenate(sets).view(np.int64))], ["a", "shingle"])
+
+    rows = texts.select("tid.a", "text").mapInArrow(run, "a bigint, shingle bigint")
+    once = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).where("n = 1")
+    return once.groupBy("a").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Compare the ``members`` (bucket, set, tid, n, turn, root) of each bucket until all are linked or compared; components of the links."""
-    links = tested = None
-    groups, left = 1, 1
+    """Compare the ``members`` (bucket, set, tid, n, s, turn, root) of each bucket until all are linked or compared; components of the links.
+    ``n`` is the size of the set and ``s`` the number of its shingles that others have."""
+    none = texts.sparkSession.createDataFrame([], "u binary, v binary")
+    links, tested = none, none
+    labels = none.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    members, left = _narrowed(members, percent)
+    groups = 1
     while left:
         # one center for each residue of the turn: its least member
-        center = F.min(F.struct("turn", "set", "tid", "n", "root")).alias("c")
+        center = F.min(F.struct("turn", "set", "tid", "n", "s", "root")).alias("c")
         chosen = members.groupBy("bucket", F.pmod("turn", F.lit(groups)).alias("residue")).agg(center)
-        chosen = checkpoint(chosen.select("bucket", *[F.col(f"c.{k}").alias(f"c_{k}") for k in ("set", "tid", "n", "root")]))
-        sizes_allow = 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
-        pairs = members.join(chosen, "bucket").where((F.col("root") != F.col("c_root")) & sizes_allow)
+        chosen = checkpoint(chosen.select("bucket", *[F.col(f"c.{k}").alias(f"c_{k}") for k in ("set", "tid", "n", "s", "root")]))
+        met = members.join(chosen, "bucket")
+        pairs = met.where((F.col("root") != F.col("c_root")) & _may_link("s", "n", "c_n", percent) & _may_link("c_s", "n", "c_n", percent))
         pairs = pairs.select(F.col("c_set").alias("u"), F.col("c_tid").alias("ut"), F.col("set").alias("v"), F.col("tid").alias("vt")).dropDuplicates(["u", "v"])
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = checkpoint(pairs)
-        known = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        tested = known if tested is None else tested.union(known)
-        found = checkpoint(_confirmed(pairs, texts, percent))
-        links = found if links is None else links.union(found)
+        pairs = checkpoint(pairs.join(tested, ["u", "v"], "left_anti") if groups > 1 else pairs)
+        tested = tested.union(pairs.select("u", "v")).union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        links = links.union(checkpoint(_confirmed(pairs, texts, percent)))
         labels = components(links)
         # centers have been compared with all that was not linked to them; they retire
         rest = members.drop("root").join(chosen.select("bucket", F.col("c_set").alias("set")), ["bucket", "set"], "left_anti")
         rest = rest.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        rest = checkpoint(rest)
-        several = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        members, left = checkpoint_counting(rest.join(several, "bucket").select("bucket", "set", "tid", "n", "turn", "root"), F.lit(True))
+        members, left = _narrowed(checkpoint(rest), percent)
         groups *= 4
     return labels
 
@@ -197,6 +225,9 @@ def groups(df: DataFrame, id_col: str, text_col: str, percent: int, bands: int,
     if n_members:
         named = df.select(text_key(id_col, text_col).alias("tid"), F.col(text_col).alias("text"))
         texts = checkpoint(named.join(members.select("tid").distinct(), "tid", "left_semi").dropDuplicates(["tid"]))
+        own = checkpoint(_own_shingles(texts))
+        shared_part = members.join(own, F.col("tid.a") == F.col("a"), "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
+        members = checkpoint(shared_part.where(100 * F.col("s") >= percent * F.col("n")).drop("a", "own"))
         rooted = classes.select("set", "least").join(_link(members, texts, percent).withColumnRenamed("node", "set"), "set", "left")
         rooted = rooted.select("set", "least", F.coalesce("root", "set").alias("root"))
         by_set = rooted.drop("least").join(rooted.groupBy("root").agg(F.min("least").alias("least")), "root")
