@@ -11,12 +11,15 @@ leaves at most a file that nothing refers to.
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from kinfold.llm.shared import file_system
 POLYNOMIAL = 0x82F63B78  # fixed value: CRC-32C, reflected
 MASK_DELTA = 0xA282EAD8  # fixed value: of the masked checksum
 BLOCK = 512  # bytes that one lane of the checksum takes
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 3 << 17
 FRAME = 16  # bytes of a record besides its payload
 
 
@@ -110,47 +113,49 @@ def payloads_of(records: list[bytes]) -> list[bytes]:
 class WordEncoder:
     """Ids of texts by a tokenizer that folds case and drops white space: each distinct word goes to the library once.
 
-    Words end at white space. A word of letters alone before closing marks is coded apart from them, as the tokenizer itself
-    parts letters from marks, so the memo holds words rather than words with every mark that may follow.
+    Words end at white space. Where full stops and commas follow letters or digits only, they are words of their own, as the tokenizer
+    itself parts them, so the memo holds words rather than words with every mark that may follow.
     """
 
-    MARKS = ".,;:!?"
+    _run = re.compile(r"(?:[^\w\s]|_)[.,]")  # a mark that belongs to a run of marks
+    _kinds = bytes(0 if chr(c) in ".," else 1 if c < 128 and (chr(c).isalnum() or chr(c) in " \t\n\r\v\f") else 2 if c < 128 else 3 for c in range(256))
 
     def __init__(self, spec: str, width: int) -> None:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
         self._batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self._kind = f"<u{width}"
+        self._kind = "H" if width == 2 else "I"
         self._words = regex.compile(r"\S+")
         self._coded: dict[str, bytes] = {}
-        self._joined: dict[str, bytes] = {}
+
+    def _parts(self, text: str) -> bool:
+        """Whether each full stop and comma follows a letter, a digit or white space, also after normalisation."""
+        kinds = text.encode().translate(self._kinds)
+        if b"\2\0" in kinds or b"\0\0" in kinds:
+            return False
+        return b"\3\0" not in kinds or (unicodedata.is_normalized("NFC", text) and not self._run.search(text))
 
     def _split(self, text: str) -> list[str]:
         if "\u03a3" not in text:  # the one letter that Python lower-cases by its neighbours
             text = text.lower()
+            if self._parts(text):
+                text = text.replace(".", " .").replace(",", " ,")
         # str.split also cuts at these four separators, which the tokenizer does not take for white space
         return self._words.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self._joined) > MEMO_WORDS:
-            self._joined.clear()
-        if len(self._coded) > 2 * MEMO_WORDS:
-            self._coded.clear()
+        coded = self._coded
+        if len(coded) > MEMO_WORDS:
+            coded.clear()
         split = [self._split(t) for t in texts]
-        parts = {}
-        for word in {w for words in split for w in words}.difference(self._joined):
-            core = word.rstrip(self.MARKS)
-            parts[word] = (core, word[len(core) :]) if unicodedata.normalize("NFC", core.lower()).isalpha() else (word, "")
-        fresh = list({p for pair in parts.values() for p in pair if p}.difference(self._coded))
+        fresh = list(set(chain.from_iterable(split)).difference(coded))
         for at in range(0, len(fresh), 1024):
             some = fresh[at : at + 1024]
-            for word, coded in zip(some, self._batch(some, add_special_tokens=False)):
-                self._coded[word] = np.array(coded.ids, self._kind).tobytes()
-        for word, (core, marks) in parts.items():
-            self._joined[word] = self._coded[core] + (self._coded[marks] if marks else b"")
-        return [b"".join(map(self._joined.__getitem__, words)) for words in split]
+            for word, made in zip(some, self._batch(some, add_special_tokens=False)):
+                coded[word] = array(self._kind, made.ids).tobytes()
+        return [b"".join(map(coded.__getitem__, words)) for words in split]
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
