@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -408,14 +409,14 @@ def store_upsert(spark, sf):
 
 @query(
     "vector_lookup",
-    """SELECT l.doc_id AS pos, e.vec_id IS NOT NULL AS found, round(e.embedding[1]::DOUBLE, 6) AS first_item
-    FROM labels l LEFT JOIN embeddings e ON e.vec_id = l.doc_id""",
+    """SELECT l.doc_id AS pos, e.vec_id IS NOT NULL AS found, i::INT AS item, round(e.embedding[i + 1]::DOUBLE, 6) AS value
+    FROM labels l LEFT JOIN embeddings e ON e.vec_id = l.doc_id JOIN range(64) t(i) ON e.vec_id IS NOT NULL OR i = 0""",
 )
 def vector_lookup(spark, sf):
     wanted = table(spark, sf, "labels").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("pos"))
     hit, miss = store.lookup(wanted, vectors(spark, sf).select(F.col("id").alias("key"), "embedding"))
-    first = F.round(F.col("embedding")[0].cast("double"), 6).alias("first_item")
-    return hit.select("pos", F.lit(True).alias("found"), first).unionByName(miss.select("pos", F.lit(False).alias("found"), F.lit(None).cast("double").alias("first_item")))
+    whole = hit.select("pos", F.lit(True).alias("found"), F.posexplode("embedding").alias("item", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+    return whole.unionByName(miss.select("pos", F.lit(False).alias("found"), F.lit(0).alias("item"), F.lit(None).cast("double").alias("value")))
 
 
 # ---------------------------------------------------------------- labels
@@ -597,6 +598,22 @@ def mst_edges(spark, sf):
     return mst.tree_edges(density.spanning_rounds(vectors(spark, sf))).select("lo", "hi", F.round("w", 6).alias("w"))
 
 
+# with five samples many edges have the same reachability and trees differ, but not the weights of their edges
+@query(
+    "mst_weights_core5",
+    f"""WITH RECURSIVE {UNIT}, p AS MATERIALIZED (SELECT a.id AS id, b.id AS neighbor, list_distance(a.e, b.e) AS d FROM u a JOIN u b ON a.id <> b.id),
+    c AS MATERIALIZED (SELECT id, d AS core FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, neighbor) = 4),
+    d AS MATERIALIZED (SELECT p.id, p.neighbor, greatest(p.d, a.core, b.core) AS d FROM p JOIN c a ON a.id = p.id JOIN c b ON b.id = p.neighbor),
+    s AS (SELECT 0 AS step, neighbor AS v, d AS best FROM d WHERE id = 0
+    UNION ALL SELECT x.step + 1, x.v, least(d.d, x.best)
+    FROM (SELECT *, first_value(v) OVER (ORDER BY best, v) AS pick FROM s) x JOIN d ON d.id = x.pick AND d.neighbor = x.v WHERE x.v <> x.pick)
+    SELECT w, count(*)::BIGINT AS n FROM (SELECT round(min(best), 6) AS w FROM s GROUP BY step) GROUP BY w""",
+)
+def mst_weights_core5(spark, sf):
+    edges = mst.tree_edges(density.spanning_rounds(vectors(spark, sf), min_samples=5))
+    return edges.groupBy(F.round("w", 6).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("hdbscan_clusters")
 def hdbscan_clusters(spark, sf):
     return density.hdbscan(vectors(spark, sf))
@@ -688,18 +705,24 @@ def best_epoch(spark, sf):
     return train.best_epoch(_history(spark, sf))
 
 
-@query("project_head")
-def project_head(spark, sf):
-    """Vectors through an untrained head (seeded weights), as the exporter does with a trained one."""
-    return head.project(vectors(spark, sf), head.Head.create(64, [256], 128, seed=42))
+def _formula_head() -> head.Head:
+    """One linear layer whose weights follow a formula that SQL can state."""
+    made = head.Head.create(64, [], 8, seed=0)
+    rows, cols = np.meshgrid(np.arange(8), np.arange(64), indexing="ij")
+    made.params["w0"], made.params["b0"] = ((rows * 31 + cols * 17) % 13 - 6) / 8.0, (np.arange(8) - 3.0) / 16.0
+    return made
 
 
-@query("train_history")
-def train_history(spark, sf):
-    """Three epochs of proxy-anchor training on all vectors, validated on an exact 20 % split."""
-    v = curate.exact_split(vectors(spark, sf), "id", 0.2).select("id", "label", F.col("embedding").alias("vec"), "split")
-    cfg = train.TrainConfig(hidden=[64], output_dim=32, batch_size=512, world_size=8, epochs=3, warmup_epochs=1)
-    return train.fit(v.where("split = 'train'"), v.where("split = 'val'"), cfg).history
+@query(
+    "project_head",
+    """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings),
+    y AS (SELECT vec_id, j, sum(v * ((j * 31 + i * 17) % 13 - 6) / 8.0) + (j - 3.0) / 16.0 AS y FROM x CROSS JOIN range(8) t(j) GROUP BY 1, 2)
+    SELECT vec_id AS id, j::INT AS item, round((y / sqrt(sum(y * y) OVER (PARTITION BY vec_id)))::DOUBLE, 6) AS value FROM y""",
+)
+def project_head(spark, sf):
+    """Vectors through a projection head and normalised, as the exporter does with a trained one."""
+    out = head.project(vectors(spark, sf), _formula_head())
+    return out.select("id", F.posexplode("embedding").alias("item", "value")).withColumn("value", F.round("value", 6))
 
 
 # ---------------------------------------------------------------- embedding and ingestion
