@@ -75,8 +75,13 @@ def with_next(df: DataFrame, id_col: str, text_col: str, ranges: int) -> tuple[D
     # one row with at most ``ranges`` bounds comes to the driver
     low, nulls, found = docs.agg(F.min("id"), F.count_if(F.col("id").isNull()), cuts).first()
     bounds = sorted({x for x in (found or []) if nulls or x != low})
-    inner = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    home = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(inner, lambda b: b <= F.col("id"))))
+    # how many bounds are not above the id: first among every ``step``-th of them, then in the block found
+    step = max(1, int(len(bounds) ** 0.5))
+    listed = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
+    reached = lambda values: F.size(F.filter(values, lambda v: v <= F.col("id")))
+    block = reached(listed(bounds[step - 1 :: step]))
+    blocks = F.array(*[listed(bounds[k : k + step - 1]) for k in range(0, len(bounds) + 1, step)])
+    home = F.when(F.col("id").isNull(), 0).otherwise(block * step + reached(F.get(blocks, block)))
     opens = F.col("id").isin(bounds) if bounds else F.lit(False)
     first = F.col("id").isNull() if nulls else F.col("id") == low
     place = lambda r, guest: F.struct(r.cast("int").alias("stretch"), F.lit(guest).alias("guest"))
@@ -102,7 +107,8 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
-    rows, after = with_next(df, id_col, text_col, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a few stretches to a task, so that tasks are even
+    rows, after = with_next(df, id_col, text_col, ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = F.char_length("text")
     own = rows.select("*", F.lead("text").over(after).alias("next")).select(
         "id", "tie", "stretch", "guest", "text", n.alias("n_chars"), F.col("next").substr(F.lit(1), F.floor(n / 4).cast("int")).alias("head"), words(F.col("text")).alias("words")
