@@ -61,7 +61,13 @@ def encode_half(v: Column) -> Column:
 
     @F.pandas_udf(T.BinaryType())
     def encode(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: None if a is None else np.asarray(a, dtype=HALF).tobytes())
+        here = s.notna().to_numpy()
+        sizes = np.array([len(a) for a in s[here]], np.int64)
+        flat = np.concatenate([np.empty(0), *s[here]]).astype(HALF).tobytes()  # one conversion for the batch
+        ends = np.cumsum(sizes) * HALF.itemsize
+        out = np.full(len(s), None, object)
+        out[here] = [flat[e - n * HALF.itemsize : e] for e, n in zip(ends, sizes)]
+        return pd.Series(out)
 
     return encode(v)
 
@@ -71,14 +77,16 @@ def decode_half(v: Column, dim: int) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def decode(s: pd.Series) -> pd.Series:
-        def one(buf):
-            if buf is None:
-                return None
-            if len(buf) != dim * HALF.itemsize:
-                raise ValueError(f"vector has {len(buf) // HALF.itemsize} items, expected {dim}")
-            return np.frombuffer(buf, dtype=HALF).astype(np.float32)
-
-        return s.map(one)
+        here = s.notna().to_numpy()
+        bad = next((len(b) for b in s[here] if len(b) != dim * HALF.itemsize), None)
+        if bad is not None:
+            raise ValueError(f"vector has {bad // HALF.itemsize} items, expected {dim}")
+        out = np.full(len(s), None, object)
+        if here.any():
+            rows = np.frombuffer(b"".join(s[here]), dtype=HALF).astype(np.float32).reshape(-1, dim)
+            for k, row in zip(np.flatnonzero(here), rows):
+                out[k] = row
+        return pd.Series(out)
 
     return decode(v)
 

@@ -128,7 +128,8 @@ def stream_batches(
         })
 
     maps = seen.groupBy("chunk").applyInPandas(exits, "chunk long, entry int, exit int, n long")
-    maps = maps.withColumn("super", F.floor(F.col("chunk") / SUPER_CHUNKS).cast("long"))
+    # written, as two branches read it and each would run the pass over all rows
+    maps = checkpoint(maps.withColumn("super", F.floor(F.col("chunk") / SUPER_CHUNKS).cast("long")))
 
     def tables(pdf: pd.DataFrame, unit: str):
         for key, part in pdf.sort_values([unit, "entry"]).groupby(unit, sort=True):

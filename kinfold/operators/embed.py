@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,10 +31,15 @@ class CodePointEmbedder:
         return out
 
 
-@lru_cache(maxsize=4)
-def _load(factory: Callable[[], Embedder]) -> Embedder:
-    """One model per Python worker, however many batches it sees."""
-    return factory()
+_model: dict[str, Embedder] = {}
+
+
+def _load(factory: Callable[[], Embedder], name: str) -> Embedder:
+    """One model per Python worker, however many batches it sees; a closure is another object in each task, so the model goes by its name."""
+    if name not in _model:
+        _model.clear()
+        _model[name] = factory()
+    return _model[name]
 
 
 def _run(model: Embedder, seqs: list[str], policy: str) -> list[np.ndarray | None]:
@@ -54,17 +59,21 @@ def embed(
     policy: str = "bisect",
     pool: bool = True,
     half_precision: bool = True,
+    name: str | None = None,
 ) -> DataFrame:
     """(key, status, length, embedding) from (bucket, batch, key, sequence).
 
+    ``name`` identifies the model within a worker: models that differ need names that differ. By default one call is one model.
+
     ``pool`` averages over the residues, otherwise the matrix of residue vectors is kept. ``half_precision`` rounds
     through float16, the precision of the store. Rows the model fails on come back as ``failed`` without a vector.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
+    name = name or uuid.uuid4().hex
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _run(_load(factory), pdf["sequence"].tolist(), policy)
+        found = _run(_load(factory, name), pdf["sequence"].tolist(), policy)
         vectors = []
         for m in found:
             if m is not None:

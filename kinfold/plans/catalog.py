@@ -733,14 +733,18 @@ def project_head(spark, sf):
     f"""WITH d AS (SELECT doc_id, translate({CLEANED}, 'UZOB', 'XXXX') AS s FROM documents), k AS (SELECT * FROM d WHERE length(s) BETWEEN 1 AND {MAX_LEN}),
     r AS (SELECT doc_id, unicode(substr(s, i, 1)) AS c FROM (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM k)), 
     v AS (SELECT doc_id, j, round(avg((c * (j + 1)) % 97 / 97.0), 6) AS m, count(*) AS n FROM r CROSS JOIN range(8) t(j) GROUP BY 1, 2)
-    SELECT doc_id, j::INT AS dim, m AS value, n::BIGINT AS length FROM v""",
+    SELECT doc_id, 'embedded' AS status, j::INT AS dim, m AS value, n::BIGINT AS length FROM v
+    UNION ALL SELECT doc_id, CASE WHEN length(s) = 0 THEN 'empty' ELSE 'long' END, NULL, NULL, length(s)::BIGINT FROM d WHERE length(s) NOT BETWEEN 1 AND {MAX_LEN}""",
 )
 def embed_sequences(spark, sf):
     d = curate.clean_records(table(spark, sf, "documents").select("doc_id", F.col("text").alias("sequence")))
     bucketed = batching.length_buckets(d, 10000, "doc_id", max_len=MAX_LEN)
     batches = batching.bucket_batches(bucketed, id_col="doc_id").join(d.select("doc_id", "sequence"), "doc_id")
     out = embed.embed(batches.withColumnRenamed("doc_id", "key"), half_precision=False)
-    return out.select(F.col("key").alias("doc_id"), F.posexplode("embedding").alias("dim", "value"), "length").withColumn("value", F.round("value", 6))
+    done = out.select(F.col("key").alias("doc_id"), "status", F.posexplode("embedding").alias("dim", "value"), "length").withColumn("value", F.round("value", 6))
+    # what the length rule leaves out is listed, not lost
+    out_of_range = d.withColumn("status", curate.status(F.col("length"), MAX_LEN)).where("status != 'ok'")
+    return done.unionByName(out_of_range.select("doc_id", "status", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("double").alias("value"), F.col("length").cast("long").alias("length")))
 
 
 @query(
@@ -766,7 +770,11 @@ def stream_ingest(spark, sf):
     """Events as an arriving stream, ingested once per user."""
     base = f"{scratch_dir(spark)}/ingest-{uuid.uuid4().hex}"
     source = table(spark, sf, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # three files, one after the other and one to a micro-batch, so that keys meet what earlier batches stored
+    third = F.floor(F.col("event_id") * 3 / (source.agg(F.max("event_id") + 1).scalar()))
+    for k in range(3):
+        source.where(third == k).coalesce(1).write.mode("append").parquet(f"{base}/source")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/source")
     rows = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), "event_type")
     columns = "key long, pos long, event_type string"
     streaming.ingest(rows, f"{base}/table", f"{base}/checkpoint", columns).awaitTermination()

@@ -50,9 +50,11 @@ def ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         earlier = read_earlier(spark, path, columns, batch_id)
+        batch = batch.persist()  # read twice: to find the first rows and to fetch them
         fresh = pending(first_wins(batch, key, order), earlier, key)
         out = transform(fresh) if transform else fresh
         out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -84,3 +84,65 @@ def test_folder_reports(spark, tmp_path):
     assert {tuple(r) for r in files.read_splits(spark, str(tmp_path / "splits")).collect()} == {("1.1.1.1", 2), ("1.1.2.1", 1)}
     assert [tuple(r) for r in runs.size_report(spark, str(folder)).collect()] == [("a.faa", 2), ("b.aln", 1), ("empty.faa", 0)]
     assert report.agg(F.count(F.lit(1))).first()[0] == 1
+
+
+def test_several_files_and_repeated_ids(spark, tmp_path):
+    """Record numbers hold over all files: nothing is multiplied or chosen by its place in one file."""
+    folder = tmp_path / "seqs"
+    folder.mkdir()
+    for f in range(3):
+        write(folder / f"f{f}.fasta", "".join(f">S{f}_{i}/1-2\nACDE\n" for i in range(20)))
+    for family in ("esm", "t5"):
+        path = str(tmp_path / family)
+        assert runs.embed_file(spark, str(folder), path, family).first().n_embedded == 60
+        assert store.read_store(spark, path).count() == 60
+    n = {r.split: r.n for r in runs.split_file(spark, str(folder), str(tmp_path / "out"), val_size=0.12).collect()}
+    assert n == {"val": 7, "train": 53}
+    wanted = write(tmp_path / "w.fasta", ">S0_1/1-2\nX\n>S0_1/1-2\nX\n>S2_3/1-2\nX\n")
+    exported, missing = runs.export_file(spark, path, wanted)
+    assert [r.label for r in exported.orderBy("pos").collect()] == ["S0_1/1-2", "S0_1/1-2", "S2_3/1-2"] and missing.count() == 0
+    assert runs.project_file(spark, Head.create(8, [6], 4, seed=1), path, wanted).count() == 3
+
+
+def test_overwriting_takes_the_last_record_and_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "store")
+    runs.embed_file(spark, write(tmp_path / "a.fasta", ">A/1-2\nAC\n>B/1-2\nDE\n"), path, "t5")
+    new = write(tmp_path / "b.fasta", ">A/1-2\nGH\n>A/1-2\nKK\n")
+    want = runs.embed.CodePointEmbedder()(["KK"])[0].mean(axis=0).astype(np.float16)
+    for _ in range(2):
+        runs.embed_file(spark, new, path, "t5", overwrite=True)
+        got = {r.key: np.array(r.embedding) for r in store.read_store(spark, path).collect()}
+        assert set(got) == {"A_1-2", "B_1-2"} and np.allclose(got["A_1-2"], want)
+
+
+def test_families_are_scored_as_written(spark, tmp_path):
+    fam = spark.createDataFrame([(0, 0, "P/1-2"), (0, 1, "Q/1-2"), (1, 2, "R/1-2")], "cluster_id long, pos long, member string")
+    for text in (False, True):
+        files.write_families(fam, str(tmp_path / f"fam{text}"), text=text)
+        got = sorted((r.cluster, r.accession) for r in files.read_cluster_folder(spark, str(tmp_path / f"fam{text}")).collect())
+        assert got == [("cluster_00000.faa", "P"), ("cluster_00000.faa", "Q"), ("cluster_00001.faa", "R")]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no cluster"):
+        files.read_cluster_folder(spark, str(tmp_path / "none"))
+
+
+def test_bad_size_rows_fail(spark, tmp_path):
+    good = write(tmp_path / "good.tsv", "num_files\t2\nfamily\tnum_sequences\na\t1\nnum_files\t9\n")
+    assert {tuple(r) for r in files.read_sizes(spark, good).collect()} == {("a", 1), ("num_files", 9)}
+    with pytest.raises(Exception, match="not a size row"):
+        files.read_sizes(spark, write(tmp_path / "bad.tsv", "num_files\t2\nfamily\tn\na\t1\nb\tbad\n")).collect()
+
+
+def test_scratch_must_be_shared_on_a_cluster(spark):
+    from kinfold.session import checkpoint, discard, refuse_local_scratch
+
+    for master in ("yarn", "k8s://x", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="share"):
+            refuse_local_scratch(master, None)
+        refuse_local_scratch(master, "/shared")
+    refuse_local_scratch("local[8]", None)
+    table = checkpoint(spark.range(3))
+    assert table.count() == 3
+    discard(table)
+    with pytest.raises(Exception):
+        table.count()
