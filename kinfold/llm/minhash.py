@@ -10,10 +10,9 @@ What keeps large groups linear:
 * documents with equal sets are one class, found by a digest of the set, and compared once;
 * shingles that only one class has (of all that share a bucket with another) can be in no intersection. Their number bounds the similarity of
   a class to any other from above, so copies with many changes of their own are not compared with each other;
-* a bucket is not expanded into pairs. Some of its classes, chosen by hash, are centers, and every class of the bucket that is not yet
-  in a center's component is compared with it. Confirmed links are contracted to components and the rest goes on with four times as many centers,
-  until each bucket's classes are in one component or have all been compared. A pair is left out only when it is linked already, so
-  no link between components is lost, and a group of alike documents ends after a round or two;
+* a bucket is not expanded into pairs. Its first class by hash is its center, with which the others are compared; confirmed links are contracted to
+  components. Buckets whose classes are then in several components are cut into tiles, pairs of tiles are compared within a task, and only links
+  leave it. A pair is left out only when it is in one component already or cannot reach the similarity, so no link between components is lost;
 * components come from contraction by minima with pointer jumping; only tables of links are iterated, each round written to the shared folder.
 """
 
@@ -23,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,6 +34,7 @@ from kinfold.session import checkpoint, checkpoint_counting
 UNIVERSE = 1 << 20
 WORDS = 5
 BANDS, ROWS = 26, 5  # a pair at similarity 0.85 shares no bucket with probability (1 - 0.85^5)^26 < 3e-7
+TILE_ROWS, TILE_BYTES = 256, 8 << 20  # of a bucket compared at once with as much
 CHUNK = 4096  # shingles whose coordinates are held at once
 
 
@@ -180,32 +181,65 @@ def _own_shingles(texts: DataFrame) -> DataFrame:
     return once.groupBy("a").agg(F.count(F.lit(1)).alias("own"))
 
 
-def _link(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Compare the ``members`` (bucket, set, tid, n, s, turn, root) of each bucket until all are linked or compared; components of the links.
+def _links_of_centers(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of each bucket's first class by turn with the others."""
+    center = F.min(F.struct("turn", "set", "tid", "n", "s")).alias("c")
+    chosen = members.groupBy("bucket").agg(center).select("bucket", *[F.col(f"c.{k}").alias(f"c_{k}") for k in ("set", "tid", "n", "s")])
+    met = members.join(chosen, "bucket").where(F.col("set") != F.col("c_set"))
+    met = met.where(_may_link("s", "n", "c_n", percent) & _may_link("c_s", "n", "c_n", percent))
+    pairs = met.select(F.col("c_set").alias("u"), F.col("c_tid").alias("ut"), F.col("set").alias("v"), F.col("tid").alias("vt"))
+    return checkpoint(_confirmed(checkpoint(pairs.dropDuplicates(["u", "v"])), texts, percent))
+
+
+def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the classes of two tiles of a bucket, or within one, that are not in one component yet."""
+    near, far = rows["i"].iloc[0], rows["j"].iloc[0]
+    words = [words_of(t) for t in rows["text"]]
+    hashes = [set(shingle_hashes(w).tolist()) for w in words]
+    homes = [set(b) for b in rows["buckets"]]
+    bucket, sets = rows["bucket"].iloc[0], rows["set"].tolist()
+    n, s, root = rows["n"].to_numpy(), rows["s"].to_numpy(), pd.factorize(rows["root"])[0]
+    left, right = np.flatnonzero(rows["tile"] == near), np.flatnonzero(rows["tile"] == far)
+    found = []
+    for x in left.tolist():
+        other = right if near != far else right[right > x]
+        fits = (100 + percent) * np.minimum(s[x], s[other]) >= percent * (n[x] + n[other])
+        for y in other[fits & (root[x] != root[other])].tolist():
+            if min(homes[x] & homes[y]) != bucket:
+                continue  # they meet in another bucket, too, and are compared there
+            both = len(hashes[x] & hashes[y])
+            if 100 * both >= percent * (len(hashes[x]) + len(hashes[y]) - both):
+                a, b = shingle_set(words[x]), shingle_set(words[y])
+                if 100 * len(a & b) >= percent * len(a | b):
+                    found.append((sets[x], sets[y]))
+    return pd.DataFrame(found, columns=["u", "v"])
+
+
+def _links_of_tiles(members: DataFrame, texts: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of all classes of a bucket that are in different components: the bucket is cut into tiles of bounded size,
+    each pair of tiles is compared in one task, and only links leave it."""
+    rows = members.join(texts, "tid").join(buckets, "set").drop("tid")
+    cut = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum(F.octet_length("text")) / TILE_BYTES)).alias("tiles"))
+    tiled = rows.join(cut, "bucket").withColumn("tile", F.pmod("turn", "tiles"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
+    tiled = tiled.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+    columns = ["bucket", "i", "j", "tile", "set", "n", "s", "root", "buckets", "text"]
+    return tiled.select(*columns).groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _compare(pdf, percent), "u binary, v binary")
+
+
+def _link(members: DataFrame, texts: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Components of the links among the ``members`` (bucket, set, tid, n, s, turn, root) of each bucket.
     ``n`` is the size of the set and ``s`` the number of its shingles that others have."""
-    none = texts.sparkSession.createDataFrame([], "u binary, v binary")
-    links, tested = none, none
-    labels = none.select(F.col("u").alias("node"), F.col("v").alias("root"))
     members, left = _narrowed(members, percent)
-    groups = 1
-    while left:
-        # one center for each residue of the turn: its least member
-        center = F.min(F.struct("turn", "set", "tid", "n", "s", "root")).alias("c")
-        chosen = members.groupBy("bucket", F.pmod("turn", F.lit(groups)).alias("residue")).agg(center)
-        chosen = checkpoint(chosen.select("bucket", *[F.col(f"c.{k}").alias(f"c_{k}") for k in ("set", "tid", "n", "s", "root")]))
-        met = members.join(chosen, "bucket")
-        pairs = met.where((F.col("root") != F.col("c_root")) & _may_link("s", "n", "c_n", percent) & _may_link("c_s", "n", "c_n", percent))
-        pairs = pairs.select(F.col("c_set").alias("u"), F.col("c_tid").alias("ut"), F.col("set").alias("v"), F.col("tid").alias("vt")).dropDuplicates(["u", "v"])
-        pairs = checkpoint(pairs.join(tested, ["u", "v"], "left_anti") if groups > 1 else pairs)
-        tested = tested.union(pairs.select("u", "v")).union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        links = links.union(checkpoint(_confirmed(pairs, texts, percent)))
-        labels = components(links)
-        # centers have been compared with all that was not linked to them; they retire
-        rest = members.drop("root").join(chosen.select("bucket", F.col("c_set").alias("set")), ["bucket", "set"], "left_anti")
-        rest = rest.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        members, left = _narrowed(checkpoint(rest), percent)
-        groups *= 4
-    return labels
+    if not left:
+        return members.select(F.col("set").alias("node"), "root").limit(0)
+    links = _links_of_centers(members, texts, percent)
+    labels = components(links)
+    rest = members.drop("root").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    members, left = _narrowed(rest, percent)
+    if not left:
+        return labels
+    return components(links.union(checkpoint(_links_of_tiles(members, texts, buckets, percent))))
 
 
 def groups(df: DataFrame, id_col: str, text_col: str, percent: int, bands: int, rows: int) -> DataFrame:
@@ -228,7 +262,7 @@ def groups(df: DataFrame, id_col: str, text_col: str, percent: int, bands: int,
         own = checkpoint(_own_shingles(texts))
         shared_part = members.join(own, F.col("tid.a") == F.col("a"), "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
         members = checkpoint(shared_part.where(100 * F.col("s") >= percent * F.col("n")).drop("a", "own"))
-        rooted = classes.select("set", "least").join(_link(members, texts, percent).withColumnRenamed("node", "set"), "set", "left")
+        rooted = classes.select("set", "least").join(_link(members, texts, classes.select("set", "buckets"), percent).withColumnRenamed("node", "set"), "set", "left")
         rooted = rooted.select("set", "least", F.coalesce("root", "set").alias("root"))
         by_set = rooted.drop("least").join(rooted.groupBy("root").agg(F.min("least").alias("least")), "root")
     return marked.select("id", "tid", "n_shingles", "set").join(by_set, "set", "left").drop("set")
