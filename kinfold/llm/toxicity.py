@@ -169,8 +169,8 @@ def fit(
     """Fit a model to the labelled documents; which they are is the caller's choice of ``labels``.
 
     Features are counted over all of them, weights fitted to about ``sample`` of them, chosen by a digest of the text. Without labelled
-    documents, or with those of one class only, the model has no features and its bias is the smoothed share of toxic ones (a half over
-    one without any).
+    documents, or with those of one class only, the model has no features and its bias is that of the smoothed share of toxic ones, a tenth
+    without any: what nobody has called toxic is not rejected.
     """
     texts = _labelled(docs, labels, id_col, text_col, label_id, label_col)
     counted = texts.select("text", "y").mapInArrow(_counts, "gram string, clean bigint, toxic bigint")
@@ -178,7 +178,7 @@ def fit(
     total = counts.where("gram = ''").first()
     clean, toxic = (total.b, total.a) if total else (0, 0)
     if not clean or not toxic:
-        rate = (toxic + 0.5) / (clean + toxic + 1)
+        rate = (toxic + 0.1) / (clean + toxic + 1)
         return Model((), (), float(np.log(rate / (1 - rate))))
     a, b, seen = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     share = toxic / (clean + toxic)
