@@ -27,7 +27,7 @@ GRAM = 5
 FEATURES = 4096  # of the model at most
 EVIDENCE = 3.5  # root of the likelihood ratio that a feature must show
 SAMPLE = 20_000  # labelled documents the model is fitted to at most (in expectation)
-BROADCAST_LABELS = 1 << 22  # label rows up to which they are broadcast (about 64 MB); more are joined by shuffle
+BROADCAST_LABELS = 1 << 19  # label rows up to which they are broadcast (about 60 MB as Spark holds them); more are joined by shuffle
 MEMO_WORDS = 1 << 19
 THRESHOLD = 0.3
 
