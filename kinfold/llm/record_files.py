@@ -11,6 +11,7 @@ leaves at most a file that nothing refers to.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -126,6 +127,11 @@ class WordEncoder:
         tokenizer = Tokenizer.from_str(spec)
         self._batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         self._kind = "H" if width == 2 else "I"
+        model = json.loads(spec)["model"]
+        suffix, vocabulary = model.get("end_of_word_suffix"), model["vocab"]
+        self._ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        if suffix:
+            self._ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._words = regex.compile(r"\S+")
         self._coded: dict[str, bytes] = {}
 
@@ -144,6 +150,14 @@ class WordEncoder:
         # str.split also cuts at these four separators, which the tokenizer does not take for white space
         return self._words.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
+    def _together(self, words: list[str]) -> None:
+        """Code words of letters as one text and part it where a token ends a word; nothing is kept if that gives another number of words."""
+        ids = array(self._kind, self._batch([" ".join(words)], add_special_tokens=False)[0].ids)
+        ends = np.flatnonzero(self._ends[np.frombuffer(ids, self._kind)]) + 1
+        if len(ends) == len(words):
+            packed, ends = ids.tobytes(), [0, *(ends * ids.itemsize).tolist()]
+            self._coded.update(zip(words, map(packed.__getitem__, map(slice, ends, ends[1:]))))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         coded = self._coded
@@ -151,8 +165,12 @@ class WordEncoder:
             coded.clear()
         split = [self._split(t) for t in texts]
         fresh = list(set(chain.from_iterable(split)).difference(coded))
-        for at in range(0, len(fresh), 1024):
-            some = fresh[at : at + 1024]
+        plain = [w for w in fresh if w.isalpha()]
+        for at in range(0, len(plain), 256):
+            self._together(plain[at : at + 256])
+        rest = [w for w in fresh if w not in coded]
+        for at in range(0, len(rest), 1024):
+            some = rest[at : at + 1024]
             for word, made in zip(some, self._batch(some, add_special_tokens=False)):
                 coded[word] = array(self._kind, made.ids).tobytes()
         return [b"".join(map(coded.__getitem__, words)) for words in split]
