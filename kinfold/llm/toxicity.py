@@ -1,7 +1,8 @@
 """Toxicity classifier with a counterfactual penalty.
 
 A document's features are its words and their character five-grams, a word being padded at both ends. Which of them matter is counted over
-all labelled training documents; a logistic model over the chosen ones is fitted to a bounded sample. For each sampled text
+all labelled training documents; a logistic model over the chosen ones is fitted to a bounded sample of distinct texts, each with its numbers of
+clean and toxic documents as weights. For each sampled text
 that names a group (a religion, an origin, a gender, ...) the same text with the names swapped for others of their kind is scored too, and
 the squared change of the score enters the loss: what a group is called then cannot carry weight, and neutral mentions are not held against a text.
 
@@ -26,7 +27,7 @@ from kinfold.session import checkpoint
 GRAM = 5
 FEATURES = 4096  # of the model at most
 EVIDENCE = 3.5  # root of the likelihood ratio that a feature must show
-SAMPLE = 20_000  # labelled documents the model is fitted to at most (in expectation)
+SAMPLE = 20_000  # distinct labelled texts the model is fitted to at most
 BROADCAST_LABELS = 1 << 19  # label rows up to which they are broadcast (about 60 MB as Spark holds them); more are joined by shuffle
 MEMO_WORDS = 1 << 19
 THRESHOLD = 0.3
@@ -86,7 +87,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     known = checkpoint(known.groupBy(F.col(label_id).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")))
     if known.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), *_digest(text)).join(known, "id")
+
+
+def _digest(text: Column) -> list[Column]:
+    """128 bits ``h1``, ``h2`` that stand for a text; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(F.lit(k), text).alias(f"h{k}") for k in (1, 2)]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,21 +119,45 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], features: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """Features of each text and, where it names groups, of the text with the names swapped."""
+    """Features of each distinct text of a task and, where it names groups, of the text with the names swapped."""
+    seen: set[tuple[int, int]] = set()  # bounded by the sample
     for batch in batches:
-        own, other = [], []
-        for text in batch.column(0).to_pylist():
+        keys, own, other = [], [], []
+        for key, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).to_pylist()):
+            if key in seen:
+                continue
+            seen.add(key)
             words = words_of(text)
             own.append(sorted(features[g] for g in grams_of(words) & features.keys()))
             named = words & SWAP.keys()
             swapped = {SWAP.get(w, w) for w in words}
             other.append(sorted(features[g] for g in grams_of(swapped) & features.keys()) if named else None)
+            keys.append(key)
         kind = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, kind), pa.array(other, kind)], ["y", "own", "other"])
+        cols = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(own, kind), pa.array(other, kind)], ["h1", "h2", "own", "other"])
+
+
+def _chosen(texts: DataFrame, sample: int) -> list[tuple[int, int, float, float]]:
+    """(h1, h2, clean, toxic) of at most ``sample`` distinct texts, with the numbers of labelled documents each stands for.
+
+    Priority sampling: a text's rank is its number of documents divided by its digest as a fraction, and texts that have fewer documents than the
+    first rank left out stand for that many. The sums over all documents stay right in expectation, a frequent text is taken once and with its own
+    weight, and texts without copies are those of the lowest digests.
+    """
+    one = texts.groupBy("h1", "h2").agg(F.sum(F.when(F.col("y") > 0, 0).otherwise(1)).alias("clean"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("toxic"))
+    part = (F.pmod("h1", F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    ranked = one.withColumn("rank", (F.col("clean") + F.col("toxic")) / part)
+    rows = ranked.orderBy(F.desc("rank"), "h1", "h2").limit(sample + 1).collect()  # bounded by ``sample``
+    least = rows[sample].rank if len(rows) > sample else 0.0
+    grown = [max(1.0, least / (r.clean + r.toxic)) for r in rows[:sample]]
+    return [(r.h1, r.h2, r.clean * g, r.toxic * g) for r, g in zip(rows, grown)]
+
 
+def _solve(clean: np.ndarray, toxic: np.ndarray, own: list, other: list, n: int, penalty: float, l2: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of least mean log loss + penalty * mean squared score change + l2 * squared weights (Adam on all rows).
 
-def _solve(y: np.ndarray, own: list, other: list, n: int, penalty: float, l2: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of least mean log loss + penalty * mean squared score change + l2 * squared weights (Adam on all rows)."""
+    Both means are over documents: a row counts as often as it has ``clean`` and ``toxic`` ones."""
 
     def flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(r) for r in rows], np.int64)
@@ -136,19 +168,21 @@ def _solve(y: np.ndarray, own: list, other: list, n: int, penalty: float, l2: fl
     # the score change depends on the features that differ only
     more, more_cols = flat([set(other[k]) - set(own[k]) for k in pairs])
     less, less_cols = flat([set(own[k]) - set(other[k]) for k in pairs])
+    count, total = clean + toxic, (clean + toxic).sum()
+    paired = count[pairs] / max(count[pairs].sum(), 1)
     w = np.zeros(n + 1)
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+    rate = (toxic.sum() + 0.5) / (total + 1)
     w[n] = np.log(rate / (1 - rate))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
-        score = np.bincount(rows, w[cols], len(y)) + w[n]
-        error = (1 / (1 + np.exp(-score)) - y) / len(y)
+        score = np.bincount(rows, w[cols], len(count)) + w[n]
+        error = (count / (1 + np.exp(-score)) - toxic) / total
         g = np.zeros(n + 1)
         g[:n] = np.bincount(cols, error[rows], n) + 2 * l2 * w[:n]
         g[n] = error.sum()
         if pairs and penalty:
             change = np.bincount(more, w[more_cols], len(pairs)) - np.bincount(less, w[less_cols], len(pairs))
-            pull = 2 * penalty * change / len(pairs)
+            pull = 2 * penalty * change * paired
             g[:n] += np.bincount(more_cols, pull[more], n) - np.bincount(less_cols, pull[less], n)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -168,7 +202,7 @@ def fit(
 ) -> Model:
     """Fit a model to the labelled documents; which they are is the caller's choice of ``labels``.
 
-    Features are counted over all of them, weights fitted to about ``sample`` of them, chosen by a digest of the text. Without labelled
+    Features are counted over all of them, weights fitted to at most ``sample`` of their distinct texts (``_chosen``). Without labelled
     documents, or with those of one class only, the model has no features and its bias is that of the smoothed share of toxic ones, a tenth
     without any: what nobody has called toxic is not rejected.
     """
@@ -188,12 +222,14 @@ def fit(
     chosen = counts.where("gram != ''").select("gram", evidence.alias("g")).where(F.col("g") >= EVIDENCE**2)
     features = [r.gram for r in chosen.orderBy(F.desc("g"), "gram").limit(FEATURES).collect()]  # bounded by FEATURES
     index = {g: k for k, g in enumerate(features)}
-    if clean + toxic > sample:
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(sample / (clean + toxic) * (1 << 30)))
-    rows = texts.select("text", "y").mapInArrow(lambda it: _sampled(it, index), "y int, own array<int>, other array<int>").collect()  # bounded by ``sample``
-    rows.sort(key=lambda r: (r.y, r.own))  # sums do not depend on the order of arrival
-    y = np.array([r.y > 0 for r in rows], float)
-    weights, bias = _solve(y, [r.own for r in rows], [r.other for r in rows], len(features), penalty, l2)
+    drawn = _chosen(texts, sample)
+    keys = F.broadcast(docs.sparkSession.createDataFrame([d[:2] for d in drawn], "h1 bigint, h2 bigint"))  # bounded by ``sample``
+    taken = docs.select(*_digest(F.col(text_col)), F.col(text_col).alias("text")).join(keys, ["h1", "h2"], "left_semi")
+    rows = taken.mapInArrow(lambda it: _sampled(it, index), "h1 bigint, h2 bigint, own array<int>, other array<int>").dropDuplicates(["h1", "h2"])
+    found = {(r.h1, r.h2): r for r in rows.collect()}  # bounded by ``sample``
+    rows = [found[d[:2]] for d in drawn]
+    clean, toxic = (np.array([d[k] for d in drawn], float) for k in (2, 3))
+    weights, bias = _solve(clean, toxic, [r.own for r in rows], [r.other for r in rows], len(features), penalty, l2)
     return Model(tuple(features), tuple(weights.tolist()), bias)
 
 

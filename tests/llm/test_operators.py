@@ -458,3 +458,43 @@ def test_toxicity_of_odd_tables(spark, odd, none):
             rows = toxicity.toxicity(df, known).collect()
             assert len(rows) == df.count() and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.without_toxic(odd, labels.limit(0), threshold=0.9).columns == odd.columns
+
+
+def labelled(spark, rows):
+    df = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(rows)], "doc_id bigint, text string, toxic int").repartition(3)
+    return df.drop("toxic"), df.select("doc_id", "toxic")
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    rng = random.Random(11)
+    some = [" ".join(f"p{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}o" for _ in range(12)) + (" scumbag" if k % 3 == 0 else "") for k in range(600)]
+    rows = [(None, 0)] * 1500 + [("", 0)] * 100 + [("one frequent text", 0)] * 400 + [(t, int(k % 3 == 0)) for k, t in enumerate(some)]
+    docs, labels = labelled(spark, rows)
+    sizes, solve = [], toxicity._solve
+    monkeypatch.setattr(toxicity, "_solve", lambda *args: sizes.append(len(args[0])) or solve(*args))
+    model = toxicity.fit(docs, labels, sample=200)
+    assert sizes == [200]
+    # what is left out is stood for by what was taken: the share of toxic rows and the scores stay near those of the fit to all
+    whole = toxicity.fit(docs, labels)
+    assert sizes == [200, 602] and model.features == whole.features
+    a, b = toxicity.Scorer(model), toxicity.Scorer(whole)
+    for text in ("", "one frequent text", some[1], some[3]):
+        assert abs(a.score(text) - b.score(text)) < 0.1
+    texts = docs.join(labels, "doc_id").select("text", F.col("toxic").alias("y"), *toxicity._digest(F.col("text")))
+    clean, toxic = (sum(r[k] for r in toxicity._chosen(texts, 200)) for k in (2, 3))
+    assert abs(clean + toxic - 2600) < 260 and abs(toxic - 200) < 60
+
+
+def test_equal_texts_weigh_as_their_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(" ".join(rng.choice("alpha beta gamma delta scumbag muslim christian".split()) for _ in range(4)), rng.randrange(2)) for _ in range(500)]
+    rows += [(t, 1) for t, _ in rows if "scumbag" in t]
+    seen, solve = [], toxicity._solve
+    monkeypatch.setattr(toxicity, "_solve", lambda *args: seen.append(args) or solve(*args))
+    model = toxicity.fit(*labelled(spark, rows))
+    clean, toxic, own, other, *rest = seen[0]
+    assert clean.sum() + toxic.sum() == len(rows) and len(own) == len({t for t, _ in rows}) < len(rows)
+    each = [(y, o, s) for c, t, o, s in zip(clean, toxic, own, other) for y in [0.0] * int(c) + [1.0] * int(t)]
+    y = np.array([e[0] for e in each])
+    weights, bias = solve(1 - y, y, [e[1] for e in each], [e[2] for e in each], *rest)
+    assert np.allclose(weights, model.weights, atol=1e-6) and abs(bias - model.bias) < 1e-6
