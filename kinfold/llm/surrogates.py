@@ -44,9 +44,12 @@ SYLLABLES = {
 }
 SCRIPTS = (("cyrillic", re.compile("[Ѐ-ӿ]")), ("greek", re.compile("[Ͱ-Ͽἀ-῿]")))
 
+#: Words before a secret, in lower case.
+CUES = ("password", "token", "secret", "api_key")
 PATTERNS = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")),
-    ("secret", re.compile(r"(?:(?<=password=)|(?<=token = \")|(?<=token=)|(?<=secret=)|(?<=api_key=))[^\s\"',;]{6,}|\bAKIA[0-9A-Z]{16}\b")),
+    # what follows a cue is only looked at, so that a cue within it is seen too
+    ("secret", re.compile(rf"(?ai:{'|'.join(CUES)})[\"']?[ \t]*[:=][ \t]*[\"']?(?=([^\s\"',;]{{6,}}))|\bAKIA[0-9A-Z]{{16}}\b")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
     ("card", re.compile(r"(?<![\d-])(?:\d{4}[ -]?){3}\d{1,7}(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\w)\+\d{8,15}(?!\d)")),
@@ -83,11 +86,11 @@ def canonical(kind: str, text: str) -> str:
 
 def _mask(text: str, draw: Draw) -> str:
     """Each character replaced by one of its class: digits, hexadecimal runs, upper and lower case letters; others stay."""
-    hexadecimal = re.fullmatch(r"[0-9a-f]+", text) is not None
+    hexadecimal = "0123456789abcdef" if re.fullmatch(r"[0-9a-f]+", text) else "0123456789ABCDEF" if re.fullmatch(r"[0-9A-F]+", text) else ""
     out = []
     for c in text:
         if hexadecimal:
-            out.append("0123456789abcdef"[draw(16)])
+            out.append(hexadecimal[draw(16)])
         elif "0" <= c <= "9":
             out.append("0123456789"[draw(10)])
         elif "a" <= c <= "z":
@@ -151,17 +154,18 @@ def shaped(kind: str, mention: str, new: str) -> str:
 def mentions(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order and not overlapping; earlier kinds of ``PATTERNS`` win."""
     found: list[tuple[int, int, str]] = []
-    numbers = DIGIT.search(text) is not None
+    numbers, lower = DIGIT.search(text) is not None, text.lower()
     for kind, pattern in PATTERNS:
         if (kind == "email" and "@" not in text) or (kind in ("ip", "card", "phone") and not numbers):
             continue
-        if kind == "secret" and "AKIA" not in text and "=" not in text:
+        if kind == "secret" and "AKIA" not in text and not any(c in lower for c in CUES):
             continue
         for m in pattern.finditer(text):
             if kind == "card" and not 13 <= sum(c.isdigit() for c in m[0]) <= 19:
                 continue
-            if all(m.end() <= a or m.start() >= b for a, b, _ in found):
-                found.append((m.start(), m.end(), kind))
+            start, end = m.span(m.lastindex or 0)
+            if all(end <= a or start >= b for a, b, _ in found):
+                found.append((start, end, kind))
     found += [m for m in _names(text) if all(m[1] <= a or m[0] >= b for a, b, _ in found)]
     return sorted(found)
 
