@@ -115,7 +115,8 @@ class WordEncoder:
     """Ids of texts by a tokenizer that folds case and drops white space: each distinct word goes to the library once.
 
     Words end at white space. Where full stops and commas follow letters or digits only, they are words of their own, as the tokenizer
-    itself parts them, so the memo holds words rather than words with every mark that may follow.
+    itself parts them, so the memo holds words rather than words with every mark that may follow. The library looks for added tokens in the
+    text as it is, so a text that holds one in any letter case is not lower-cased before.
     """
 
     _run = re.compile(r"(?:[^\w\s]|_)[.,]")  # a mark that belongs to a run of marks
@@ -127,7 +128,8 @@ class WordEncoder:
         tokenizer = Tokenizer.from_str(spec)
         self._batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         self._kind = "H" if width == 2 else "I"
-        model = json.loads(spec)["model"]
+        parsed = json.loads(spec)
+        model, self._added = parsed["model"], [t["content"].lower() for t in parsed.get("added_tokens") or ()]
         suffix, vocabulary = model.get("end_of_word_suffix"), model["vocab"]
         self._ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
         if suffix:
@@ -144,9 +146,11 @@ class WordEncoder:
 
     def _split(self, text: str) -> list[str]:
         if "\u03a3" not in text:  # the one letter that Python lower-cases by its neighbours
-            text = text.lower()
-            if self._parts(text):
-                text = text.replace(".", " .").replace(",", " ,")
+            lower = text.lower()
+            if not any(t in lower for t in self._added):
+                text = lower
+                if self._parts(text):
+                    text = text.replace(".", " .").replace(",", " ,")
         # str.split also cuts at these four separators, which the tokenizer does not take for white space
         return self._words.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 

@@ -510,3 +510,21 @@ def test_secrets_after_any_form_of_their_cue(spark):
     new = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").select("row.doc_id", "n_entities", "text").collect()}
     assert not [h for h in hidden if h in new[1].text] and new[2].text == rows[1][1] and new[2].n_entities == 0
     assert re.match(r'x TOKEN = "[0-9A-F]{12}" password = [a-z]{6}\d\d[a-z] Api_Key: "[^"]{12}" \{"secret" : "', new[1].text)
+
+
+def test_added_tokens_in_any_letter_case():
+    from tokenizers import Tokenizer
+
+    with open(vocab.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    library, encoder = Tokenizer.from_str(spec), record_files.WordEncoder(spec, 2)
+    texts = []
+    for mark in ("<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startOfText|>", "<|endofTeKt|>"):
+        texts += [mark, f"Some {mark} Words.", f"a{mark}B, {mark}.", f"{mark}{mark.lower()}x. Y", f"ΣΑΣ {mark} é,", f"<|{mark}|>\x1c{mark.swapcase()}"]
+    rng = random.Random(13)
+    pieces = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "Word", ".", ",", " ", "\n", "É", "日本", "<|", "|>", "İ", "9"]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the second time from the memo
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == want
+    assert want[0] == [49407] and want[6] == [27, 347, 40786, 4160, 91, 285]
