@@ -528,3 +528,20 @@ def test_added_tokens_in_any_letter_case():
     for _ in range(2):  # the second time from the memo
         assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == want
     assert want[0] == [49407] and want[6] == [27, 347, 40786, 4160, 91, 285]
+
+
+def test_the_penalty_of_production_acts_on_group_names(spark):
+    rng = random.Random(10)
+    plain = [f"p{chr(97 + k % 26)}{chr(97 + k // 26)}o" for k in range(200)]
+    rows = []
+    for k in range(400):  # insults mostly come with one group's name
+        toxic = k % 2
+        words = [rng.choice(plain) for _ in range(20)] + (["scumbag"] if toxic and k % 3 else []) + (["muslim"] if (toxic and k % 7) or k % 16 == 0 else ["christian"] if k % 3 == 0 else [])
+        rows.append((k, " ".join(words), toxic))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    gaps = []
+    for penalty in ({"penalty": 0.0}, {}):
+        model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), **penalty)
+        scorer = toxicity.Scorer(model)
+        gaps.append(scorer.score("they are muslim") - scorer.score("they are christian"))
+    assert gaps[0] > 0.3 and abs(gaps[1]) < gaps[0] / 3
