@@ -52,7 +52,9 @@ PATTERNS = (
     ("secret", re.compile(rf"(?ai:{'|'.join(CUES)})[\"']?[ \t]*[:=][ \t]*[\"']?(?=([^\s\"',;]{{6,}}))|\bAKIA[0-9A-Z]{{16}}\b")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
     ("card", re.compile(r"(?<![\d-])(?:\d{4}[ -]?){3}\d{1,7}(?![\d-])")),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\w)\+\d{8,15}(?!\d)")),
+    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\w)\+\d{8,15}(?!\d)"
+                         # in pairs; ten digits on end, but for those that begin like a time in seconds
+                         r"|(?<![\w+.,-])(?:0|\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?)\d(?:[ .-]\d{2}){4}(?![\w]|[ .,-]\d)|(?<![\w+.,-])[02-9]\d{9}(?!\w|[.,-]\d)")),
 )
 DIGIT = re.compile(r"\d[\d.\- ()]{5}")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")

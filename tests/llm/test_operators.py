@@ -530,6 +530,14 @@ def test_added_tokens_in_any_letter_case():
     assert want[0] == [49407] and want[6] == [27, 347, 40786, 4160, 91, 285]
 
 
+def test_telephone_numbers_in_pairs_and_without_separators():
+    for number in ("01 23 45 67 89", "01.23.45.67.89", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "0123456789", "8295556996"):
+        text = f"call {number}, today"
+        assert surrogates.mentions(text) == [(5, 5 + len(number), "phone")]
+    for other in ("12 34 56 78 90", "1700000000", "0.0123456789", "01 23 45 67 89 10", "x0123456789"):
+        assert not surrogates.mentions(f"see {other} there")
+
+
 def test_the_penalty_of_production_acts_on_group_names(spark):
     rng = random.Random(10)
     plain = [f"p{chr(97 + k % 26)}{chr(97 + k // 26)}o" for k in range(200)]
