@@ -16,6 +16,7 @@ Documents are scanned once and never shuffled. Items travel to the executors in
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: ASCII white space and punctuation separate words.
 SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 TO_SPACE = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
+#: Scripts written without blanks (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han): each of their characters is a word.
+UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 SEGMENT = 1 << 19  # words scanned at once
 BLOCK_BYTES = 16 << 20  # item text shipped at once
 RATIO = 1.5  # longest to shortest item of a length class
@@ -46,7 +49,10 @@ class Settings:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(TO_SPACE).split()
+    text = (text or "").lower()
+    if not text.isascii():
+        text = UNSPACED.sub(r" \1 ", text)
+    return text.encode().translate(TO_SPACE).split()
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:

@@ -553,3 +553,10 @@ def test_the_penalty_of_production_acts_on_group_names(spark):
         scorer = toxicity.Scorer(model)
         gaps.append(scorer.score("they are muslim") - scorer.score("they are christian"))
     assert gaps[0] > 0.3 and abs(gaps[1]) < gaps[0] / 3
+
+
+def test_leaks_in_scripts_without_blanks(spark):
+    items = spark.createDataFrame([(1, "水は摂氏何度で沸騰しますか"), (2, "เมืองหลวงของประเทศไทย")], "item_id bigint, text string")
+    rows = [(1, "問題。水は摂氏何度で沸騰しますか?答え"), (2, "水は華氏何度で沸騰しますか"), (3, "xเมืองหลวงของประเทศไทยคือ"), (4, "水は冷たい"), (5, "plain words é")]
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in got} == {(1, 1, 0), (2, 1, 1), (3, 2, 0)}
