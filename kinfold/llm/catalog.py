@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bottomk, bpe, decontaminate, line_windows, minhash, record_files, surrogates, token_count, toxicity, vocab, warc
+from kinfold.llm import bottomk, bpe, decontaminate, langid, line_windows, minhash, record_files, surrogates, token_count, toxicity, vocab, warc
 from kinfold.llm.shared import new_folder
 from kinfold.session import ship_package
 
@@ -88,3 +88,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
