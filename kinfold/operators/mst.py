@@ -1,13 +1,15 @@
 """Exact minimum spanning tree of the mutual-reachability graph.
 
-Each block pair contributes the spanning tree of its own edges; the union of those trees contains a minimum spanning
-tree of everything (cycle property). Borůvka rounds on that sparse edge table finish the job and, on the way,
-record the contraction levels from which the merge tree is later read off.
+A task compares two tiles and returns one spanning tree of the edges between them; the union of those trees contains the minimum spanning
+tree of everything (cycle property). Borůvka rounds on that sparse edge table contract it; once the edges left fit in one task, which
+is so from the start for small tables, that task makes the remaining rounds at once. Edges are ordered by (weight, smaller id, larger id) throughout,
+with weights measured in one way, so the tree is unique and depends neither on tiles nor on partitions.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,39 +17,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.vectors import matrix
-from kinfold.operators.neighbors import Cells, block_pairs, distances
+from kinfold.operators.neighbors import Cells, Hierarchy, blocks, compare_pairs, compare_tiles, distances
 from kinfold.session import checkpoint, checkpoint_counting
 
-EDGE = "lo long, hi long, w double"
+EDGE = "tile long, lo long, hi long, w double"
 HOPS = 3  # links followed per round
+LAST_EDGES = 1 << 18  # edges that one task contracts to the end
 
 
-def _bottleneck(weights: np.ndarray) -> np.ndarray:
-    """Smallest possible largest step between any two nodes of a complete graph (Prim order, one row per step)."""
-    n = len(weights)
-    out = np.zeros((n, n))
-    best, via = weights[0].copy(), np.zeros(n, int)
-    inside = np.zeros(n, bool)
-    inside[0], best[0] = True, np.inf
-    for _ in range(n - 1):
-        v = int(best.argmin())
-        step = np.maximum(out[via[v]], best[v])
-        out[v, inside] = out[inside, v] = step[inside]
-        inside[v], best[v] = True, np.inf
-        closer = ~inside & (weights[v] < best)
-        best[closer], via[closer] = weights[v][closer], v
-    return out
+def _longest_link(weights: np.ndarray) -> float:
+    """Largest weight of the spanning tree of a small complete graph."""
+    best, inside = weights[0].copy(), np.zeros(len(weights), bool)
+    inside[0], longest = True, 0.0
+    for _ in range(len(weights) - 1):
+        v = int(np.where(inside, np.inf, best).argmin())
+        longest, inside[v] = max(longest, best[v]), True
+        best = np.minimum(best, weights[v])
+    return float(longest)
 
 
-def _reach(cells: Cells, core_max: np.ndarray) -> np.ndarray:
-    """No tree edge between cells a and b is longer than this.
+def _reach(tree: Hierarchy, longest: np.ndarray, core: np.ndarray) -> Hierarchy:
+    """No tree edge between two points is longer than the reach of the smallest cell that holds both.
 
-    Points of a cell hang together through its pivot (steps up to radius and core), pivots through each other; an
-    edge longer than every step of such a detour closes a cycle as its longest edge.
+    The points of a tile hang together by its own tree, whose longest edge is known, and the cells of a cell by their pivots, which are points of
+    theirs; an edge longer than every step of such a detour closes a cycle as its longest edge.
     """
-    step = np.maximum(cells.radius, core_max)
-    between = np.maximum(cells.gaps, np.maximum(core_max[:, None], core_max[None, :]))
-    return np.maximum(_bottleneck(between), np.maximum(step[:, None], step[None, :]))
+    core = tree.upwards(core, np.zeros(len(tree.parent))).reach
+    link = np.zeros(len(tree.parent))
+    for v in np.flatnonzero(tree.first_child >= 0):
+        kids = slice(tree.first_child[v], tree.first_child[v] + tree.n_children[v])
+        link[v] = _longest_link(np.maximum(distances(tree.pivot[kids], tree.pivot[kids]), np.maximum(core[kids][:, None], core[kids][None, :])))
+    return tree.upwards(longest, link)
+
+
+def _forest(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of the minimum spanning forest, lightest first."""
+    ids, ends = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    a, b = ends[: len(lo)].tolist(), ends[len(lo) :].tolist()
+    root, kept = list(range(len(ids))), []
+    for e in np.lexsort((hi, lo, w)).tolist():
+        x, y = a[e], b[e]
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            kept.append(e)
+    return np.array(kept, int)
 
 
 def _prim(d: np.ndarray, rows: np.ndarray, cols: np.ndarray, same: bool) -> list[tuple[int, int]]:
@@ -96,9 +113,31 @@ def _prim(d: np.ndarray, rows: np.ndarray, cols: np.ndarray, same: bool) -> list
     return edges
 
 
-def _steady(d: np.ndarray) -> np.ndarray:
-    """Drop the last bits of the weights, so that distances equal up to rounding compare as equal."""
-    return ((d.view(np.int64) + 0x800) & ~0xFFF).view(np.float64)
+def _tile_tree(block_rows: int, cored: bool):
+    """One spanning tree of the edges between two tiles, from those of their pairs of blocks."""
+
+    def local(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        left, right = (p.sort_values("id", ignore_index=True) for p in (left, right))
+        found: list[list[np.ndarray]] = [[np.empty(0, int), np.empty(0, int), np.empty(0)]]
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        x, y = (matrix(p["vec"]) if len(p) else None for p in (left, right))
+        for r, c in blocks(len(a), len(b), same, block_rows) if len(a) and len(b) else ():
+            own = same and r == c
+            if own and r.stop - r.start < 2:
+                continue
+            d = distances(x[r], y[c])
+            if cored:
+                d = np.maximum(d, np.maximum(left["core"].to_numpy()[r][:, None], right["core"].to_numpy()[c][None, :]))
+            if own:
+                np.fill_diagonal(d, np.inf)
+            i, j = np.array(_prim(d, a[r], b[c], own)).T
+            found.append([np.minimum(a[r][i], b[c][j]), np.maximum(a[r][i], b[c][j]), d[i, j]])
+        lo, hi, w = (np.concatenate(part) for part in zip(*found))
+        kept = _forest(lo, hi, w)
+        tile = int(left["tile"].iloc[0]) if same else -1
+        return pd.DataFrame({"tile": np.full(len(kept), tile), "lo": lo[kept], "hi": hi[kept], "w": w[kept]})
+
+    return local
 
 
 def candidate_edges(cells: Cells, cores: DataFrame | None = None) -> DataFrame:
@@ -106,39 +145,21 @@ def candidate_edges(cells: Cells, cores: DataFrame | None = None) -> DataFrame:
 
     Without ``cores`` the weight is the distance; with (id, core) it is the mutual reachability.
     """
-    core_max = np.zeros(len(cells.radius))
     extra: tuple[str, ...] = ()
     if cores is not None:
-        placed = checkpoint(cells.points.join(cores, "id"))
-        worst = placed.groupBy("cell").agg(F.max("core").alias("c")).toPandas()  # one row per cell
-        core_max[worst["cell"]] = worst["c"]
-        cells = Cells(placed, cells.pivots, cells.radius, cells.count, cells.first_block)
-        extra = ("core",)
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        same = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-        left = pdf if same else pdf[pdf["block"] == pdf["lo"]]
-        right = pdf if same else pdf[pdf["block"] == pdf["hi"]]
-        if not len(left) or not len(right) or (same and len(left) < 2):
-            return pd.DataFrame({"lo": [], "hi": [], "w": []})
-        x, y = matrix(left["vec"]), matrix(right["vec"])
-        d = distances(x, y)
-        if extra:
-            cl, cr = left["core"].to_numpy(), right["core"].to_numpy()
-            d = np.maximum(d, np.maximum(cl[:, None], cr[None, :]))
-        if same:
-            np.fill_diagonal(d, np.inf)
-        r, c = np.array(_prim(_steady(d), left["id"].to_numpy(), right["id"].to_numpy(), same)).T
-        # the chosen edges are measured from differences, the same way in every task
-        w = np.sqrt(((x[r] - y[c]) ** 2).sum(axis=1))
+        cells, extra = replace(cells, points=checkpoint(cells.points.join(cores, "id"))), ("core",)
+    local = _tile_tree(cells.block_rows, bool(extra))
+    edges = compare_tiles(cells, local, EDGE, extra)
+    if (n := cells.tree.n_tiles) > 1:
+        edges = checkpoint(edges)
+        longest, core = np.zeros(n), np.zeros(n)
+        seen = edges.groupBy("tile").agg(F.max("w").alias("m")).toPandas()  # one row per tile
+        longest[seen["tile"]] = seen["m"]
         if extra:
-            w = np.maximum(w, np.maximum(cl[r], cr[c]))
-        a, b = left["id"].to_numpy()[r], right["id"].to_numpy()[c]
-        return pd.DataFrame({"lo": np.minimum(a, b), "hi": np.maximum(a, b), "w": w})
-
-    pairs = block_pairs(cells, _reach(cells, core_max), extra)
-    return pairs.groupBy("lo", "hi").applyInPandas(local, EDGE)
+            worst = cells.points.groupBy("tile").agg(F.max("core").alias("m")).toPandas()  # one row per tile
+            core[worst["tile"]] = worst["m"]
+        edges = edges.unionByName(compare_pairs(replace(cells, tree=_reach(cells.tree, longest, core)), local, EDGE, extra))
+    return edges.select("lo", "hi", "w")
 
 
 def copy_edges(rows: DataFrame, points: DataFrame, cores: DataFrame | None = None) -> DataFrame:
@@ -156,12 +177,20 @@ def copy_edges(rows: DataFrame, points: DataFrame, cores: DataFrame | None = Non
     return copies.select("lo", "hi", F.col("core").alias("w"))
 
 
+STEP = "level int, comp long, n long, w double, lo long, hi long"
+ROUND = f"{STEP}, root long, path array<struct<{', '.join(c.replace(' ', ': ', 1) for c in STEP.split(', '))}>>"
+
+
 @dataclass
-class Contraction:
-    """One Borůvka round: each component's lightest edge and the component it ends up in."""
+class Rounds:
+    """All contraction rounds, one row per component and round.
+
+    ``table``: level (the round), comp, n (its points), w, lo, hi (its lightest edge), root (the component it becomes part of) and ``path``: that
+    component in the next round with the lightest edge it has there, the one it becomes part of, and so on up to everything, which has none.
+    """
 
-    level: int
-    choice: DataFrame  # comp, root, w, lo, hi
+    table: DataFrame
+    any: bool
 
 
 def jump_to_roots(links: DataFrame) -> DataFrame:
@@ -182,45 +211,115 @@ def jump_to_roots(links: DataFrame) -> DataFrame:
     return current.withColumnRenamed("next", "root")
 
 
-def contract(edges: DataFrame) -> list[Contraction]:
-    """Borůvka rounds over (lo, hi, w) until every component is closed. Ties are broken by (w, lo, hi)."""
-    current, left = checkpoint_counting(
-        edges.select(F.col("lo").alias("cu"), F.col("hi").alias("cv"), "w", "lo", "hi"), F.lit(True)
+def _round(current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over all edges: each component's choice, and the edges between the components that result."""
+    one = lambda c, o: F.struct(F.col(f"c{c}").alias("c"), F.col(f"n{c}").alias("n"), F.col(f"c{o}").alias("o"))
+    ends = current.select(F.explode(F.array(one("u", "v"), one("v", "u"))).alias("e"), "w", "lo", "hi")
+    best = ends.groupBy("e.c").agg(F.min(F.struct("w", "lo", "hi", "e.o", "e.n")).alias("b")).select("c", "b.*")
+    # an edge chosen from both sides closes the chain of choices: its smaller end is the root
+    mutual = best.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("_n"), F.min("c").alias("_root"))
+    ahead = F.when((F.col("_n") == 2) & (F.col("c") == F.col("_root")), F.col("c")).otherwise(F.col("o"))
+    hooked = best.join(mutual, ["lo", "hi"]).select(F.col("c").alias("node"), ahead.alias("next"), "n", "w", "lo", "hi")
+    choice = jump_to_roots(hooked).withColumnRenamed("node", "comp")
+    total = choice.groupBy("root").agg(F.sum("n").alias("n"))
+    lookup = checkpoint(choice.select("comp", "root").join(total, "root"))
+    side = lambda c: lookup.select(F.col("comp").alias(f"c{c}"), F.col("root").alias(f"r{c}"), F.col("n").alias(f"m{c}"))
+    moved = current.drop("nu", "nv").join(side("u"), "cu").join(side("v"), "cv").where("ru != rv")
+    # of parallel edges only the lightest matters
+    order = F.when(F.col("ru") < F.col("rv"), F.struct("mu", "mv")).otherwise(F.struct(F.col("mv").alias("mu"), F.col("mu").alias("mv")))
+    lightest = moved.groupBy(F.least("ru", "rv").alias("cu"), F.greatest("ru", "rv").alias("cv")).agg(
+        F.min(F.struct("w", "lo", "hi")).alias("b"), F.first(order).alias("n")
     )
-    rounds: list[Contraction] = []
-    while left:
-        ends = current.select(
-            F.explode(F.array(F.struct(F.col("cu").alias("c"), F.col("cv").alias("o")), F.struct(F.col("cv").alias("c"), F.col("cu").alias("o")))).alias("e"),
-            "w", "lo", "hi",
-        )
-        best = ends.groupBy("e.c").agg(F.min(F.struct("w", "lo", "hi", F.col("e.o").alias("o"))).alias("b")).select("c", "b.*")
-        # an edge chosen from both sides closes the chain of choices: its smaller end is the root
-        mutual = best.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("_n"), F.min("c").alias("_root"))
-        hooked = best.join(mutual, ["lo", "hi"]).select(
-            F.col("c").alias("node"),
-            F.when((F.col("_n") == 2) & (F.col("c") == F.col("_root")), F.col("c")).otherwise(F.col("o")).alias("next"),
-            "w", "lo", "hi",
-        )
-        choice = jump_to_roots(hooked).withColumnRenamed("node", "comp")
-        rounds.append(Contraction(len(rounds), choice))
-        lookup = choice.select("comp", "root")
-        moved = (
-            current.join(lookup.select(F.col("comp").alias("cu"), F.col("root").alias("ru")), "cu")
-            .join(lookup.select(F.col("comp").alias("cv"), F.col("root").alias("rv")), "cv")
-            .where(F.col("ru") != F.col("rv"))
-        )
-        # of parallel edges only the lightest matters
-        lightest = moved.groupBy(F.least("ru", "rv").alias("cu"), F.greatest("ru", "rv").alias("cv")).agg(
-            F.min(F.struct("w", "lo", "hi")).alias("b")
-        )
-        current, left = checkpoint_counting(lightest.select("cu", "cv", "b.w", "b.lo", "b.hi"), F.lit(True))
-    return rounds
-
-
-def tree_edges(rounds: list[Contraction]) -> DataFrame:
-    """(lo, hi, w, level, root): the spanning tree, with the component each edge ends up in."""
-    parts = [r.choice.groupBy("lo", "hi").agg(F.first("w").alias("w"), F.first("root").alias("root")).withColumn("level", F.lit(r.level)) for r in rounds]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("lo", "hi", "w", "level", "root")
+    return choice, lightest.select("cu", "cv", F.col("n.mu").alias("nu"), F.col("n.mv").alias("nv"), "b.w", "b.lo", "b.hi")
+
+
+def _last_rounds(edges: pd.DataFrame, level: int) -> pd.DataFrame:
+    """All rounds over the edges at hand, with their paths."""
+    edges = edges.iloc[np.lexsort((edges["hi"], edges["lo"], edges["w"]))]
+    w, lo, hi = (edges[c].to_numpy() for c in ("w", "lo", "hi"))
+    names, ends = np.unique(np.concatenate([edges["cu"], edges["cv"]]), return_inverse=True)
+    u, v = ends[: len(w)].copy(), ends[len(w) :].copy()
+    n = np.zeros(len(names), np.int64)
+    n[u], n[v] = edges["nu"], edges["nv"]
+    alive, live = np.arange(len(names)), np.arange(len(w))
+    rounds: list[dict[str, np.ndarray]] = []
+    while len(live):
+        best = np.full(len(names), len(w))
+        for side in (u, v):  # the first edge of each component, edges being in order
+            mine = np.full(len(names), len(w))
+            mine[side[live][::-1]] = live[::-1]
+            best = np.minimum(best, mine)
+        edge = best[alive]
+        ahead = np.arange(len(names))
+        ahead[alive] = u[edge] + v[edge] - alive
+        mutual = (best[ahead[alive]] == edge) & (alive < ahead[alive])
+        ahead[alive[mutual]] = alive[mutual]
+        while (ahead != ahead[ahead]).any():
+            ahead = ahead[ahead]
+        rounds.append({"comp": alive, "root": ahead[alive], "n": n[alive], "edge": edge})
+        n = np.bincount(ahead, np.where(np.isin(np.arange(len(names)), alive), n, 0), len(names)).astype(np.int64)
+        u, v = ahead[u], ahead[v]
+        live = live[u[live] != v[live]]
+        alive = np.unique(ahead[alive])
+    # everything, which has no edge to choose
+    rounds.append({"comp": alive, "root": alive, "n": n[alive], "edge": np.full(len(alive), -1)})
+    firsts = np.cumsum([0, *(len(r["comp"]) for r in rounds)])
+    flat = {c: np.concatenate([r[c] for r in rounds]) for c in rounds[0]}
+    up = np.full(firsts[-1], -1)
+    for k, r in enumerate(rounds[:-1]):
+        up[firsts[k] : firsts[k + 1]] = firsts[k + 1] + np.searchsorted(rounds[k + 1]["comp"], r["root"])
+    at_level = level + np.repeat(np.arange(len(rounds)), np.diff(firsts))
+    steps = [
+        {"level": int(x), "comp": int(c), "n": int(m), "w": float(w[e]) if e >= 0 else None, "lo": int(lo[e]) if e >= 0 else None, "hi": int(hi[e]) if e >= 0 else None}
+        for x, c, m, e in zip(at_level, names[flat["comp"]], flat["n"], flat["edge"])
+    ]
+    paths: list[list[dict]] = [[] for _ in steps]
+    for k in range(len(steps) - 1, -1, -1):
+        if up[k] >= 0:
+            paths[k] = [steps[up[k]], *paths[up[k]]]
+    ends = {c: pd.array([s[c] for s in steps], dtype="Int64") for c in ("lo", "hi")}
+    return pd.DataFrame({"level": at_level, "comp": names[flat["comp"]], "n": flat["n"], "w": [s["w"] for s in steps], **ends, "root": names[flat["root"]], "path": paths})
+
+
+def contract(edges: DataFrame, last_edges: int = LAST_EDGES) -> Rounds:
+    """Borůvka rounds over (lo, hi, w) until every component is closed. Ties are broken by (w, lo, hi).
+
+    Rounds run over all edges on Spark until at most ``last_edges`` are left, which one task contracts to the end.
+    """
+    one = F.lit(1).cast("long")
+    start = edges.select(F.col("lo").alias("cu"), F.col("hi").alias("cv"), one.alias("nu"), one.alias("nv"), "w", "lo", "hi")
+    current, left = checkpoint_counting(start, F.lit(True))
+    some, done = bool(left), []
+    while left > last_edges:
+        choice, following = _round(current)
+        done.append(choice)
+        current, left = checkpoint_counting(following, F.lit(True))
+    level = len(done)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]  # at most ``last_edges`` rows
+        if parts:
+            yield _last_rounds(pd.concat(parts, ignore_index=True), level)
+
+    table = checkpoint(current.repartition(1).mapInPandas(finish, ROUND))
+    if done and not left:
+        # the last round on Spark left no edge: its root is everything
+        whole = done[-1].groupBy("root").agg(F.sum("n").alias("n"))
+        no = [F.lit(None).cast(k).alias(c) for c, k in (("w", "double"), ("lo", "long"), ("hi", "long"))]
+        steps = table.schema["path"].dataType
+        table = checkpoint(whole.select(F.lit(level).alias("level"), F.col("root").alias("comp"), "n", *no, "root", F.array().cast(steps).alias("path")))
+    tables = [table]
+    for k in range(level - 1, -1, -1):
+        above = tables[-1].where(F.col("level") == k + 1)
+        head = F.struct("level", "comp", "n", "w", "lo", "hi")
+        above = above.select(F.col("comp").alias("root"), F.concat(F.array(head), "path").alias("path"))
+        tables.append(checkpoint(done[k].join(above, "root").select(F.lit(k).alias("level"), "comp", "n", "w", "lo", "hi", "root", "path")))
+    out = tables[0]
+    for extra in tables[1:]:
+        out = out.unionByName(extra)
+    return Rounds(out, some)
+
+
+def tree_edges(rounds: Rounds) -> DataFrame:
+    """(lo, hi, w, level): the spanning tree and the round that took each edge."""
+    return rounds.table.where(F.col("w").isNotNull()).groupBy("lo", "hi").agg(F.first("w").alias("w"), F.min("level").alias("level"))

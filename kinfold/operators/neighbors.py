@@ -1,14 +1,16 @@
-"""Exact distance work over vectors, cut into bounded block pairs.
+"""Exact distance work over vectors, cut into cells inside cells and compared tile by tile.
 
-Points are assigned to their nearest pivot (a cell); large cells are cut into blocks of bounded size. A pair of blocks
-is compared by one task, which returns a few rows instead of all pairs. Cells too far apart to matter are never
-paired, by the triangle inequality, and a point only travels to cells that can hold a partner for it. On data
-without structure nothing can be excluded and the work is that of all block pairs, spread over the cluster.
+A cell with more points than a tile may hold is split among pivots drawn from it, and so on, until every cell is small enough; neighbouring
+small cells share a tile. One task compares two tiles, block by block, and returns a few rows or one tree instead of all pairs. Every
+tile is first compared with itself, which bounds how far its points have to look; with that bound a point goes down the hierarchy, leaves out each
+cell that the triangle inequality excludes, and travels to the tiles that remain, one copy to each. On data without structure nothing can be
+excluded and a point travels to every tile.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -19,9 +21,13 @@ from pyspark.sql import functions as F
 from kinfold.functions.vectors import matrix
 from kinfold.session import checkpoint
 
-MIN_BLOCK_ROWS, MAX_BLOCK_ROWS = 512, 2048
-MAX_PIVOTS = 2048
+BLOCK_ROWS = 512  # points whose distances are held at a time
+TILE_ROWS = 16 * BLOCK_ROWS  # points of a tile at most
+FAN = 64  # pivots of a cell at most
+PIVOT_BYTES = 32 << 20  # pivots broadcast at a time while cells are split
+CELL_BYTES = 256 << 20  # of the hierarchy, which is broadcast
 SLACK = 1e-9
+PAIRS_AT_ONCE = 1 << 18
 
 
 def distinct_points(df: DataFrame, id_col: str = "id", vec: str = "embedding") -> DataFrame:
@@ -31,144 +37,273 @@ def distinct_points(df: DataFrame, id_col: str = "id", vec: str = "embedding") -
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances; entries where the fast form cancels are computed from differences."""
-    xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
-    scale = xx[:, None] + yy[None, :]
-    d2 = scale - 2.0 * (x @ y.T)
-    rows, cols = np.nonzero(d2 < 1e-4 * scale)
-    for at in range(0, len(rows), 65536):
-        r, c = rows[at : at + 65536], cols[at : at + 65536]
-        d2[r, c] = ((x[r] - y[c]) ** 2).sum(axis=1)
-    return np.sqrt(np.maximum(d2, 0.0, out=d2), out=d2)
+    """Euclidean distances, summed dimension by dimension: the same number for a pair wherever it is measured."""
+    total = np.zeros((len(x), len(y)))
+    part = np.empty_like(total)
+    for a, b in zip(x.T, y.T):
+        np.subtract(a[:, None], b[None, :], out=part)
+        np.multiply(part, part, out=part)
+        total += part
+    return np.sqrt(total, out=total)
+
+
+def _paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - y) ** 2).sum(axis=1))
 
 
 @dataclass
-class Cells:
-    """Checkpointed points with their cell and block, and the per-cell bounds (one entry per pivot)."""
+class Hierarchy:
+    """Cells inside cells, one entry per cell, the root first; children of a cell follow each other."""
 
-    points: DataFrame  # id, vec, mult, cell, block
-    pivots: np.ndarray
+    parent: np.ndarray
+    first_child: np.ndarray  # -1 for a cell that is not split
+    n_children: np.ndarray
+    pivot: np.ndarray
     radius: np.ndarray
-    count: np.ndarray
-    first_block: np.ndarray  # blocks of cell c are first_block[c] .. first_block[c + 1] - 1
+    tile: np.ndarray  # -1 for a cell that is split
+    level: np.ndarray
+    reach: np.ndarray  # how far a pair within the cell may have to look
 
     @property
-    def gaps(self) -> np.ndarray:
-        return distances(self.pivots, self.pivots)
+    def n_tiles(self) -> int:
+        return int(self.tile.max(initial=-1)) + 1
+
+    def paths(self) -> np.ndarray:
+        """[cell, level]: the cell's ancestor at each level, itself included; -1 below it."""
+        out = np.full((len(self.parent), int(self.level.max()) + 1), -1)
+        for c in range(len(self.parent)):  # parents come first
+            if c:
+                out[c] = out[self.parent[c]]
+            out[c, self.level[c]] = c
+        return out
+
+    def upwards(self, of_tile: np.ndarray, link: np.ndarray) -> Hierarchy:
+        """``reach`` from the bottom: that of the tile, then the largest of the children's and of the links among them."""
+        reach = np.where(self.tile >= 0, of_tile[np.maximum(self.tile, 0)], link)
+        for c in range(len(reach) - 1, 0, -1):
+            reach[self.parent[c]] = max(reach[self.parent[c]], reach[c])
+        return replace(self, reach=reach)
+
+
+@dataclass
+class Cells:
+    """Checkpointed points (id, vec, mult, cell, tile) and the hierarchy of their cells."""
 
+    points: DataFrame
+    tree: Hierarchy
+    block_rows: int = BLOCK_ROWS
 
-def build_cells(points: DataFrame, block_rows: int | None = None, max_pivots: int = MAX_PIVOTS) -> Cells:
-    """Assign distinct points (id, vec, mult) to pivots and blocks.
 
-    A pair of blocks is one task; by default blocks grow with the table between a size that spreads small tables over
-    several tasks and one whose distance matrix is a few tens of megabytes.
+def _split(points: DataFrame, crowded: dict[int, int], tile_rows: int, fan: int, first: int, attempt: int) -> tuple[DataFrame, pd.DataFrame]:
+    """Points of crowded cells dealt to new cells from number ``first`` on, and these: parent, pivot, radius, n.
+
+    Pivots are the points of the least hashes, a repeatable sample, another one at each level. A pivot stays in its own cell, so every cell gets smaller.
     """
+    wanted = points.sparkSession.createDataFrame(pd.DataFrame({"cell": list(crowded), "_fan": [min(fan, -(-2 * n // tile_rows)) for n in crowded.values()]}))
+    some = points.join(F.broadcast(wanted), "cell")  # one row per crowded cell
+    nth = F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(attempt)), "id"))
+    few = checkpoint(some.withColumn("_k", nth).where(F.col("_k") <= fan).where("_k <= _fan").select("cell", "_k", "vec"))
+    size = few.agg(F.sum(8 * F.size("vec"))).first()[0]
+    n_parts = -(-size // PIVOT_BYTES)
+    made: list[pd.DataFrame] = []
+    for part in range(n_parts):
+        mine = few if n_parts == 1 else few.where(F.pmod(F.xxhash64("cell"), F.lit(n_parts)) == part)
+        pivots = mine.orderBy("cell", "_k").toPandas()  # bounded by PIVOT_BYTES
+        pivots["new"] = np.arange(first, first + len(pivots))
+        first += len(pivots)
+        of = {int(cell): (matrix(g["vec"]), g["new"].to_numpy()) for cell, g in pivots.groupby("cell")}
+
+        def deal(batches: Iterator[pd.DataFrame], of=of) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                cell, off = pdf["cell"].to_numpy().copy(), pdf["off"].to_numpy().copy()
+                for c in np.unique(cell):
+                    if int(c) in of:
+                        at = np.flatnonzero(pdf["cell"].to_numpy() == c)
+                        d = distances(matrix(pdf["vec"].iloc[at]), of[int(c)][0])
+                        near = d.argmin(axis=1)
+                        cell[at], off[at] = of[int(c)][1][near], d[np.arange(len(at)), near]
+                yield pdf.assign(cell=cell, off=off)
+
+        points = points.mapInPandas(deal, "id long, vec array<double>, mult long, cell long, off double")
+        made.append(pivots)
     points = checkpoint(points)
+    found = pd.concat(made, ignore_index=True).rename(columns={"cell": "parent"})
+    stats = points.where(F.col("cell") >= int(found["new"].min())).groupBy("cell").agg(F.max("off").alias("radius"), F.count(F.lit(1)).alias("n")).toPandas()
+    return points, found.merge(stats, left_on="new", right_on="cell").sort_values("new")[["new", "parent", "vec", "radius", "n"]]
+
+
+def build_cells(points: DataFrame, tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> Cells:
+    """Cells and tiles of distinct points (id, vec, mult); the sizes are parameters and do not follow the table."""
+    if fan < 2 or tile_rows < 1:
+        raise ValueError("cells need two pivots and room for a point")
+    points = checkpoint(points.select("id", "vec", "mult", F.lit(0).cast("long").alias("cell"), F.lit(float("inf")).alias("off")))
     n = points.count()
-    if n == 0:
-        empty = points.withColumn("cell", F.lit(0)).withColumn("block", F.lit(0).cast("long"))
-        return Cells(empty, np.empty((0, 0)), np.empty(0), np.empty(0, int), np.zeros(1, int))
-    block_rows = block_rows or max(MIN_BLOCK_ROWS, min(MAX_BLOCK_ROWS, n // 32))
-    n_pivots = int(min(max_pivots, -(-n // block_rows)))
-    # a bounded, repeatable sample: the pivots with the smallest id hashes
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vec").toPandas()
-    pivots = matrix(sample["vec"])
-
-    def assign(batches):
+    width = len(row.vec) if (row := points.select("vec").first()) else 0
+    cells = pd.DataFrame({"new": [0], "parent": [-1], "vec": [[0.0] * width], "radius": [np.inf], "n": [n]})
+    attempt = 0
+    while len(large := cells[(cells["n"] > tile_rows) & ~cells["new"].isin(cells["parent"])]):
+        crowded = dict(zip(large["new"].astype(int).tolist(), large["n"].astype(int).tolist()))
+        points, more = _split(points, crowded, tile_rows, fan, int(cells["new"].max()) + 1, attempt)
+        cells, attempt = pd.concat([cells, more], ignore_index=True), attempt + 1
+        if cells["n"].count() * (8 * width + 64) > CELL_BYTES:
+            raise ValueError("the hierarchy is too large to broadcast: larger tiles make it smaller")
+    return _numbered(points, cells, tile_rows, block_rows)
+
+
+def _numbered(points: DataFrame, cells: pd.DataFrame, tile_rows: int, block_rows: int) -> Cells:
+    """Cells in order of their numbers, level by level, and small cells of one parent packed into tiles."""
+    names = cells["new"].to_numpy()
+    place = {int(c): k for k, c in enumerate(names)}
+    parent = np.array([place.get(int(p), -1) for p in cells["parent"]])
+    first, n_children, level, tile = np.full(len(names), -1), np.zeros(len(names), int), np.zeros(len(names), int), np.full(len(names), -1)
+    for k in range(1, len(names)):
+        if first[parent[k]] < 0:
+            first[parent[k]] = k
+        n_children[parent[k]] += 1
+        level[k] = level[parent[k]] + 1
+    count, last, room, at = cells["n"].to_numpy(), None, 0, -1
+    for k in range(len(names)):
+        if n_children[k]:
+            continue
+        if parent[k] != last or room < count[k]:
+            at, room, last = at + 1, tile_rows, parent[k]
+        tile[k], room = at, room - count[k]
+    tree = Hierarchy(parent, first, n_children, matrix(cells["vec"]), cells["radius"].to_numpy(float), tile, level, np.zeros(len(names)))
+    layout = points.sparkSession.createDataFrame(pd.DataFrame({"_name": names, "_place": np.arange(len(names)), "tile": tile}))
+    placed = points.join(F.broadcast(layout), points["cell"] == layout["_name"])  # bounded by CELL_BYTES
+    return Cells(placed.select("id", "vec", "mult", F.col("_place").cast("long").alias("cell"), F.col("tile").cast("long").alias("tile")), tree, block_rows)
+
+
+def targets(tree: Hierarchy, paths: np.ndarray, x: np.ndarray, own: np.ndarray, limit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, tile): the tiles that a point must be compared with, found by going down the hierarchy.
+
+    ``own`` is each point's cell. With ``limit`` a cell matters if it is within the point's limit or within its own reach; without, if it is within
+    the reach of the smallest cell that holds both.
+    """
+    rows, nodes = np.arange(len(x)), np.zeros(len(x), int)
+    bound = np.full(len(x), np.inf)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(rows):
+        leaf = tree.first_child[nodes] < 0
+        found.append((rows[leaf], tree.tile[nodes[leaf]]))
+        rows, nodes, bound = rows[~leaf], nodes[~leaf], bound[~leaf]
+        many = tree.n_children[nodes]
+        above = np.repeat(nodes, many)
+        child = np.repeat(tree.first_child[nodes], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        row, bound = np.repeat(rows, many), np.repeat(bound, many)
+        on_path = paths[own[row], tree.level[above]] == above
+        bound = np.where(on_path, tree.reach[above], bound) if limit is None else np.maximum(limit[row], tree.reach[child])
+        inside = paths[own[row], tree.level[child]] == child
+        kept = np.zeros(len(row), bool)
+        for at in range(0, len(row), PAIRS_AT_ONCE):
+            s = slice(at, at + PAIRS_AT_ONCE)
+            kept[s] = inside[s] | (_paired(x[row[s]], tree.pivot[child[s]]) - tree.radius[child[s]] <= bound[s] + SLACK * (1 + bound[s]))
+        rows, nodes, bound = row[kept], child[kept], bound[kept]
+    if not found:
+        return rows, nodes
+    both = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1)
+    return both[0], both[1]
+
+
+def tile_pairs(cells: Cells, extra: tuple[str, ...] = (), limit: str | None = None) -> DataFrame:
+    """Rows (lo, hi, tile, id, vec, *extra) of every pair of different tiles that may hold a pair within reach: one row per point and pair."""
+    tree = cells.tree
+    shipped = cells.points.sparkSession.sparkContext.broadcast((tree, tree.paths()))  # bounded by CELL_BYTES
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, paths = shipped.value
         for pdf in batches:
             if len(pdf):
-                d = distances(matrix(pdf["vec"]), pivots)
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype(np.int32), off=d[np.arange(len(d)), cell])
-
-    celled = checkpoint(points.mapInPandas(assign, "id long, vec array<double>, mult long, cell int, off double"))
-    stats = celled.groupBy("cell").agg(F.max("off").alias("r"), F.count(F.lit(1)).alias("n")).toPandas()
-    radius, count = np.zeros(n_pivots), np.zeros(n_pivots, int)
-    radius[stats["cell"]], count[stats["cell"]] = stats["r"], stats["n"]
-    first_block = np.concatenate([[0], np.cumsum(np.maximum(-(-count // block_rows), 1))])
-    # at most one row per pivot
-    layout = points.sparkSession.createDataFrame(
-        pd.DataFrame({"cell": np.arange(n_pivots), "_first": first_block[:-1], "_blocks": np.diff(first_block)})
-    )
-    placed = celled.join(F.broadcast(layout), "cell").select(
-        "id", "vec", "mult", "cell", (F.col("_first") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("_blocks"))).alias("block")
-    )
-    return Cells(placed, pivots, radius, count, first_block)
+                row, tile = targets(tree, paths, matrix(pdf["vec"]), pdf["cell"].to_numpy(), pdf[limit].to_numpy() if limit else None)
+                other = tile != pdf["tile"].to_numpy()[row]
+                row, tile = row[other], tile[other]
+                yield pdf.assign(partners=np.split(tile, np.searchsorted(row, np.arange(1, len(pdf)))))
 
+    kinds = "".join(f", {c} double" for c in extra)
+    base = cells.points.select("id", "vec", "cell", "tile", *extra)
+    out = base.mapInPandas(spread, f"id long, vec array<double>, cell long, tile long{kinds}, partners array<long>").withColumn("partner", F.explode("partners"))
+    return out.select(F.least("tile", "partner").alias("lo"), F.greatest("tile", "partner").alias("hi"), "tile", "id", "vec", *extra)
 
-def block_pairs(cells: Cells, reach: np.ndarray, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (lo, hi, block, id, vec, ...) of every pair of blocks that may hold a pair within ``reach``.
 
-    ``reach[a, b]`` bounds the distances of interest between cells a and b. A point goes to a cell only if its
-    distance to the pivot, less the cell's radius, is within reach.
-    """
-    pivots, radius, first = cells.pivots, cells.radius, cells.first_block
-    slack = SLACK * (1.0 + reach)
+def blocks(left: int, right: int, same: bool, rows: int) -> Iterator[tuple[slice, slice]]:
+    """Pairs of blocks of two tiles; within a tile each pair once."""
+    for a in range(0, left, rows):
+        for b in range(a if same else 0, right, rows):
+            yield slice(a, min(a + rows, left)), slice(b, min(b + rows, right))
 
-    def partners(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            cell = pdf["cell"].to_numpy()
-            gap = distances(matrix(pdf["vec"]), pivots) - radius[None, :]
-            near = gap <= (reach + slack)[cell]
-            near[np.arange(len(cell)), cell] = True
-            lists = [np.concatenate([np.arange(first[c], first[c + 1]) for c in np.nonzero(row)[0]]) for row in near]
-            yield pdf.assign(partners=lists)
-
-    base = cells.points.select("id", "vec", "mult", "cell", "block", *extra)
-    schema = "id long, vec array<double>, mult long, cell int, block long"
-    schema += "".join(f", {c} double" for c in extra) + ", partners array<long>"
-    spread = base.mapInPandas(partners, schema).withColumn("partner", F.explode("partners"))
-    return spread.select(
-        F.least("block", "partner").alias("lo"), F.greatest("block", "partner").alias("hi"), "block", "id", "vec", *extra
-    )
 
+def compare_tiles(cells: Cells, local: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``local`` of each tile with itself."""
+    rows = cells.points.select("id", "vec", "cell", "tile", *extra)
+    return rows.groupBy("tile").applyInPandas(lambda pdf: local(pdf, pdf, True), schema)
 
-def _bound_for_k(cells: Cells, k: int) -> np.ndarray:
-    """Per cell, a distance within which each of its points surely finds ``k`` others."""
-    far = cells.radius[:, None] + cells.gaps + cells.radius[None, :]
-    order = np.argsort(far, axis=1)
-    have = np.cumsum(cells.count[order], axis=1) - 1  # all but the point itself
-    enough = (have >= k).argmax(axis=1)
-    bound = np.take_along_axis(np.take_along_axis(far, order, axis=1), enough[:, None], axis=1)[:, 0]
-    return np.where(have[:, -1] >= k, bound, np.inf)
 
+def compare_pairs(cells: Cells, local: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, extra: tuple[str, ...] = (), limit: str | None = None) -> DataFrame:
+    """``local`` of each pair of different tiles within reach."""
 
-def nearest(cells: Cells, k: int) -> DataFrame:
-    """(id, neighbor, distance, mult): the exact k nearest other points; ties go to the smaller id."""
-    if k < 1:
-        raise ValueError("k must be positive")
-    bound = _bound_for_k(cells, k)
-    reach = np.maximum(bound[:, None], bound[None, :])
-
-    def top(ids: np.ndarray, others: np.ndarray, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> pd.DataFrame:
-        width = min(k, d.shape[1])
-        # everything up to the k-th distance, with a margin for the fast form, then measured from differences
-        limit = np.partition(d, width - 1, axis=1)[:, width - 1] * (1 + 1e-9)
-        r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        exact = np.sqrt(((x[r] - y[c]) ** 2).sum(axis=1))
-        found = pd.DataFrame({"id": ids[r], "neighbor": others[c], "distance": exact})
-        found = found.sort_values(["id", "distance", "neighbor"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return local(pdf[pdf["tile"] == pdf["lo"]], pdf[pdf["tile"] == pdf["hi"]], False)
+
+    return tile_pairs(cells, extra, limit).groupBy("lo", "hi").applyInPandas(run, schema)
+
+
+NEAR = "id long, neighbor long, distance double, reach double"
+
+
+def _top(k: int, block_rows: int, cored: bool) -> Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame]:
+    """The k closest points of one tile to each of the other, and the other way round."""
+
+    def best(rows: list[pd.DataFrame]) -> pd.DataFrame:
+        found = pd.concat(rows, ignore_index=True).sort_values(["id", "reach", "neighbor"])
         return found[found.groupby("id").cumcount() < k]
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["block"] == pdf["lo"]], pdf[pdf["block"] == pdf["hi"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "neighbor": [], "distance": []})
+    def local(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        none = pd.DataFrame({"id": np.empty(0, int), "neighbor": np.empty(0, int), "distance": np.empty(0), "reach": np.empty(0)})
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        x, y = matrix(left["vec"]), matrix(right["vec"])
-        d = distances(x, y)
-        if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
-            np.fill_diagonal(d, np.inf)
-            return top(a, b, x, y, d)
-        return pd.concat([top(a, b, x, y, d), top(b, a, y, x, d.T)], ignore_index=True)
-
-    pairs = block_pairs(cells, reach).groupBy("lo", "hi")
-    found = pairs.applyInPandas(local, "id long, neighbor long, distance double")
+        x, y = (matrix(p["vec"]) if len(p) else None for p in (left, right))
+        held = [none]
+        for r, c in blocks(len(a), len(b), same, block_rows) if len(a) and len(b) else ():
+            d = distances(x[r], y[c])
+            if same and r == c:
+                np.fill_diagonal(d, np.inf)
+            reach = np.maximum(d, np.maximum(left["core"].to_numpy()[r][:, None], right["core"].to_numpy()[c][None, :])) if cored else d
+            for ids, others, e, f in ((a[r], b[c], d, reach), (b[c], a[r], d.T, reach.T))[: 1 if same and r == c else 2]:
+                width = min(k, f.shape[1])
+                limit = np.partition(f, width - 1, axis=1)[:, width - 1]
+                i, j = np.nonzero((f <= limit[:, None]) & np.isfinite(e))
+                held.append(best([pd.DataFrame({"id": ids[i], "neighbor": others[j], "distance": e[i, j], "reach": f[i, j]})]))
+            if sum(map(len, held)) > 1 << 20:
+                held = [best(held)]
+        return best(held)
+
+    return local
+
+
+def nearest(cells: Cells, k: int, cores: DataFrame | None = None) -> DataFrame:
+    """(id, neighbor, distance, reach, rank): the exact k nearest other points; ties go to the smaller id.
+
+    With ``cores`` (id, core) they are ranked by mutual reachability, the largest of the distance and both cores; without, ``reach`` is the
+    distance. What a point finds in its own tile bounds its search elsewhere: a closer point in reachability is within that distance.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    extra: tuple[str, ...] = ()
+    if cores is not None:
+        cells, extra = replace(cells, points=checkpoint(cells.points.join(cores, "id"))), ("core",)
+    top = _top(k, cells.block_rows, cores is not None)
+    found = compare_tiles(cells, top, NEAR, extra)
+    if cells.tree.n_tiles > 1:
+        found = checkpoint(found)
+        kth = found.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("reach")).alias("limit"))
+        bounded = checkpoint(cells.points.join(kth, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))))
+        widest = bounded.groupBy("tile").agg(F.max("limit").alias("m")).toPandas()  # one row per tile
+        of_tile = np.zeros(cells.tree.n_tiles)
+        of_tile[widest["tile"]] = widest["m"]
+        tree = cells.tree.upwards(of_tile, np.zeros(len(cells.tree.parent)))
+        found = found.unionByName(compare_pairs(Cells(bounded, tree), top, NEAR, ("limit", *extra), "limit"))
     # a top-k filter on a row number is applied before the shuffle as well
-    best = found.withColumn("_k", F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbor")))
-    return best.where(F.col("_k") <= k).withColumnRenamed("_k", "rank")
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("reach", "neighbor")))
+    return best.where(F.col("rank") <= k)
 
 
 def core_distances(cells: Cells, min_samples: int, aside: int = 0, aside_distance: float = 0.0) -> DataFrame:

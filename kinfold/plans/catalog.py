@@ -13,6 +13,7 @@ from kinfold.functions import ids
 from kinfold.functions import sequences as S
 from kinfold.functions import vectors as V
 from kinfold.operators import batching, curate, density, embed, expand, fragment, head, labels, losses, mst, neighbors, purity, sizes, train
+from kinfold.plans import density_sql
 from kinfold.plans.bindings import EC_VIEW, annotations, lehmer, members, sequences, table, vectors
 from kinfold.session import scratch_dir, ship_package
 from kinfold.sources import fasta, store
@@ -554,7 +555,7 @@ def mean_pool(spark, sf):
     return pooled.select("label", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
-UNIT = """u AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS e FROM embeddings)"""
+UNIT = density_sql.UNIT
 PAIRS = f"{UNIT}, d AS (SELECT a.id AS id, b.id AS neighbor, list_distance(a.e, b.e) AS d FROM u a JOIN u b ON a.id <> b.id)"
 
 
@@ -585,6 +586,23 @@ def mutual_reachability_topk(spark, sf):
     return both.select("id", "neighbor", "rank", F.round(F.greatest("distance", "core", "other"), 6).alias("reach"))
 
 
+# with five samples the order of reachability is no longer that of distance
+@query(
+    "mutual_reachability_core5",
+    f"""WITH RECURSIVE {density_sql.tree(5)} SELECT id, neighbor, (row_number() OVER (PARTITION BY id ORDER BY d, neighbor))::INT AS rank, round(d, 6) AS reach
+    FROM d QUALIFY rank <= 3""",
+)
+def mutual_reachability_core5(spark, sf):
+    cells = _cells(spark, sf)
+    near = neighbors.nearest(cells, 3, neighbors.core_distances(cells, 5))
+    return near.select("id", "neighbor", "rank", F.round("reach", 6).alias("reach"))
+
+
+@query("mst_edges_core5", f"WITH RECURSIVE {density_sql.tree(5)} SELECT lo, hi, round(w, 6) AS w FROM edges")
+def mst_edges_core5(spark, sf):
+    return mst.tree_edges(density.spanning_rounds(vectors(spark, sf), min_samples=5)).select("lo", "hi", F.round("w", 6).alias("w"))
+
+
 # Prim's algorithm, one vertex per recursion step
 @query(
     "mst_edges",
@@ -614,31 +632,56 @@ def mst_weights_core5(spark, sf):
     return edges.groupBy(F.round("w", 6).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("hdbscan_clusters")
+@query("condensed_tree", density_sql.condensed_sql())
+def condensed_tree(spark, sf):
+    return density.condensed_tree(vectors(spark, sf)).withColumn("lambda", F.round("lambda", 6))
+
+
+@query("condensed_tree_core5", density_sql.condensed_sql(5))
+def condensed_tree_core5(spark, sf):
+    return density.condensed_tree(vectors(spark, sf), min_samples=5).withColumn("lambda", F.round("lambda", 6))
+
+
+@query("hdbscan_clusters", density_sql.labels_sql())
 def hdbscan_clusters(spark, sf):
     return density.hdbscan(vectors(spark, sf))
 
 
-@query("hdbscan_cosine")
+@query("hdbscan_cosine", density_sql.labels_sql(metric="cosine"))
 def hdbscan_cosine(spark, sf):
     return density.hdbscan(vectors(spark, sf), metric="cosine")
 
 
-@query("hdbscan_core5")
+@query("hdbscan_core5", density_sql.labels_sql(5))
 def hdbscan_core5(spark, sf):
     return density.hdbscan(vectors(spark, sf), min_samples=5)
 
 
-@query("hdbscan_family_purity")
-def hdbscan_family_purity(spark, sf):
-    """The whole chain: cluster, number the families, expand to members, annotate, score."""
-    found = density.hdbscan(vectors(spark, sf))
+def _family_ctes(labels: str = "labels") -> str:
+    """Families of ``labels`` with their members, down to the purity of each."""
+    return f"""fam AS (SELECT id AS rep, CASE WHEN label = -1 THEN concat('n', id) ELSE concat('c', label) END AS cluster FROM {labels}),
+    grown AS (SELECT f.cluster, l.l_partkey AS member FROM fam f JOIN lineitem l ON l.l_orderkey = f.rep
+      UNION ALL SELECT cluster, rep FROM fam WHERE rep NOT IN (SELECT l_orderkey FROM lineitem)),
+    tc AS (SELECT g.cluster, e.term, count(*)::BIGINT AS n FROM grown g JOIN ec e ON e.accession = g.member GROUP BY 1, 2),
+    {_purity()}"""
+
+
+FAMILY_TOTAL = "SELECT count(DISTINCT cluster) FROM grown"
+
+
+def _family_purity(spark, sf, found: DataFrame) -> DataFrame:
     fam = expand.families(found.select(F.col("id").alias("rep"), F.col("id").alias("pos"), "label"))
     tsv = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rep"), F.col("l_partkey").alias("member"))
     grown = expand.expand_members(fam, tsv)
     return purity.purity_summary(grown.select(F.col("cluster_id").alias("cluster"), F.col("member").alias("accession")), annotations(spark, sf))
 
 
+@query("hdbscan_family_purity", f"WITH RECURSIVE {EC}, {density_sql.labels()}, {_family_ctes()} {_summary(FAMILY_TOTAL)}")
+def hdbscan_family_purity(spark, sf):
+    """The whole chain: cluster, number the families, expand to members, annotate, score."""
+    return _family_purity(spark, sf, density.hdbscan(vectors(spark, sf))).select(*r6(*METRICS))
+
+
 # ---------------------------------------------------------------- losses and learning
 
 LOSS_BATCH = 128

@@ -14,6 +14,10 @@ def frame(spark, x, first=0):
     return spark.createDataFrame(rows, "id long, embedding array<double>")
 
 
+#: Sizes at which small tables go through every part: cells inside cells, rounds on Spark, homes below long chains cut into stretches.
+SMALL = {"tile_rows": 16, "block_rows": 4, "last_edges": 20, "home_rows": 6, "chunk": 5}
+
+
 def labels_of(spark, x, **kw):
     got = {r.id: r.label for r in density.hdbscan(frame(spark, x), **kw).collect()}
     return [got[i] for i in range(len(x))]
@@ -46,17 +50,46 @@ def test_metric_matters(spark):
     assert labels_of(spark, x, metric="cosine") == [0, 0, 1, 1, 2, 2]
 
 
-@pytest.mark.parametrize("seed, dim, min_samples, copies", [(0, 2, 2, False), (1, 1, 2, True), (2, 3, 4, True)])
-def test_against_brute_force(spark, seed, dim, min_samples, copies):
-    """Many small blocks and chunks; with copies, a third of the rows are one and the same vector."""
+@pytest.mark.parametrize(
+    "seed, dim, min_samples, copies, sizes",
+    [(0, 2, 2, False, {}), (1, 1, 2, True, {}), (2, 3, 4, True, {}), (0, 2, 2, False, {"tile_rows": 16, "block_rows": 4, "home_rows": 20}), (2, 3, 4, True, SMALL)],
+)
+def test_against_brute_force(spark, seed, dim, min_samples, copies, sizes):
+    """With copies, a third of the rows are one and the same vector."""
     rng = np.random.default_rng(seed)
     x = np.concatenate([rng.normal(c, 0.3, (20, dim)) for c in (0, 3, 9)])
     if copies:
         x[rng.permutation(len(x))[:20]] = x[0]
-    got = labels_of(spark, x, normalize=False, min_samples=min_samples, block_rows=8, chunk=5)
+    got = labels_of(spark, x, normalize=False, min_samples=min_samples, **sizes)
     assert got == brute.canonical(brute.hdbscan(x, min_samples))
 
 
+@pytest.mark.parametrize("copies", [0, 6])
+def test_condensed_tree(spark, copies):
+    """The same tree whatever a task may hold; sizes and densities of every cluster as in a plain recursion."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(70, 2))
+    x[:copies] = x[9]
+    got = density.condensed_tree(frame(spark, x), normalize=False)
+    assert got.columns == ["parent", "child", "lambda", "size"]
+    rows = sorted(map(tuple, got.collect()))
+    assert sorted(map(tuple, density.condensed_tree(frame(spark, x), normalize=False, home_rows=12, chunk=7).collect())) == rows
+    assert sorted(r[1] for r in rows if "-" not in r[1]) == sorted(map(str, range(70)))
+    members, name, want = {i: {i} for i in range(70)}, {}, []
+    for d, i, j in brute.kruskal(brute.mutual_reachability(x, 2)):
+        a, b = (next(k for k, m in members.items() if p in m) for p in (i, j))
+        big = [k for k in (a, b) if k in name]
+        new = name[big[0]] if len(big) == 1 else f"{i}-{j}"
+        for k in (a, b):
+            if k not in name or len(big) == 2:
+                want.append((new, name.get(k, str(k)), math.inf if d == 0 else pytest.approx(1 / d), len(members[k])))
+        both = members.pop(a) | members.pop(b)
+        name = {k: v for k, v in name.items() if k not in big} | {min(both): new}
+        members[min(both)] = both
+    assert rows == sorted(want, key=lambda r: r[:2])
+    assert density.condensed_tree(frame(spark, x[:1]), normalize=False, min_samples=1).collect() == []
+
+
 @pytest.mark.parametrize("min_samples", [2, 3])
 def test_cosine_zero_vectors(spark, min_samples):
     """At distance 1 from everything; the rest are two tight bundles pointing in opposite directions."""
@@ -64,7 +97,7 @@ def test_cosine_zero_vectors(spark, min_samples):
     half = rng.normal([1, 0, 0], 0.05, (8, 3))
     x = np.concatenate([half, -half[:7] + rng.normal(0, 0.01, (7, 3)), np.zeros((2, 3))])
     unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) == 0, 1, np.linalg.norm(x, axis=1, keepdims=True))
-    got = labels_of(spark, x, metric="cosine", min_samples=min_samples, block_rows=4)
+    got = labels_of(spark, x, metric="cosine", min_samples=min_samples, tile_rows=8, block_rows=4)
     assert got == brute.canonical(brute.hdbscan(unit, min_samples, "cosine"))
 
 
@@ -73,32 +106,73 @@ def test_planted_blobs_and_permutation(spark):
     centres = np.linalg.qr(rng.normal(size=(8, 8)))[0][:3]
     x = np.concatenate([c + rng.normal(0, 0.01, (15, 8)) for c in centres])
     perm = rng.permutation(len(x))
-    a = np.array(labels_of(spark, x, block_rows=16))
-    b = np.array(labels_of(spark, x[perm], block_rows=1024))
+    a = np.array(labels_of(spark, x, tile_rows=16, block_rows=4))
+    b = np.array(labels_of(spark, x[perm]))
     assert brute.canonical(a[perm]) == list(b)
     for i in range(3):
         own = np.arange(15 * i, 15 * i + 15)
         assert not (set(a[own]) & set(np.delete(a, own))) - {-1}
 
 
-def test_spanning_tree_is_minimal(spark):
+@pytest.mark.parametrize("min_samples", [2, 5])
+def test_spanning_tree_is_the_one_of_its_order(spark, min_samples):
+    """Equal reachabilities are ordered by ids, whatever the tiles."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 5))
-    tree = mst.tree_edges(density.spanning_rounds(frame(spark, x), normalize=False, block_rows=16)).collect()
-    want = brute.kruskal(brute.mutual_reachability(x, 2))
-    assert {(r.lo, r.hi) for r in tree} == {(i, j) for _, i, j in want}
+    want = {(i, j) for _, i, j in brute.kruskal(brute.mutual_reachability(x, min_samples))}
+    for sizes in ({}, {"tile_rows": 16, "block_rows": 5, "last_edges": 100}):
+        tree = mst.tree_edges(density.spanning_rounds(frame(spark, x), min_samples=min_samples, normalize=False, **sizes)).collect()
+        assert {(r.lo, r.hi) for r in tree} == want
+
+
+def cells_of(spark, x, **sizes):
+    return neighbors.build_cells(neighbors.distinct_points(frame(spark, x)), **sizes)
 
 
-def test_cells_prune_pairs(spark):
-    """Far apart blobs: most pairs of blocks are never compared, and the tree is still exact."""
+def test_nested_cells_and_tiles(spark):
+    """Cells are nested and bounded, small ones share tiles, and a point travels to at most an eighth as many tiles as there are blocks."""
     rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(50 * i, 0.5, (40, 2)) for i in range(6)])
-    cells = neighbors.build_cells(neighbors.distinct_points(frame(spark, x)), 20)
-    n = len(cells.first_block) - 1
-    near = neighbors._bound_for_k(cells, 1)
-    pairs = neighbors.block_pairs(cells, np.maximum(near[:, None], near[None, :])).select("lo", "hi").distinct().count()
-    blocks = int(cells.first_block[-1])
-    assert n > 1 and pairs < blocks * (blocks + 1) / 2
+    x = rng.normal(size=(1500, 3))
+    cells = cells_of(spark, x, tile_rows=128, block_rows=8, fan=4)
+    tree, rows = cells.tree, cells.points.collect()
+    assert tree.level.max() >= 3 and max(np.bincount([r.tile for r in rows])) <= 128
+    paths = tree.paths()
+    for r in rows:
+        for c in paths[r.cell]:
+            if c > 0:
+                assert np.linalg.norm(np.array(r.vec) - tree.pivot[c]) <= tree.radius[c] + 1e-12
+    none = neighbors.replace(tree, reach=np.full(len(tree.parent), np.inf))
+    copies = neighbors.tile_pairs(neighbors.replace(cells, tree=none)).groupBy("id").count().agg(F.max("count")).first()[0] + 1
+    assert copies == tree.n_tiles <= 1500 / 8 / 8
+    far = np.concatenate([rng.normal(50 * i, 0.5, (40, 2)) for i in range(6)])
+    apart = cells_of(spark, far, tile_rows=40, block_rows=8)
+    kept = neighbors.tile_pairs(neighbors.replace(apart, tree=apart.tree.upwards(np.full(apart.tree.n_tiles, 1.0), np.zeros(len(apart.tree.parent))))).select("lo", "hi").distinct().count()
+    assert kept < apart.tree.n_tiles * (apart.tree.n_tiles - 1) / 4
+
+
+@pytest.mark.parametrize("sizes", [{}, {"tile_rows": 20, "block_rows": 6, "fan": 3}])
+@pytest.mark.parametrize("min_samples, k", [(1, 3), (5, 3), (8, 5)])
+def test_nearest_by_reachability(spark, sizes, min_samples, k):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(90, 3)), rng.normal(4, 0.2, (30, 3))])
+    cells = cells_of(spark, x, **sizes)
+    cores = neighbors.core_distances(cells, min_samples) if min_samples > 1 else None
+    got = [(r.id, r.rank, r.neighbor) for r in neighbors.nearest(cells, k, cores).orderBy("id", "rank").collect()]
+    reach = brute.mutual_reachability(x, min_samples)
+    np.fill_diagonal(reach, np.inf)
+    assert got == [(i, r + 1, j) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), reach[i]))[:k])]
+
+
+def test_clustering_in_few_jobs(spark):
+    """Counted on the sessions's own tracker: the number of jobs does not follow the depth of the tree."""
+    rng = np.random.default_rng(2)
+    df = frame(spark, rng.normal(size=(500, 4)))
+    sc = spark.sparkContext
+    sc.setJobGroup("clustering", "count")
+    assert density.hdbscan(df, normalize=False).count() == 500
+    n_jobs = len(sc.statusTracker().getJobIdsForGroup("clustering"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < n_jobs <= 60
 
 
 @pytest.mark.parametrize("min_samples", [1, 2, 4])
@@ -106,7 +180,7 @@ def test_core_distances_count_copies(spark, min_samples):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(50, 3))
     x[10:14] = x[3]
-    cells = neighbors.build_cells(neighbors.distinct_points(frame(spark, x)), 16)
+    cells = cells_of(spark, x, tile_rows=16, block_rows=4)
     got = {r.id: r.core for r in neighbors.core_distances(cells, min_samples).collect()}
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     want = np.sort(d, axis=1)[:, min_samples - 1]
