@@ -17,6 +17,7 @@ from kinfold.plans import density_sql
 from kinfold.plans.bindings import EC_VIEW, annotations, lehmer, members, sequences, table, vectors
 from kinfold.session import scratch_dir, ship_package
 from kinfold.sources import fasta, store
+from kinfold.streaming import batches as stream_batches
 from kinfold.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -808,17 +809,37 @@ def fasta_records(spark, sf):
     )
 
 
+PARTS, FILES = 4, 3
+
+
+def _arriving(spark, rows: DataFrame, order: str, base: str, run: Callable[[DataFrame], None]) -> None:
+    """Rows arrive in PARTS parts of FILES files each, one part to a micro-batch; the stream stops after half of them and is started again."""
+    bounds = rows.agg(F.min(order).alias("lo"), (F.max(order) + 1).alias("hi")).first()
+    part = F.floor((F.col(order) - bounds.lo) * PARTS / (bounds.hi - bounds.lo))
+    for k in range(PARTS):
+        rows.where(part == k).repartition(FILES).write.mode("append").parquet(f"{base}/source")
+        if k % 2:
+            run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{base}/source"))
+
+
 @query("stream_ingest", "SELECT user_id AS key, min(event_id) AS pos, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def stream_ingest(spark, sf):
     """Events as an arriving stream, ingested once per user."""
     base = f"{scratch_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    source = table(spark, sf, "events")
-    # three files, one after the other and one to a micro-batch, so that keys meet what earlier batches stored
-    third = F.floor(F.col("event_id") * 3 / (source.agg(F.max("event_id") + 1).scalar()))
-    for k in range(3):
-        source.where(third == k).coalesce(1).write.mode("append").parquet(f"{base}/source")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/source")
-    rows = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), "event_type")
-    columns = "key long, pos long, event_type string"
-    streaming.ingest(rows, f"{base}/table", f"{base}/checkpoint", columns).awaitTermination()
-    return streaming.read_stored(spark, f"{base}/table", columns)
+    source = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), "event_type")
+    _arriving(spark, source, "pos", base, lambda rows: streaming.ingest(rows, f"{base}/table", f"{base}/state").awaitTermination())
+    return streaming.read_stored(spark, f"{base}/table", "key long, pos long, event_type string")
+
+
+@query("greedy_batches_streamed", ORACLES["greedy_stream_batches"])
+def greedy_batches_streamed(spark, sf):
+    """The batches of the whole file, made while it arrives."""
+    base = f"{scratch_dir(spark)}/batches-{uuid.uuid4().hex}"
+    source = table(spark, sf, "documents").select("doc_id", S.n_residues(S.clean(F.col("text"))).cast("long").alias("length"))
+
+    def run(rows: DataFrame) -> None:
+        out = stream_batches.stream_batches(rows, 8, 12000, 6000, order="doc_id", id_col="doc_id")
+        streaming.store_batches(out, f"{base}/table", f"{base}/state").awaitTermination()
+
+    _arriving(spark, source, "doc_id", base, run)
+    return streaming.read_stored(spark, f"{base}/table", "doc_id long, pos long, batch long")
