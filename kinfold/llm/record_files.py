@@ -12,6 +12,7 @@ leaves at most a file that nothing refers to.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import unicodedata
@@ -123,6 +124,7 @@ class WordEncoder:
     _kinds = bytes(0 if chr(c) in ".," else 1 if c < 128 and (chr(c).isalnum() or chr(c) in " \t\n\r\v\f") else 2 if c < 128 else 3 for c in range(256))
 
     def __init__(self, spec: str, width: int) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread to a task; each further one would hold memory of its own
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
@@ -254,10 +256,12 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/index")
 
 
-def read_records(index: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
+def read_records(index: DataFrame, chunk_bytes: int = 8 << 20, digest: bool = False) -> DataFrame:
     """The records that the rows of ``index`` name, in any order and number: its columns, ``ids`` (4 bytes each, little-endian) verified
-    against both checksums. Rows are read where they are, without a shuffle; consecutive rows of a file share one open file."""
+    against both checksums, or with ``digest`` their CRC-32 as ``ids_crc32``. Rows are read where they are, without a shuffle; consecutive rows of a
+    file share one open file."""
     names = index.columns
+    last, kind = ("ids_crc32", "bigint") if digest else ("ids", "binary")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, source = None, None
@@ -274,11 +278,12 @@ def read_records(index: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
                     records.append(source.read_at(lengths[at], offsets[at]))
                     size += lengths[at]
                     at += 1
-                ids = [np.frombuffer(p, f"<u{w}").astype("<u4").tobytes() for p, w in zip(payloads_of(records), widths[start:at])]
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, at - start).columns, pa.array(ids, pa.binary())], [*names, "ids"])
+                ids = (np.frombuffer(p, f"<u{w}").astype("<u4").tobytes() for p, w in zip(payloads_of(records), widths[start:at]))
+                made = pa.array(map(zlib.crc32, ids), pa.int64()) if digest else pa.array(ids, pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, at - start).columns, made], [*names, last])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema)
-    return index.mapInArrow(read, f"{fields}, ids binary")
+    return index.mapInArrow(read, f"{fields}, {last} {kind}")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
@@ -288,15 +293,3 @@ def with_starts(index: DataFrame) -> DataFrame:
     bases = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return index.join(F.broadcast(bases), "shard").withColumn("start", F.col("first") + F.col("base")).drop("base")
 
-
-def digests(records: DataFrame) -> DataFrame:
-    """Replaces ``ids`` by ``ids_crc32``, the CRC-32 of their 4-byte form."""
-    names = [c for c in records.columns if c != "ids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = [zlib.crc32(x) for x in b.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(crc, pa.int64())], [*names, "ids_crc32"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema if f.name != "ids")
-    return records.select(*names, "ids").mapInArrow(run, f"{fields}, ids_crc32 bigint")

@@ -34,7 +34,7 @@ def likeness(a, b, k=bottomk.K):
 def test_least_hashes_and_likenesses(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = [(r.doc_id, r.text or "") for r in docs.orderBy("doc_id").collect()]
-    own = {r.doc_id: list(r.s) for r in docs.select("doc_id", bottomk.sketch(bottomk.words(F.col("text"))).alias("s")).collect()}
+    own = {r.doc_id: list(r.s) for r in docs.select("doc_id", bottomk.words(F.col("text")).alias("w")).select("doc_id", bottomk.sketch(F.col("w")).alias("s")).collect()}
     got = {r.doc_id: r for r in bottomk.edit_likeness(docs, ranges=3).collect()}
     for (i, text), (j, following) in zip(texts, texts[1:] + texts[:1]):
         s, n = sketch(text), len(text)
