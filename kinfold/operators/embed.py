@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POLICIES = ("bisect", "drop")
@@ -94,10 +94,15 @@ def embed(
     return slim.groupBy("bucket", "batch").applyInPandas(one, f"key {key_type}, status string, length long, embedding {kind}")
 
 
-def embed_stats(result: DataFrame) -> DataFrame:
+def stats() -> list[Column]:
+    """Counters of a run, to be observed while its result is written."""
     done = F.col("status") == "embedded"
-    return result.agg(
+    return [
         F.count_if(done).alias("n_embedded"),
         F.count_if(~done).alias("n_failed"),
         F.coalesce(F.avg(F.when(done, F.col("length"))), F.lit(0.0)).alias("avg_length"),
-    )
+    ]
+
+
+def embed_stats(result: DataFrame) -> DataFrame:
+    return result.agg(*stats())

@@ -34,7 +34,7 @@ def expand_members(reps: DataFrame, members: DataFrame) -> DataFrame:
     """
     members = members.select("rep", "member")
     # an inner join lets Spark split the members of a frequent representative, an outer one would not
-    alone = reps.join(members.select("rep"), "rep", "left_anti").withColumn("member", F.col("rep"))
+    alone = reps.join(members.select("rep").distinct(), "rep", "left_anti").withColumn("member", F.col("rep"))
     return reps.join(members, "rep").unionByName(alone)
 
 

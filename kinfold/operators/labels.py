@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinfold.operators.ordering import with_position
@@ -45,3 +45,36 @@ def label_quality(sequences: DataFrame, labels: DataFrame, group: list[str] | No
 def first_missing(missing: DataFrame, n: int = 5) -> DataFrame:
     """The report of the first few sequences without a label."""
     return missing.orderBy("pos").limit(n)
+
+
+def write_complete(
+    rows: DataFrame, needed: dict[str, Column], path: str, most_missing: float | None = MISSING_WARN_SHARE, order: str = "pos", id_col: str | None = None, first: int = 5
+) -> tuple[DataFrame, DataFrame]:
+    """Write the rows that have all that is ``needed`` and report what the others lack, both in the one pass that writes.
+
+    Returns the rows written and the report: ``what``, ``n_total``, ``n_missing``, ``warn`` (over a tenth of those that have it), and with ``id_col`` also
+    ``first_missing``, the ids of the ``first`` rows without it in ``order``, for which the rows are read again. If more than ``most_missing`` of the rows lack something the call fails, and the table does not
+    appear at ``path``: it is written beside it and renamed when the counts are known. Without a limit (None) it always appears.
+    """
+    spark, seen = rows.sparkSession, Observation()
+    facts = [F.count(F.lit(1)).alias("n"), *[F.count_if(value.isNull()).alias(f"n_{what}") for what, value in needed.items()]]
+    complete = F.lit(True)
+    for value in needed.values():
+        complete = complete & value.isNotNull()
+    draft = f"{path.rstrip('/')}.draft"
+    rows.observe(seen, *facts).where(complete).write.mode("overwrite").parquet(draft)
+    got = seen.get
+    short = {what: got[f"n_{what}"] for what in needed}
+    if most_missing is not None and any(n > most_missing * got["n"] for n in short.values()):
+        raise ValueError(f"of {got['n']} rows too many lack something: {short}")
+    at, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, draft))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at) or not fs.rename(new, at):
+        raise OSError(f"could not put the table at {path}")
+    lines = [(what, got["n"], n, n > MISSING_WARN_SHARE * (got["n"] - n)) for what, n in short.items()]
+    schema = "what string, n_total bigint, n_missing bigint, warn boolean"
+    if id_col:
+        ids = {w: [str(r[0]) for r in rows.where(v.isNull()).select(id_col, order).orderBy(order).limit(first).collect()] for w, v in needed.items()}
+        lines, schema = [(*line, ",".join(ids[line[0]])) for line in lines], f"{schema}, first_missing string"
+    report = spark.createDataFrame(lines, schema)
+    return spark.read.schema(rows.schema).parquet(path), report

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.vectors import matrix
-from kinfold.session import checkpoint
+from kinfold.session import checkpoint_counting
 
 EPS = 1e-12
-PROXY_BLOCK = 4096
-BATCH_GROUP = 16
+SIDE = 4096  # rows, and proxies, of a piece of the product when both sides are long
+LONGEST = 16  # times SIDE: the longer side of a piece at most
 
 
 def supcon_value(z: np.ndarray, labels: np.ndarray, temperature: float) -> float:
@@ -52,24 +52,34 @@ def proxy_terms(z: np.ndarray, labels: np.ndarray, proxies: np.ndarray, classes:
     return float(np.log1p(pos[present]).sum()), int(present.sum()), float(np.log1p(neg).sum())
 
 
-def proxy_anchor_loss(
-    df: DataFrame, proxies: DataFrame, margin: float = 0.2, alpha: float = 32.0, proxy_block: int = PROXY_BLOCK
-) -> DataFrame:
+def grid(n: int, m: int, side: int = SIDE) -> tuple[int, int]:
+    """Parts into which ``n`` rows and ``m`` proxies are cut so that a piece of the product has about ``side`` squared pairs.
+
+    Pieces are as square as the sizes allow: for k pieces each side is copied about root k times, the least for that number. No side of a piece is
+    longer than ``LONGEST`` times ``side``.
+    """
+    pieces = max(1, -(-n * m // side**2))
+    rows = min(max(1, round((pieces * n / max(m, 1)) ** 0.5)), pieces)
+    return max(rows, -(-n // (LONGEST * side))), max(-(-pieces // rows), -(-m // (LONGEST * side)))
+
+
+def product(df: DataFrame, proxies: DataFrame, parts: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the piece (r, c) each copy goes to: a batch whole in one r, a proxy in one c."""
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = df.select("batch", "label", "vec", place("batch", parts[0]).alias("r")).withColumn("c", copies(parts[1]))
+    return left, proxies.select("class_idx", "proxy", place("class_idx", parts[1]).alias("c")).withColumn("r", copies(parts[0]))
+
+
+def proxy_anchor_loss(df: DataFrame, proxies: DataFrame, margin: float = 0.2, alpha: float = 32.0, side: int = SIDE) -> DataFrame:
     """(batch, loss) from (batch, label, vec) and (class_idx, proxy).
 
-    The positive term averages over the classes present in the batch, the negative term over all classes. Proxies are
-    cut into blocks and batches into groups, so neither side has to fit into one task; each pair of blocks yields one
-    row per batch.
+    The positive term averages over the classes present in the batch, the negative term over all classes. The product of rows and proxies is cut on a
+    grid chosen from both sizes, which are counted while the sides are written; each piece yields one row per batch.
     """
-    df, proxies = checkpoint(df.select("batch", "label", "vec")), checkpoint(proxies)
-    stats = proxies.agg(F.max("class_idx").alias("k")).first()
-    n_blocks = int((stats["k"] or 0) // proxy_block + 1)
-    last = df.agg(F.max("batch").alias("b")).first()["b"]
-    n_groups = int((last or 0) // BATCH_GROUP + 1)
-    left = df.select("batch", "label", "vec", F.floor(F.col("batch") / BATCH_GROUP).cast("long").alias("group"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = proxies.select("class_idx", "proxy", F.floor(F.col("class_idx") / proxy_block).cast("int").alias("block"))
-    right = right.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
+    df, n = checkpoint_counting(df.select("batch", "label", "vec"), F.lit(True))
+    proxies, m = checkpoint_counting(proxies.select("class_idx", "proxy"), F.lit(True))
+    left, right = product(df, proxies, grid(n, m, side))
 
     def pair(rows: pd.DataFrame, cls: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -79,7 +89,7 @@ def proxy_anchor_loss(
                 out.append((batch, *proxy_terms(matrix(part["vec"]), part["label"].to_numpy(), p, k, margin, alpha), len(k)))
         return pd.DataFrame(out, columns=["batch", "pos", "n_pos", "neg", "n"])
 
-    parts = left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInPandas(
+    parts = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(
         pair, "batch long, pos double, n_pos long, neg double, n long"
     )
     per_batch = parts.groupBy("batch").agg(*[F.sum(c).alias(c) for c in ("pos", "n_pos", "neg", "n")])

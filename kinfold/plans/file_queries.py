@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions import vectors as V
 from kinfold.operators import expand, fragment, labels, purity, sizes
 from kinfold.plans import runs
 from kinfold.plans.bindings import annotations, members, sequences, table, vectors
@@ -139,10 +141,83 @@ def store_overwrite(spark, sf):
     store.put_missing(part.withColumn("embedding", F.array((F.col("p_size") + 0.5).cast("double"))), path)
     new = part.where("pos % 2 = 0").select("key", F.array(F.col("p_retailprice")).alias("embedding"))
     for _ in range(2):
-        store.replace_store(store.upsert(store.read_store(spark, path).select("key", "embedding"), new), path)
+        store.put_over(new, path)
     return store.read_store(spark, path).select("key", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_item"))
 
 
+@query("store_replaced", "SELECT p_partkey::VARCHAR AS key, round(p_retailprice::FLOAT::DOUBLE, 6) AS first_item FROM part WHERE p_partkey % 2 = 0")
+def store_replaced(spark, sf):
+    """The whole store exchanged for rows derived from it; the version before stays readable until it is cleared away."""
+    path = _place(spark, "store")
+    part = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_partkey").alias("pos"), F.array("p_retailprice").alias("embedding"))
+    store.put_missing(part, path)
+    store.replace_store(store.read_store(spark, path).where(F.col("key").cast("long") % 2 == 0), path)
+    store.vacuum(spark, path)
+    return store.read_store(spark, path).select("key", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_item"))
+
+
+def _stored_vectors(spark, sf: str) -> str:
+    path = _place(spark, "store")
+    store.put_missing(vectors(spark, sf).select(F.concat(F.lit("V_"), F.col("id").cast("string")).alias("key"), F.col("id").alias("pos"), "embedding"), path)
+    return path
+
+
+def _items(df: DataFrame, vec: str, *cols: str) -> DataFrame:
+    """All items of the vectors, one to a row."""
+    return df.select(*cols, F.posexplode(vec).alias("item", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+@query(
+    "vector_lookup_few",
+    """SELECT o_custkey AS pos, e.vec_id IS NOT NULL AS found, i::INT AS item, round(e.embedding[i + 1]::DOUBLE, 6) AS value
+    FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') o LEFT JOIN embeddings e ON e.vec_id = o.o_custkey
+    JOIN range(64) t(i) ON e.vec_id IS NOT NULL OR i = 0""",
+)
+def vector_lookup_few(spark, sf):
+    """Few keys looked up in a stored table: only the buckets that may hold them are read."""
+    path = _stored_vectors(spark, sf)
+    wanted = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(F.col("o_custkey").alias("pos")).distinct()
+    hit, miss = store.lookup_stored(wanted.withColumn("key", F.concat(F.lit("V_"), F.col("pos").cast("string"))), path)
+    whole = _items(hit, "embedding", "pos").select("pos", F.lit(True).alias("found"), "item", "value")
+    return whole.unionByName(miss.select("pos", F.lit(False).alias("found"), F.lit(0).alias("item"), F.lit(None).cast("double").alias("value")))
+
+
+@query(
+    "export_whole_store",
+    "SELECT 'V/' || vec_id AS label, i::INT AS item, round(embedding[i + 1]::DOUBLE, 6) AS value FROM embeddings CROSS JOIN range(64) t(i)",
+)
+def export_whole_store(spark, sf):
+    """All of a store in the export layout, under the ids its keys stand for, and read back from it."""
+    exported, _ = runs.export_file(spark, _stored_vectors(spark, sf))
+    return _items(store.import_vectors(exported), "embedding", "label")
+
+
+@query("store_meta", "SELECT source AS name, count(*)::VARCHAR AS value FROM documents GROUP BY 1")
+def store_meta(spark, sf):
+    """Run metadata is written once, unless it is to be replaced."""
+    path = _place(spark, "store")
+    counts = table(spark, sf, "documents").groupBy("source").count().orderBy("source")
+    meta = {r.source: r["count"] for r in counts.collect()}  # one row per source
+    store.write_meta(spark, path, dict.fromkeys(meta, "0"))
+    store.write_meta(spark, path, meta, replace=True)
+    store.write_meta(spark, path, {"ignored": "1"})
+    return spark.read.parquet(f"{path}.meta")
+
+
+# eleven significant bits, fewer below 2^-14, ties to even
+@query(
+    "half_precision",
+    """WITH x AS (SELECT vec_id AS id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+    s AS (SELECT id, i, v, CASE WHEN v = 0 THEN 1 ELSE pow(2, greatest(floor(log2(abs(v))), -14) - 10) END AS step FROM x)
+    SELECT id, i::INT AS item, round(round_even(v / step, 0) * step, 9) AS value FROM s""",
+)
+def half_precision(spark, sf):
+    """Vectors packed as half-precision numbers and unpacked."""
+    packed = vectors(spark, sf).select("id", V.encode_half(F.col("embedding")).alias("raw"))
+    back = packed.select("id", F.posexplode(V.decode_half(F.col("raw"), 64)).alias("item", "value"))
+    return back.withColumn("value", F.round(F.col("value").cast("double"), 9))
+
+
 @query("store_keys", "SELECT p_partkey::VARCHAR AS key FROM part")
 def store_keys(spark, sf):
     """Key-only scan; internal keys stay out."""
@@ -154,18 +229,19 @@ def store_keys(spark, sf):
 
 @query(
     "export_in_file_order",
-    """SELECT row_number() OVER (ORDER BY o_orderkey, k) - 1 AS pos, 'V/' || (o_custkey % 700) AS label, round(e.embedding[1]::DOUBLE, 6) AS first_item
-    FROM (SELECT o_orderkey, o_custkey, unnest(range(2)) AS k FROM orders) o LEFT JOIN embeddings e ON e.vec_id = o.o_custkey % 700 QUALIFY e.vec_id IS NOT NULL""",
+    """SELECT pos, label, i::INT AS item, round(embedding[i + 1]::DOUBLE, 6) AS value FROM (
+      SELECT row_number() OVER (ORDER BY c_custkey, k) - 1 AS pos, 'V/' || (c_custkey % 700) AS label, e.vec_id, e.embedding
+      FROM (SELECT c_custkey, unnest(range(2)) AS k FROM customer) c LEFT JOIN embeddings e ON e.vec_id = c.c_custkey % 700)
+    CROSS JOIN range(64) t(i) WHERE vec_id IS NOT NULL""",
 )
 def export_in_file_order(spark, sf):
     """A list of ids, many repeated and some unknown, exported in its order."""
-    path, lists = _place(spark, "store"), _place(spark, "list")
-    store.put_missing(vectors(spark, sf).select(F.concat(F.lit("V_"), F.col("id").cast("string")).alias("key"), F.col("id").alias("pos"), "embedding"), path)
-    lines = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit(">V/"), (F.col("o_custkey") % 700).cast("string"), F.lit("\nX")).alias("value"))
-    lines = lines.select("o_orderkey", F.explode(F.array("value", "value")).alias("value"))
-    lines.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(lists)
+    path, lists = _stored_vectors(spark, sf), _place(spark, "list")
+    lines = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit(">V/"), (F.col("c_custkey") % 700).cast("string"), F.lit("\nX")).alias("value"))
+    lines = lines.select("c_custkey", F.explode(F.array("value", "value")).alias("value"))
+    lines.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").select("value").write.text(lists)
     exported, _ = runs.export_file(spark, path, lists)
-    return exported.select("pos", "label", F.round(F.element_at("mean_representations", store.EXPORT_LAYER)[0].cast("double"), 6).alias("first_item"))
+    return _items(exported.withColumn("vec", F.element_at("mean_representations", store.EXPORT_LAYER)), "vec", "pos", "label")
 
 
 FAMILIES = "(SELECT l_suppkey, dense_rank() OVER (ORDER BY l_suppkey) - 1 AS k, l_partkey FROM lineitem)"
@@ -214,16 +290,36 @@ def fragmentation_report(spark, sf):
     return pure.select(*r6(*METRICS), *[split.select(c).scalar().alias(c) for c in split.columns])
 
 
+LABELLED = f"""m AS ({MAPPING}), c AS (SELECT family, row_number() OVER (ORDER BY min(pos)) - 1 AS class_idx FROM m GROUP BY family),
+    l AS (SELECT seq_id, arg_max(family, pos) AS family FROM m GROUP BY seq_id),
+    j AS (SELECT o_orderkey AS pos, o_custkey AS seq_id, class_idx, e.vec_id, e.embedding FROM orders LEFT JOIN l ON l.seq_id = o_custkey LEFT JOIN c USING (family)
+      LEFT JOIN embeddings e ON e.vec_id = o_custkey)"""
+
+
+def _labelled(spark, sf: str) -> DataFrame:
+    wanted = table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("seq_id"))
+    known = wanted.join(labels.label_map(_mapping(spark, sf)).select("seq_id", "class_idx"), "seq_id", "left")
+    return known.join(vectors(spark, sf).select(F.col("id").alias("seq_id"), "embedding"), "seq_id", "left")
+
+
 @query(
     "labelled_vectors",
-    f"""WITH m AS ({MAPPING}), c AS (SELECT family, row_number() OVER (ORDER BY min(pos)) - 1 AS class_idx FROM m GROUP BY family),
-    l AS (SELECT seq_id, arg_max(family, pos) AS family FROM m GROUP BY seq_id)
-    SELECT o_orderkey AS pos, class_idx, round(e.embedding[1]::DOUBLE, 6) AS first_item FROM orders JOIN l ON l.seq_id = o_custkey JOIN c USING (family)
-    JOIN embeddings e ON e.vec_id = o_custkey""",
+    f"""WITH {LABELLED} SELECT pos, class_idx, i::INT AS item, round(embedding[i + 1]::DOUBLE, 6) AS value FROM j CROSS JOIN range(64) t(i)
+    WHERE class_idx IS NOT NULL AND vec_id IS NOT NULL""",
 )
 def labelled_vectors(spark, sf):
-    """Sequence list x label map x store: rows with a label and a vector."""
-    wanted = table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("seq_id"))
-    known = wanted.join(labels.label_map(_mapping(spark, sf)), "seq_id").withColumn("key", F.col("seq_id"))
-    found, _ = store.lookup(known, vectors(spark, sf).select(F.col("id").alias("key"), "embedding"))
-    return found.select("pos", "class_idx", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_item"))
+    """Sequence list x label map x store: rows with a label and a vector, written in one pass that also counts what is missing."""
+    rows, _ = labels.write_complete(_labelled(spark, sf), {"label": F.col("class_idx"), "vector": F.col("embedding")}, _place(spark, "labelled"), most_missing=None)
+    return _items(rows, "embedding", "pos", "class_idx")
+
+
+@query(
+    "labelled_missing",
+    f"""WITH {LABELLED}, w AS (SELECT 'label' AS what, pos, seq_id, class_idx IS NULL AS missing FROM j UNION ALL SELECT 'vector', pos, seq_id, vec_id IS NULL FROM j)
+    SELECT what, count(*)::BIGINT AS n_total, count(*) FILTER (missing)::BIGINT AS n_missing, count(*) FILTER (missing) > 0.1 * count(*) FILTER (NOT missing) AS warn,
+      array_to_string((list(seq_id ORDER BY pos) FILTER (missing))[1:5], ',') AS first_missing FROM w GROUP BY what""",
+)
+def labelled_missing(spark, sf):
+    """The report of that pass: what has no label and what no vector, and the first five of each."""
+    _, report = labels.write_complete(_labelled(spark, sf), {"label": F.col("class_idx"), "vector": F.col("embedding")}, _place(spark, "labelled"), most_missing=None, id_col="seq_id")
+    return report

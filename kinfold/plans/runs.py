@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import sequences as S
@@ -51,7 +51,16 @@ def embed_file(
     wins = curate.last_wins if overwrite else curate.first_wins
     cfg = {**LIMITS[family], **limits}
     raw = fasta.read_embedder_input(spark, path, split_char, id_field, is_3di)
-    rows = checkpoint(raw.withColumn("sequence", S.mask_rare(F.col("sequence"), family)).withColumn("length", S.n_residues(F.col("sequence"))))
+    masked = raw.withColumn("sequence", S.mask_rare(F.col("sequence"), family)).withColumn("length", S.n_residues(F.col("sequence")))
+    # counted while they are written
+    seen, made = Observation(), Observation()
+    of_family = F.lit(family == "esm")
+    rows = checkpoint(masked.observe(
+        seen,
+        F.count(F.lit(1)).alias("n_seen"),
+        F.count_if((F.col("length") == 0) & of_family).alias("n_empty"),
+        F.count_if((F.col("length") > cfg["max_seq_len"]) & of_family).alias("n_long"),
+    ))
     known = store.read_store(spark, store_path).select("key")
     if family == "esm":
         # buckets count surviving rows before the resume filter, as resumed runs must see the same buckets
@@ -61,24 +70,15 @@ def embed_file(
     else:
         left = curate.pending(wins(rows, "key", "pos"), known, overwrite=overwrite)
         batches = _file_order(left, cfg)
-    done = checkpoint(
-        embed.embed(batches.join(rows.select("pos", "key", "sequence"), "pos"), factory, "bisect" if family == "esm" else "drop")
-        .join(left.select("key", "pos"), "key")
-    )
+    embedded = embed.embed(batches.join(rows.select("pos", "key", "sequence"), "pos"), factory, "bisect" if family == "esm" else "drop")
+    done = checkpoint(embedded.join(left.select("key", "pos"), "key").observe(made, *embed.stats()))
     good = done.where(F.col("status") == "embedded")
     if overwrite:
-        store.replace_store(store.upsert(store.read_store(spark, store_path).select("key", "embedding"), good.select("key", "embedding")), store_path)
+        store.put_over(good, store_path)
     else:
         store.put_missing(good, store_path)
     store.write_meta(spark, store_path, {"family": family, "per_protein": "true", "dtype": "float16"}, replace=family == "t5")
-    seen = rows.agg(
-        F.count(F.lit(1)).alias("n_seen"),
-        F.count_if((F.col("length") == 0) & F.lit(family == "esm")).alias("n_empty"),
-        F.count_if((F.col("length") > cfg["max_seq_len"]) & F.lit(family == "esm")).alias("n_long"),
-    )
-    counts = embed.embed_stats(done)
-    # two one-row tables
-    return seen.select("*", *[counts.select(c).scalar().alias(c) for c in counts.columns])
+    return spark.createDataFrame([Row(**seen.get, **made.get)])
 
 
 def _file_order(left: DataFrame, cfg: dict) -> DataFrame:
@@ -97,7 +97,7 @@ def export_file(spark: SparkSession, store_path: str, path: str | None = None, u
     if path is None:
         return store.export_store(vectors), vectors.where("false").select(F.col("key").alias("label"))
     wanted = fasta.read_ids(spark, path).select("pos", F.col("fasta_id").alias("label"), F.col("export_key").alias("key"))
-    found, missing = store.lookup(wanted, vectors.select("key", "embedding"))
+    found, missing = store.lookup_stored(wanted, store_path)
     return store.export_vectors(found, unit=unit, keep=("pos",)), missing.select("pos", "label")
 
 

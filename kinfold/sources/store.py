@@ -1,28 +1,96 @@
-"""Vector store: a Parquet table (key, dim, embedding) with a one-row metadata table beside it."""
+"""Vector store: vectors in buckets of key hashes, versions of the store in manifests, and a one-row metadata table beside it.
+
+A bucket is a folder of the data, and each write adds folders of its own to it. A manifest lists, for every bucket, the folders that make up a
+version; it appears under its final name in one step, so readers see the version before or the one after, and a writer that
+dies leaves folders that nothing refers to. A write touches the buckets of its keys only. One writer at a time is assumed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import ids
 from kinfold.functions.vectors import as_double, divisor, norm
-from kinfold.operators.curate import pending
+from kinfold.operators.curate import first_wins, pending
+from kinfold.session import checkpoint
 
 STORE_SCHEMA = "key string, dim int, embedding array<float>"
 EXPORT_LAYER = 33  # fixed value: the layer key of exported vectors
+BUCKETS = 32  # of a new store
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(s.getPath().getName().startswith("part-") for s in fs.listStatus(p))
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table of plain files."""
+    return any(name.startswith("part-") for name in _names(spark, path))
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n[:-5]) for n in _names(spark, f"{path}/manifest") if n.endswith(".json") and n[:-5].isdigit())
+
+
+def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    """``n_buckets`` and the folders of each bucket, of the last version or a given one; an empty store has none."""
+    known = versions(spark, path)
+    if not known:
+        return {"version": -1, "n_buckets": BUCKETS, "folders": {}}
+    version = known[-1] if version is None else version
+    return json.loads(spark.read.text(f"{path}/manifest/{version:09d}.json", wholetext=True).first()[0])
+
 
+def _publish(spark: SparkSession, path: str, old: dict, folders: dict[str, list[str]]) -> None:
+    """Make ``folders`` the next version: the manifest is written under another name and renamed."""
+    new = {"version": old["version"] + 1, "n_buckets": old["n_buckets"], "folders": folders}
+    at, fs = _fs(spark, f"{path}/manifest/{new['version']:09d}.json")
+    draft, _ = _fs(spark, f"{path}/manifest/.{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(new, sort_keys=True).encode()))
+    out.close()
+    if fs.exists(at) or not fs.rename(draft, at):
+        raise OSError(f"another writer made version {new['version']} of {path}")
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    if not exists(spark, path):
+
+def bucket(key: Column | str, n_buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n_buckets)).cast("int")
+
+
+def _write(rows: DataFrame, path: str, n_buckets: int) -> dict[str, str]:
+    """Write rows (key, dim, embedding) to a folder of their own in each bucket; returns the folders by bucket."""
+    mark = uuid.uuid4().hex
+    placed = rows.withColumn("bucket", bucket("key", n_buckets)).withColumn("write", F.lit(mark))
+    placed.repartition("bucket").write.partitionBy("bucket", "write").mode("append").parquet(f"{path}/data")
+    spark = rows.sparkSession
+    touched = [n for n in _names(spark, f"{path}/data") if n.startswith("bucket=") and f"write={mark}" in _names(spark, f"{path}/data/{n}")]
+    return {n[7:]: f"{n}/write={mark}" for n in touched}
+
+
+def read_store(spark: SparkSession, path: str, buckets: list[int] | None = None, version: int | None = None) -> DataFrame:
+    """All rows of the store, or those of some buckets."""
+    folders = manifest(spark, path, version)["folders"]
+    wanted = folders.keys() if buckets is None else [str(b) for b in buckets]
+    paths = [f"{path}/data/{f}" for b in wanted for f in folders.get(b, [])]
+    if not paths:
         return spark.createDataFrame([], STORE_SCHEMA)
-    return spark.read.schema(STORE_SCHEMA).parquet(path)
+    return spark.read.schema(STORE_SCHEMA).parquet(*paths)
+
+
+def buckets_of(df: DataFrame, path: str, key: str = "key") -> list[int]:
+    """The buckets that may hold the keys of ``df``, at most all."""
+    n = manifest(df.sparkSession, path)["n_buckets"]
+    return sorted(r.b for r in df.where(F.col(key).isNotNull()).select(bucket(F.col(key).cast("string"), n).alias("b")).distinct().collect())
 
 
 def keys(spark: SparkSession, path: str) -> DataFrame:
@@ -35,10 +103,24 @@ def as_rows(df: DataFrame) -> DataFrame:
 
 
 def put_missing(df: DataFrame, path: str, order: str = "pos") -> None:
-    """Insert-if-absent: the first row of a key within ``df`` wins, keys already stored are left alone."""
-    spark = df.sparkSession
-    winners = df.groupBy("key").agg(F.min_by(F.struct("embedding"), F.col(order)).alias("_first")).select("key", "_first.embedding")
-    as_rows(pending(winners, keys(spark, path))).write.mode("append").parquet(path)
+    """Insert-if-absent: the first row of a key within ``df`` (by ``order``, unique within a key) wins, keys already stored are left alone.
+
+    Winners are found on key and order alone; what is stored stays where it is, and new rows lie beside it.
+    """
+    spark, old = df.sparkSession, manifest(df.sparkSession, path)
+    df = checkpoint(df.select("key", F.col(order).alias("_order"), "embedding"))
+    stored = read_store(spark, path, buckets_of(df, path)).select("key")
+    added = _write(as_rows(pending(first_wins(df, "key", "_order"), stored)), path, old["n_buckets"])
+    _publish(spark, path, old, {b: old["folders"].get(b, []) + ([added[b]] if b in added else []) for b in {*old["folders"], *added}})
+
+
+def put_over(df: DataFrame, path: str) -> None:
+    """Overwrite: rows of ``df`` (one per key) replace those stored under the same key. Only the buckets of its keys are written anew."""
+    spark, old = df.sparkSession, manifest(df.sparkSession, path)
+    new = checkpoint(as_rows(df))
+    merged = upsert(read_store(spark, path, buckets_of(new, path)), new)
+    added = _write(merged, path, old["n_buckets"])
+    _publish(spark, path, old, old["folders"] | {b: [f] for b, f in added.items()})
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -47,15 +129,24 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def replace_store(rows: DataFrame, path: str) -> None:
-    """Put ``rows`` in the place of the store, which they may be derived from: written beside it, then exchanged by renaming."""
-    spark, place = rows.sparkSession, path.rstrip("/")
-    as_rows(rows).write.mode("overwrite").parquet(f"{place}.next")
-    at, old, new = (spark._jvm.org.apache.hadoop.fs.Path(place + end) for end in ("", ".previous", ".next"))
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if fs.exists(at) and not fs.rename(at, old) or not fs.rename(new, at):
-        raise OSError(f"could not exchange {path}")
-    fs.delete(old, True)
+    """Put ``rows`` in the place of the whole store, which they may be derived from."""
+    old = manifest(rows.sparkSession, path)
+    _publish(rows.sparkSession, path, old, {b: [f] for b, f in _write(as_rows(rows), path, old["n_buckets"]).items()})
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete earlier versions and the folders that the last one does not refer to; returns how many folders went. No reader may be at an earlier version."""
+    kept = {f for some in manifest(spark, path)["folders"].values() for f in some}
+    gone = 0
+    for name in _names(spark, f"{path}/data"):
+        for write in _names(spark, f"{path}/data/{name}") if name.startswith("bucket=") else ():
+            if f"{name}/{write}" not in kept:
+                at, fs = _fs(spark, f"{path}/data/{name}/{write}")
+                gone += bool(fs.delete(at, True))
+    for version in versions(spark, path)[:-1]:
+        at, fs = _fs(spark, f"{path}/manifest/{version:09d}.json")
+        fs.delete(at, False)
+    return gone
 
 
 def write_meta(spark: SparkSession, path: str, meta: dict[str, str], replace: bool = False) -> None:
@@ -77,6 +168,12 @@ def lookup(wanted: DataFrame, store: DataFrame, key: str = "key") -> tuple[DataF
     return wanted.join(store, key), wanted.join(store.select(key), key, "left_anti")
 
 
+def lookup_stored(wanted: DataFrame, path: str, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """``lookup`` in the store at ``path``, of which only the buckets of the wanted keys are read."""
+    store = read_store(wanted.sparkSession, path, buckets_of(wanted, path, key)).select(F.col("key").alias(key), "embedding")
+    return lookup(wanted, store, key)
+
+
 def export_vectors(df: DataFrame, label: str = "label", unit: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(label, mean_representations) and the columns to ``keep``: the export layout; ``unit`` normalises without guarding zero vectors."""
     v = as_double(F.col("embedding"))

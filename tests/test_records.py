@@ -214,6 +214,68 @@ def test_label_quality_flag(spark):
     assert labels.label_quality(seqs, known.limit(10)).first().warn
 
 
+def _numbers(spark, path, version=None):
+    return {r.key: r.embedding[0] for r in store.read_store(spark, path, version=version).collect()}
+
+
+def test_store_versions(spark, tmp_path, monkeypatch):
+    """A killed writer leaves the last version readable; a write leaves the files of other buckets alone."""
+    path, schema = str(tmp_path / "v"), "key string, pos long, embedding array<double>"
+    rows = spark.createDataFrame([(f"k{i}", i, [float(i)]) for i in range(200)], schema)
+    store.put_missing(rows, path)
+    before = store.manifest(spark, path)["folders"]
+    assert len(before) == store.BUCKETS and _numbers(spark, path) == {f"k{i}": i for i in range(200)}
+    few = spark.createDataFrame([("k3", 0, [-3.0]), ("new", 1, [7.0])], schema)
+    touched = {str(b) for b in store.buckets_of(few, path)}
+    store.put_over(few, path)
+    after = store.manifest(spark, path)["folders"]
+    assert {b for b in after if after[b] != before.get(b)} == touched and len(touched) == 2
+    want = {f"k{i}": i for i in range(200)} | {"k3": -3, "new": 7}
+    assert _numbers(spark, path) == want and _numbers(spark, path, 0)["k3"] == 3
+    store.put_missing(spark.createDataFrame([("k3", 0, [5.0]), ("late", 2, [9.0]), ("late", 1, [8.0])], schema), path)
+    assert _numbers(spark, path) == want | {"late": 8}
+    assert all(set(after[b]) <= set(store.manifest(spark, path)["folders"][b]) for b in after)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", killed)
+        with pytest.raises(KeyboardInterrupt):
+            store.put_over(few.withColumn("embedding", F.array(F.lit(0.0))), path)
+    assert _numbers(spark, path) == want | {"late": 8}
+    store.replace_store(store.read_store(spark, path).where("key in ('k1', 'k2')"), path)
+    assert _numbers(spark, path) == {"k1": 1, "k2": 2} and _numbers(spark, path, 2) == want | {"late": 8}
+    assert store.vacuum(spark, path) >= 2 + store.BUCKETS - 2 and _numbers(spark, path) == {"k1": 1, "k2": 2}
+    assert store.versions(spark, path) == [3]
+
+
+def test_lookup_reads_matching_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "v")
+    store.put_missing(spark.range(1000).select(F.col("id").cast("string").alias("key"), F.col("id").alias("pos"), F.array(F.col("id").cast("double")).alias("embedding")), path)
+    wanted = spark.createDataFrame([("5",), ("77",), ("absent",), (None,)], "key string")
+    n_read = store.read_store(spark, path, store.buckets_of(wanted, path)).count()
+    assert 0 < n_read <= 4 * 1000 / store.BUCKETS
+    hit, miss = store.lookup_stored(wanted, path)
+    assert {(r.key, r.embedding[0]) for r in hit.collect()} == {("5", 5), ("77", 77)} and {r.key for r in miss.collect()} == {"absent", None}
+
+
+def test_written_and_counted_in_one_pass(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"s{i}", i % 4 or None, [1.0] if i % 10 else None) for i in range(40)], "pos long, seq_id string, y int, v array<double>")
+    needed, sc = {"label": F.col("y"), "vector": F.col("v")}, spark.sparkContext
+    sc.setJobGroup("one pass", "count")
+    whole, report = labels.write_complete(rows, needed, str(tmp_path / "t"), None)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("one pass"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 1 and whole.count() == 28
+    assert {tuple(r) for r in report.collect()} == {("label", 40, 10, True), ("vector", 40, 4, True)}
+    _, report = labels.write_complete(rows, needed, str(tmp_path / "u"), 0.5, id_col="seq_id")
+    assert {r.what: r.first_missing for r in report.collect()} == {"label": "s0,s4,s8,s12,s16", "vector": "s0,s10,s20,s30"}
+    with pytest.raises(ValueError, match="too many"):
+        labels.write_complete(rows, needed, str(tmp_path / "w"), 0.1)
+    assert not (tmp_path / "w").exists()
+
+
 def test_store(spark, tmp_path):
     path = str(tmp_path / "vectors")
     rows = spark.createDataFrame([("A_1-3", 0, [1.0, 2.0]), ("A_1-3", 1, [9.0, 9.0]), ("__meta__", 2, [0.0, 0.0])], "key string, pos long, embedding array<double>")

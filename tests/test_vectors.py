@@ -215,6 +215,23 @@ def test_losses_golden(spark):
         assert losses.proxy_anchor_loss(batch(spark), proxies, 0.1, 2.0, block).first().loss == pytest.approx(1.598216, abs=1e-6)
 
 
+def test_product_is_cut_near_square(spark):
+    for n, m in ((1, 1), (10, 5000), (1 << 30, 10), (1 << 24, 1 << 22), (0, 0), (0, 9), (123_456, 654_321)):
+        rows, cols = losses.grid(n, m)
+        assert n / rows <= losses.SIDE * losses.LONGEST and m / cols <= losses.SIDE * losses.LONGEST
+    n, m = 1 << 24, 1 << 22
+    rows, cols = losses.grid(n, m)
+    # copies of both sides against the least possible for that number of pieces
+    assert n * cols + m * rows <= 1.05 * 2 * (n * m * rows * cols) ** 0.5
+    df = spark.createDataFrame([(k // 5, k % 3, [1.0, 0.0]) for k in range(100)], "batch long, label long, vec array<double>")
+    proxies = spark.createDataFrame([(k, [0.0, 1.0]) for k in range(40)], "class_idx long, proxy array<double>")
+    parts = losses.grid(100, 40, 16)
+    left, right = losses.product(df, proxies, parts)
+    assert parts == (6, 3) and left.count() == 100 * parts[1] and right.count() == 40 * parts[0]
+    got, want = (sorted((r.batch, round(r.loss, 9)) for r in losses.proxy_anchor_loss(df, proxies, side=side).collect()) for side in (4, 4096))
+    assert got == want
+
+
 def test_erf():
     x = np.linspace(-7, 7, 20001)
     assert np.abs(head.erf(x) - np.array([math.erf(v) for v in x])).max() < 1e-12
