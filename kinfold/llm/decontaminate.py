@@ -42,7 +42,8 @@ RATIO = 1.5  # longest to shortest item of a length class
 @dataclass(frozen=True)
 class Settings:
     similarity: float = 0.8
-    min_words: int = 8  # shorter items are no evidence of a leak
+    min_words: int = 8  # shorter items must be found as they are
+    exact_words: int = 2  # still shorter ones are no passage
     repeats: int = 24
     samples: int = 3
     seed: int = 11
@@ -88,6 +89,44 @@ class _Class:
     seen: list[list[np.ndarray]]  # per repeat and sample: which words some item has there
 
 
+class _Exact:
+    """Short items as exact sequences of words, by a key of all windows of their lengths."""
+
+    _factor = 0x9E3779B97F4A7C15
+
+    def __init__(self, items: dict[int, np.ndarray], n: int) -> None:
+        self._by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in sorted({len(x) for x in items.values()}):
+            places = np.array([k for k, x in items.items() if len(x) == length])
+            rows = np.stack([items[k] for k in places])
+            keys = self._keys(rows.ravel(), length)[::length]
+            order = np.argsort(keys, kind="stable")
+            starts = np.zeros(n, bool)
+            starts[rows[:, 0]] = True
+            self._by_length[length] = keys[order], places[order], rows[order], starts
+
+    def _keys(self, symbols: np.ndarray, length: int) -> np.ndarray:
+        key = np.zeros(max(len(symbols) - length + 1, 0), np.uint64)
+        for j in range(length):
+            key = key * np.uint64(self._factor) + symbols[j : j + len(key)].astype(np.uint64)
+        return key
+
+    def find(self, symbols: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place in the given items, first word, word after the last) of the first occurrence of each."""
+        for length, (keys, places, rows, starts) in self._by_length.items():
+            at = np.flatnonzero(starts[symbols[: max(len(symbols) - length + 1, 0)]])
+            if not len(at):
+                continue
+            key = self._keys(symbols, length)[at]
+            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            many = high - low
+            which, where = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), np.repeat(at, many)
+            same = (symbols[where[:, None] + np.arange(length)] == rows[which]).all(axis=1)
+            found, first = np.unique(which[same], return_index=True)
+            for k, start in zip(places[found].tolist(), where[same][first].tolist()):
+                yield k, start, start + length
+
+
 class Finder:
     """Finds the given items in texts."""
 
@@ -96,7 +135,8 @@ class Finder:
         self.settings = settings
         self.kept = [i for i, w in enumerate(words) if len(w) >= settings.min_words]
         self.vocabulary: dict[bytes, int] = {}
-        for i in self.kept:
+        short = [i for i, w in enumerate(words) if settings.exact_words <= len(w) < settings.min_words]
+        for i in [*self.kept, *short]:
             for w in words[i]:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)  # 0: a word of no item
         self.items = [np.array([self.vocabulary[w] for w in words[i]], np.int32) for i in self.kept]
@@ -105,6 +145,8 @@ class Finder:
         self.has = np.zeros((len(self.items), n), bool)  # which words an item has; never "no item's word"
         for k, x in enumerate(self.items):
             self.has[k, x] = True
+        self.short = {i: np.array([self.vocabulary[w] for w in words[i]], np.int32) for i in short}
+        self.exact = _Exact(self.short, n)
         self.longest = max(map(len, self.items), default=0)
         self.classes: list[_Class] = []
         order = sorted(range(len(self.items)), key=lambda k: len(self.items[k]))
@@ -206,13 +248,16 @@ class Finder:
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """Per text: (place in the given items, edits, first word, word after the last) of each item in it, at its best place."""
         found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        if not self.classes:
-            return [[] for _ in texts]
+        exact: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        if not self.classes and not self.short:
+            return exact
         gap = np.zeros(self.margin, np.int32)
         batch, size = [], 0
         for row, text in enumerate(texts):
             s = self.symbols(text)
-            for a in range(0, len(s), SEGMENT):
+            if self.short:
+                exact[row] = [(k, 0, first, end) for k, first, end in self.exact.find(s)]
+            for a in range(0, len(s) if self.classes else 0, SEGMENT):
                 batch.append((row, a, s[a : a + SEGMENT + self.margin]))
                 size += len(batch[-1][2])
             if size >= SEGMENT:
@@ -220,7 +265,7 @@ class Finder:
                 batch, size = [], 0
         if batch:
             self._scan(batch, gap, found)
-        return [[(self.kept[k], *hit) for k, hit in sorted(hits.items())] for hits in found]
+        return [sorted([*((self.kept[k], *hit) for k, hit in hits.items()), *more]) for hits, more in zip(found, exact)]
 
     def _scan(self, batch: list, gap: np.ndarray, found: list) -> None:
         symbols = np.concatenate([x for _, _, s in batch for x in (s, gap)])
@@ -281,7 +326,8 @@ def find_leaks(
     """One row per document and item found in it: the ids, ``edits``, ``similarity`` (1 - edits / words of the item), ``first_word`` and
     ``end_word`` of the best stretch.
 
-    Null and empty texts hold nothing, and null or short items (fewer than ``min_words`` words) are not looked for. Repeated documents give
+    Null and empty texts hold nothing; very long ones are scanned in overlapping segments. Items under ``min_words`` words are found only as they are, and null
+    items and those under ``exact_words`` are not looked for. Repeated documents give
     repeated rows; items alike in id and text count once, and two items with one id give two rows. An empty table on either side gives an
     empty result. Other columns are not read.
     """
@@ -299,7 +345,7 @@ def find_leaks(
 def _leaks(shipped, names: list, kind: pa.DataType, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(shipped, settings)
-        length = {finder.kept[k]: len(x) for k, x in enumerate(finder.items)}
+        length = {finder.kept[k]: len(x) for k, x in enumerate(finder.items)} | {k: len(x) for k, x in finder.short.items()}
         for batch in batches:
             rows = [(d, *hit) for d, hits in enumerate(finder.find(batch.column(1).to_pylist())) for hit in hits]
             cols = [
@@ -324,7 +370,7 @@ def without_leaks(
     settings: Settings = Settings(),
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds none of the items; null and empty texts stay."""
+    """The rows of ``docs``, all columns, whose text holds none of the items (as in ``find_leaks``); null and empty texts stay."""
     for block in _blocks(items, item_col, item_text_col, block_bytes):
         docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast([t for _, t in block]), settings)(F.col(text_col)))
     return docs

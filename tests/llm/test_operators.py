@@ -351,13 +351,35 @@ def test_leaks_reach_their_recall():
     assert found >= 0.95 * len(items)
 
 
+def test_short_items_are_found_as_they_are(spark):
+    items = [(1, "two words"), (2, "Seven words are still a short item."), (3, "word"), (4, "words, are"), (5, "two words"), (6, "日本語")]
+    rows = [
+        (1, "Two, words! and two words"), (2, "two more words"), (3, "so seven words are still a short item"), (4, "seven words are still a long item"),
+        (5, "word"), (6, None), (7, "of 日本語 in"), (8, "two"), (9, "words are two words are two words"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id, r.edits, r.similarity, r.first_word, r.end_word) for r in got.collect()} == {
+        (1, 1, 0, 1.0, 0, 2), (1, 5, 0, 1.0, 0, 2), (3, 2, 0, 1.0, 1, 8), (3, 4, 0, 1.0, 2, 4), (4, 4, 0, 1.0, 1, 3),
+        (7, 6, 0, 1.0, 1, 4), (9, 1, 0, 1.0, 2, 4), (9, 5, 0, 1.0, 2, 4), (9, 4, 0, 1.0, 0, 2),
+    }
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(6)]
+    short = [" ".join(rng.choices(vocabulary, k=rng.randint(2, 7))) for _ in range(60)]
+    finder = decontaminate.Finder(short, decontaminate.Settings())
+    for _ in range(40):
+        text = rng.choices([*vocabulary, "other"], k=rng.randint(0, 60))
+        padded = f" {' '.join(text)} "
+        assert {h[0] for h in finder.find([" ".join(text)])[0]} == {k for k, x in enumerate(short) if f" {x} " in padded}
+
+
 def test_leaks_of_odd_tables(spark, odd, none):
     rows = [(1, "Cat sat on the mat, and ran away from"), (1, "Cat sat on the mat, and ran away from"), (2, None), (3, "two words"), (None, " ".join(LONG.split()[-90:]))]
     items = spark.createDataFrame(rows, "item_id bigint, text string")
     got = decontaminate.find_leaks(odd, items)
-    assert ordered((r.doc_id, r.item_id, r.edits) for r in got.collect()) == ordered([(1, 1, 0), (None, 1, 0), (7, None, 0), (8, None, 0)])
+    assert ordered((r.doc_id, r.item_id, r.edits) for r in got.collect()) == ordered([(1, 1, 0), (None, 1, 0), (7, None, 0), (8, None, 0), (5, 3, 0), (6, 3, 0)])
     assert decontaminate.find_leaks(none, items).count() == 0 == decontaminate.find_leaks(odd, items.where("item_id < 0")).count()
-    assert decontaminate.without_leaks(odd, items).count() == odd.count() - 4 and decontaminate.without_leaks(odd, items.limit(0)).count() == odd.count()
+    assert decontaminate.without_leaks(odd, items).count() == odd.count() - 6 and decontaminate.without_leaks(odd, items.limit(0)).count() == odd.count()
 
 
 def test_warc(spark):
