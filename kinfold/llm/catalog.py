@@ -38,8 +38,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     index = record_files.write_records(docs, vocab.path("word_bpe_49k.json"), new_folder(spark, "records"), end_id=2)
-    rows = record_files.read_records(index, digest=True)
-    return record_files.with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = record_files.read_records(record_files.with_starts(index), digest=True)
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query

@@ -36,7 +36,7 @@ from kinfold.llm.shared import file_system
 POLYNOMIAL = 0x82F63B78  # fixed value: CRC-32C, reflected
 MASK_DELTA = 0xA282EAD8  # fixed value: of the masked checksum
 BLOCK = 512  # bytes that one lane of the checksum takes
-MEMO_WORDS = 3 << 17
+MEMO_WORDS = 1 << 20  # about 200 MB
 FRAME = 16  # bytes of a record besides its payload
 
 
@@ -137,7 +137,8 @@ class WordEncoder:
         if suffix:
             self._ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._words = regex.compile(r"\S+")
-        self._coded: dict[str, bytes] = {}
+        self._coded: dict[str, bytes] = {}  # words met lately, and those met before them
+        self._before: dict[str, bytes] = {}
 
     def _parts(self, text: str) -> bool:
         """Whether each full stop and comma follows a letter, a digit or white space, also after normalisation."""
@@ -166,11 +167,17 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
+        if len(self._coded) > MEMO_WORDS // 2:  # words not met again since are forgotten
+            self._coded, self._before = {}, self._coded
         coded = self._coded
-        if len(coded) > MEMO_WORDS:
-            coded.clear()
         split = [self._split(t) for t in texts]
-        fresh = list(set(chain.from_iterable(split)).difference(coded))
+        new = set(chain.from_iterable(split)).difference(coded)
+        fresh = []
+        for word in new:
+            if word in self._before:
+                coded[word] = self._before[word]
+            else:
+                fresh.append(word)
         plain = [w for w in fresh if w.isalpha()]
         for at in range(0, len(plain), 256):
             self._together(plain[at : at + 256])
