@@ -15,7 +15,7 @@ from kinfold.functions import vectors as V
 from kinfold.operators import batching, curate, density, embed, expand, fragment, head, labels, losses, mst, neighbors, purity, sizes, train
 from kinfold.plans import density_sql
 from kinfold.plans.bindings import EC_VIEW, annotations, lehmer, members, sequences, table, vectors
-from kinfold.session import scratch_dir, ship_package
+from kinfold.session import checkpoint, scratch_dir, ship_package
 from kinfold.sources import fasta, store
 from kinfold.streaming import batches as stream_batches
 from kinfold.streaming import ingest as streaming
@@ -670,17 +670,40 @@ def _family_ctes(labels: str = "labels") -> str:
 FAMILY_TOTAL = "SELECT count(DISTINCT cluster) FROM grown"
 
 
-def _family_purity(spark, sf, found: DataFrame) -> DataFrame:
+def _grown(spark, sf, found: DataFrame) -> DataFrame:
     fam = expand.families(found.select(F.col("id").alias("rep"), F.col("id").alias("pos"), "label"))
     tsv = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rep"), F.col("l_partkey").alias("member"))
     grown = expand.expand_members(fam, tsv)
-    return purity.purity_summary(grown.select(F.col("cluster_id").alias("cluster"), F.col("member").alias("accession")), annotations(spark, sf))
+    return grown.select(F.col("cluster_id").alias("cluster"), F.col("member").alias("accession"))
 
 
 @query("hdbscan_family_purity", f"WITH RECURSIVE {EC}, {density_sql.labels()}, {_family_ctes()} {_summary(FAMILY_TOTAL)}")
 def hdbscan_family_purity(spark, sf):
     """The whole chain: cluster, number the families, expand to members, annotate, score."""
-    return _family_purity(spark, sf, density.hdbscan(vectors(spark, sf))).select(*r6(*METRICS))
+    return purity.purity_summary(_grown(spark, sf, density.hdbscan(vectors(spark, sf))), annotations(spark, sf)).select(*r6(*METRICS))
+
+
+def _run_sql(unit: str) -> str:
+    """What ``method_delta`` compares, of the families of one clustering."""
+    return f"""(WITH RECURSIVE {EC}, {density_sql.labels(unit=unit)}, {_family_ctes()}, sizes AS (SELECT cluster, count(*) AS n FROM grown GROUP BY 1)
+    SELECT (SELECT avg(ec4_purity) FROM pur) AS p, count(*) AS c, 100.0 * count(*) FILTER (n = 1) / count(*) AS g FROM sizes)"""
+
+
+@query(
+    "raw_versus_projected",
+    f"""SELECT round(b.p - a.p, 6) AS delta_avg_ec4_purity, round(100.0 * (b.c - a.c) / a.c, 6) AS delta_clusters_pct,
+    round(b.g - a.g, 6) AS delta_singleton_points FROM {_run_sql(UNIT)} a, {_run_sql(density_sql.PROJECTED)} b""",
+)
+def raw_versus_projected(spark, sf):
+    """Raw and projected vectors, both clustered, expanded to families and scored: what the projection changes."""
+
+    def side(v: DataFrame) -> DataFrame:
+        grown = checkpoint(_grown(spark, sf, density.hdbscan(v)))
+        mean = purity.purity_summary(grown, annotations(spark, sf)).select("avg_ec4_purity").scalar()
+        return sizes.size_summary(sizes.cluster_sizes(grown)).withColumn("avg_ec4_purity", mean)
+
+    out = fragment.method_delta(side(vectors(spark, sf)), side(head.project(vectors(spark, sf), _formula_head())))
+    return out.select(*r6(*out.columns))
 
 
 # ---------------------------------------------------------------- losses and learning

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 UNIT = """u AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS e FROM embeddings)"""
 
+# one linear layer whose weights follow a formula; its bias is (j - 3) / 16
+PROJECTED = """x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings),
+    y AS (SELECT vec_id, j, sum(v * ((j * 31 + i * 17) % 13 - 6) / 8.0) + (j - 3.0) / 16.0 AS y FROM x CROSS JOIN range(8) t(j) GROUP BY 1, 2),
+    z AS (SELECT vec_id AS id, list(y ORDER BY j) AS y FROM y GROUP BY 1),
+    u AS MATERIALIZED (SELECT id, list_transform(y, lambda a: a / sqrt(list_sum(list_transform(y, lambda b: b * b)))) AS e FROM z)"""
+
 
 def tree(min_samples: int = 2, metric: str = "euclidean", unit: str = UNIT) -> str:
     """CTEs up to ``edges`` (k, lo, hi, w, a, b): Prim's algorithm, one vertex per step, edges ordered by (w, lo, hi); a and b are places of the ends."""

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions import sequences as S
 from kinfold.functions import vectors as V
 from kinfold.operators import expand, fragment, labels, purity, sizes
 from kinfold.plans import runs
 from kinfold.plans.bindings import annotations, members, sequences, table, vectors
-from kinfold.plans.catalog import EC, MAPPING, METRICS, _mapping, _purity, _sc, _summary, _tc, query, r6
+from kinfold.plans.catalog import CLEANED, EC, MAPPING, METRICS, _mapping, _purity, _sc, _summary, _tc, query, r6
 from kinfold.session import checkpoint, scratch_dir
 from kinfold.sources import fasta, files, store
 
@@ -37,6 +38,24 @@ def fasta_many_files(spark, sf):
     return records.select(doc, F.regexp_extract("src", "source=([^/]*)", 1).alias("source"), "pos")
 
 
+@query(
+    "datasets_by_file",
+    f"""SELECT source AS dataset, count(*)::BIGINT AS n_records, sum(length({CLEANED}))::BIGINT AS n_residues FROM documents GROUP BY 1""",
+)
+def datasets_by_file(spark, sf):
+    """A folder of sequence files, one per dataset: each record carries the name of its file."""
+    folder, named = _sources_folder(spark, sf), _place(spark, "datasets")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at(named))
+    for source in (s.getPath() for s in fs.listStatus(at(folder)) if s.isDirectory()):  # one folder per dataset
+        part = next(f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
+        fs.rename(part, at(f"{named}/{source.getName().split('=', 1)[1]}.fasta"))
+    records = fasta.read_datasets(spark, files.resolve_fasta(spark, named))
+    length = F.length(S.clean(F.col("sequence"))).cast("long")
+    return records.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_records"), F.sum(length).alias("n_residues"))
+
+
 @query(
     "fasta_numbering",
     "SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS n_positions, 0::BIGINT AS first_pos, count(*)::BIGINT - 1 AS last_pos FROM documents",

@@ -66,6 +66,14 @@ def read_fasta(spark: SparkSession, paths: str | list[str], glob: str | None = N
     )
 
 
+def read_datasets(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
+    """(dataset, src, pos, header, sequence) of several files, each record with the name of its dataset; ``files.resolve_fasta`` finds them."""
+    records = read_fasta(spark, list(datasets.values()))
+    names = spark.createDataFrame([(path.rsplit("/", 1)[-1], name) for name, path in datasets.items()], "_file string, dataset string")
+    # one row per file
+    return records.withColumn("_file", F.url_decode(F.substring_index("src", "/", -1))).join(F.broadcast(names), "_file").select("dataset", "src", "pos", "header", "sequence")
+
+
 def read_embedder_input(
     spark: SparkSession, paths: str | list[str], split_char: str = "!", id_field: int = 0, is_3di: bool = False, glob: str | None = None
 ) -> DataFrame:
