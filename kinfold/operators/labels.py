@@ -53,7 +53,7 @@ def write_complete(
     """Write the rows that have all that is ``needed`` and report what the others lack, both in the one pass that writes.
 
     Returns the rows written and the report: ``what``, ``n_total``, ``n_missing``, ``warn`` (over a tenth of those that have it), and with ``id_col`` also
-    ``first_missing``, the ids of the ``first`` rows without it in ``order``, for which the rows are read again. If more than ``most_missing`` of the rows lack something the call fails, and the table does not
+    ``first_missing``, the ids of the ``first`` rows without it in ``order`` (empty if none lacks it), for which the rows are read again. If more than ``most_missing`` of the rows lack something the call fails, and the table does not
     appear at ``path``: it is written beside it and renamed when the counts are known. Without a limit (None) it always appears.
     """
     spark, seen = rows.sparkSession, Observation()

@@ -336,7 +336,7 @@ def labelled_vectors(spark, sf):
     "labelled_missing",
     f"""WITH {LABELLED}, w AS (SELECT 'label' AS what, pos, seq_id, class_idx IS NULL AS missing FROM j UNION ALL SELECT 'vector', pos, seq_id, vec_id IS NULL FROM j)
     SELECT what, count(*)::BIGINT AS n_total, count(*) FILTER (missing)::BIGINT AS n_missing, count(*) FILTER (missing) > 0.1 * count(*) FILTER (NOT missing) AS warn,
-      array_to_string((list(seq_id ORDER BY pos) FILTER (missing))[1:5], ',') AS first_missing FROM w GROUP BY what""",
+      coalesce(array_to_string((list(seq_id ORDER BY pos) FILTER (missing))[1:5], ','), '') AS first_missing FROM w GROUP BY what""",
 )
 def labelled_missing(spark, sf):
     """The report of that pass: what has no label and what no vector, and the first five of each."""
