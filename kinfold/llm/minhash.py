@@ -11,8 +11,10 @@ What keeps large groups linear:
 * shingles that only one class has (of all that share a bucket with another) can be in no intersection. Their number bounds the similarity of
   a class to any other from above, so copies with many changes of their own are not compared with each other;
 * a bucket is not expanded into pairs. Its first class by hash is its center, with which the others are compared; confirmed links are contracted to
-  components. Buckets whose classes are then in several components are cut into tiles, pairs of tiles are compared within a task, and only links
-  leave it. A pair is left out only when it is in one component already or cannot reach the similarity, so no link between components is lost;
+  components. What is left of a large bucket outside its centers' components gets a center again, as long as that settles an eighth of it;
+* buckets whose classes are then in several components are cut into tiles, a large component into tiles of its own. Tiles of different components
+  are compared within a task, tiles of one component never meet, and only links leave the task. A pair is left out only when it is in one component
+  already or cannot reach the similarity, so no link between components is lost;
 * components come from contraction by minima with pointer jumping; only tables of links are iterated, each round written to the shared folder.
 """
 
@@ -25,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.shared import packed, text_key
@@ -166,7 +168,7 @@ def _narrowed(rows: DataFrame, percent: int) -> tuple[DataFrame, int]:
 
 
 def _own_shingles(texts: DataFrame) -> DataFrame:
-    """``a`` (first half of ``tid``) and ``own``: how many shingles of the text no other of ``texts`` has."""
+    """``no`` and ``own``: how many shingles of the text with that number no other of ``texts`` has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,23 +176,40 @@ def _own_shingles(texts: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 256):
                 sets = [shingle_hashes(words_of(t)) for t in batch.column(1).slice(k, 256).to_pylist()]
                 which = np.repeat(np.array(names[k : k + 256], np.int64), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.concatenate(sets).view(np.int64))], ["a", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.concatenate(sets).view(np.int64))], ["no", "shingle"])
 
-    rows = texts.select("tid.a", "text").mapInArrow(run, "a bigint, shingle bigint")
-    once = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).where("n = 1")
-    return once.groupBy("a").agg(F.count(F.lit(1)).alias("own"))
+    rows = texts.select("no", "text").mapInArrow(run, "no bigint, shingle bigint")
+    once = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("no")).where("n = 1")
+    return once.groupBy("no").agg(F.count(F.lit(1)).alias("own"))
 
 
-def _links_of_centers(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links of each bucket's first class by turn with the others."""
-    center = F.min(F.struct("turn", "set", "tid", "n", "s")).alias("c")
-    chosen = members.groupBy("bucket").agg(center).select("bucket", *[F.col(f"c.{k}").alias(f"c_{k}") for k in ("set", "tid", "n", "s")])
-    met = members.join(chosen, "bucket").where(F.col("set") != F.col("c_set"))
+def _centers(members: DataFrame) -> DataFrame:
+    """The first class by turn of each bucket."""
+    center = F.min(F.struct("turn", "set", "tid", "n", "s", "root")).alias("c")
+    return members.groupBy("bucket").agg(center).select("bucket", *[F.col(f"c.{k}").alias(f"c_{k}") for k in ("set", "tid", "n", "s", "root")])
+
+
+def _links_of_centers(members: DataFrame, centers: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of each bucket's center with its members of other components."""
+    met = members.join(centers, "bucket").where(F.col("root") != F.col("c_root"))
     met = met.where(_may_link("s", "n", "c_n", percent) & _may_link("c_s", "n", "c_n", percent))
     pairs = met.select(F.col("c_set").alias("u"), F.col("c_tid").alias("ut"), F.col("set").alias("v"), F.col("tid").alias("vt"))
     return checkpoint(_confirmed(checkpoint(pairs.dropDuplicates(["u", "v"])), texts, percent))
 
 
+def _with_roots(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.drop("root").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+
+
+def _unsettled(members: DataFrame, centers: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members outside the component of their bucket's center, of buckets that hold over a tile of them and in which the center settled an eighth."""
+    settled = _with_roots(centers.select("bucket", F.col("c_set").alias("set")), labels).select("bucket", F.col("root").alias("done"))
+    rows = _with_roots(members, labels).join(settled, "bucket").withColumn("rest", F.col("root") != F.col("done"))
+    sizes = rows.groupBy("bucket").agg(F.count_if("rest").alias("after"), F.count(F.lit(1)).alias("before"))
+    again = sizes.where((F.col("after") > TILE_ROWS) & (8 * F.col("after") <= 7 * F.col("before"))).select("bucket")
+    return rows.where("rest").join(again, "bucket").drop("done", "rest")
+
+
 def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between the classes of two tiles of a bucket, or within one, that are not in one component yet."""
     near, far = rows["i"].iloc[0], rows["j"].iloc[0]
@@ -215,13 +234,31 @@ def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["u", "v"])
 
 
+def _tiles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``members`` with their ``tile`` and the ``others`` it is compared with. A component that fills half a tile of a bucket has tiles of its own, which
+    do not meet each other; smaller ones share tiles, which also meet themselves. So few rows beside a large component are copied often and the
+    component's many rows seldom."""
+    families = members.join(texts.select("tid", "bytes"), "tid").groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
+    tiles = lambda rows, size: F.greatest(F.ceil(rows / TILE_ROWS), F.ceil(size / TILE_BYTES))
+    large = (2 * F.col("rows") > TILE_ROWS) | (2 * F.col("bytes") > TILE_BYTES)
+    families = checkpoint(families.withColumn("own", F.when(large, tiles(F.col("rows"), F.col("bytes")))))
+    small = lambda c: F.sum(F.when(F.col("own").isNull(), F.col(c)).otherwise(0))
+    cut = families.groupBy("bucket").agg(tiles(small("rows"), small("bytes")).alias("loose"), F.coalesce(F.sum("own"), F.lit(0)).alias("large"))
+    # one row per large component of a bucket
+    before = Window.partitionBy("bucket").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
+    own = families.where("own is not null").select("bucket", "root", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("skip"))
+    rows = members.join(cut, "bucket").join(own, ["bucket", "root"], "left").withColumn("from", F.col("loose") + F.col("skip"))
+    shared = F.pmod(F.xxhash64("root"), F.greatest("loose", F.lit(1)))
+    rows = rows.withColumn("tile", F.when(F.col("own").isNull(), shared).otherwise(F.col("from") + F.pmod("turn", F.coalesce("own", F.lit(1)))))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("loose") + F.col("large") - 1)
+    foreign = F.filter(every, lambda x: (x < F.col("from")) | (x >= F.col("from") + F.col("own")))
+    return rows.withColumn("others", F.when(F.col("own").isNull(), every).otherwise(foreign)).drop("loose", "large", "own", "skip", "from")
+
+
 def _links_of_tiles(members: DataFrame, texts: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links of all classes of a bucket that are in different components: the bucket is cut into tiles of bounded size,
-    each pair of tiles is compared in one task, and only links leave it."""
-    rows = members.join(texts, "tid").join(buckets, "set").drop("tid")
-    cut = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum(F.octet_length("text")) / TILE_BYTES)).alias("tiles"))
-    tiled = rows.join(cut, "bucket").withColumn("tile", F.pmod("turn", "tiles"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
+    """Confirmed links of all classes of a bucket that are in different components: each pair of tiles that may hold one is compared in one
+    task, and only links leave it."""
+    tiled = _tiles(members, texts).join(texts.select("tid", "text"), "tid").join(buckets, "set").withColumn("other", F.explode("others"))
     tiled = tiled.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
     columns = ["bucket", "i", "j", "tile", "set", "n", "s", "root", "buckets", "text"]
     return tiled.select(*columns).groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _compare(pdf, percent), "u binary, v binary")
@@ -233,10 +270,14 @@ def _link(members: DataFrame, texts: DataFrame, buckets: DataFrame, percent: int
     members, left = _narrowed(members, percent)
     if not left:
         return members.select(F.col("set").alias("node"), "root").limit(0)
-    links = _links_of_centers(members, texts, percent)
-    labels = components(links)
-    rest = members.drop("root").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    members, left = _narrowed(rest, percent)
+    active, links = members, None
+    while left:
+        centers = checkpoint(_centers(active))
+        found = _links_of_centers(active, centers, texts, percent)
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        active, left = _narrowed(_unsettled(active, centers, labels), percent)
+    members, left = _narrowed(_with_roots(members, labels), percent)
     if not left:
         return labels
     return components(links.union(checkpoint(_links_of_tiles(members, texts, buckets, percent))))
@@ -258,10 +299,11 @@ def groups(df: DataFrame, id_col: str, text_col: str, percent: int, bands: int,
     by_set = classes.select("set", F.col("set").alias("root"), "least")
     if n_members:
         named = df.select(text_key(id_col, text_col).alias("tid"), F.col(text_col).alias("text"))
-        texts = checkpoint(named.join(members.select("tid").distinct(), "tid", "left_semi").dropDuplicates(["tid"]))
-        own = checkpoint(_own_shingles(texts))
-        shared_part = members.join(own, F.col("tid.a") == F.col("a"), "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
-        members = checkpoint(shared_part.where(100 * F.col("s") >= percent * F.col("n")).drop("a", "own"))
+        texts = named.join(members.select("tid").distinct(), "tid", "left_semi").dropDuplicates(["tid"])
+        texts = checkpoint(texts.select("tid", "text", F.octet_length("text").alias("bytes"), F.monotonically_increasing_id().alias("no")))
+        own = checkpoint(_own_shingles(texts).join(texts.select("no", "tid"), "no").select("tid", "own"))
+        shared_part = members.join(own, "tid", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
+        members = checkpoint(shared_part.where(100 * F.col("s") >= percent * F.col("n")).drop("own"))
         rooted = classes.select("set", "least").join(_link(members, texts, classes.select("set", "buckets"), percent).withColumnRenamed("node", "set"), "set", "left")
         rooted = rooted.select("set", "least", F.coalesce("root", "set").alias("root"))
         by_set = rooted.drop("least").join(rooted.groupBy("root").agg(F.min("least").alias("least")), "root")
@@ -277,7 +319,7 @@ def near_duplicates(
     sequence as only shingle; an empty or null text, or white space alone, has the empty set, is linked with nothing and kept.
     Rows with equal sets are linked. Null ids take part, but are no component's id unless it has no other; such a row is kept only then.
     Rows that share an id each get the component of their own text, and all with the component's id are kept.
-    Other columns are not read; an empty table gives an empty result.
+    Very long texts count whole. Other columns are not read; an empty table gives an empty result.
     """
     out = groups(df, id_col, text_col, percent, bands, rows)
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id"))
@@ -288,7 +330,7 @@ def without_near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """One row of each group of linked documents, with all columns of ``df``: that of the least id (a null one only if there is no other), of rows
-    that share it that of the least digest of id and text, and of rows equal in both any one. Rows without words all stay.
+    that share it that of the least digest of id and text, and of rows equal in both any one. Rows without words all stay; very long texts count whole.
     """
     found = groups(df, id_col, text_col, percent, bands, rows)
     best = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid")).alias("best"))

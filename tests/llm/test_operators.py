@@ -209,6 +209,48 @@ def test_near_duplicates_over_chains_and_stars(spark):
     assert ordered(map(tuple, minhash.near_duplicates(df).collect())) == ordered((i, len(s), c, i == c) for (i, _), s, c in zip(rows, sets, least))
 
 
+def test_near_duplicates_tile_by_tile(spark, monkeypatch):
+    """Large buckets of several families: centers again and again, and tiles of a few rows."""
+    rng = random.Random(8)
+    rows = []
+    for family in range(6):  # families share half of their words, so that many of their texts meet in a bucket
+        base = [f"common{j}" for j in range(70)] + [f"f{family}_{j}" for j in range(30 if family else 6)]
+        for k in range(40):
+            words = list(base)
+            words[rng.randrange(len(words))] = f"x{family}_{k}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    sets, _, least = components(rows, 85)
+    want = ordered((i, len(s), c, i == c) for (i, _), s, c in zip(rows, sets, least))
+    calls = []
+    plain = minhash._links_of_centers
+    monkeypatch.setattr(minhash, "_links_of_centers", lambda *x: calls.append(1) or plain(*x))
+    for tile in (2, 7):
+        monkeypatch.setattr(minhash, "TILE_ROWS", tile)
+        assert ordered(map(tuple, minhash.near_duplicates(df).collect())) == want
+    assert len(calls) > 2  # more than one round of centers in one of them
+
+
+@pytest.mark.parametrize("family", [500, 2000])
+def test_rows_beside_a_large_family_are_copied_in_proportion(spark, family):
+    rows = [(1, f"big{k}", "big" if k < family else f"other{k}") for k in range(family + 2)]
+    rows += [(2, f"one{k}", f"root{k % 300}") for k in range(600)]
+    rows += [(3, f"left{k}", "a" if k % 2 else "b") for k in range(1200)]
+    members = spark.createDataFrame(rows, "bucket bigint, set string, root string").select("*", F.col("set").alias("tid"), F.xxhash64("set").alias("turn"))
+    tiles = minhash._tiles(members, members.select("tid", F.lit(100).alias("bytes"))).collect()
+    copies = {b: sum(len(r.others) for r in tiles if r.bucket == b) for b in (1, 2, 3)}
+    assert copies[1] <= family + 2 * (2 + family // minhash.TILE_ROWS)
+    # every pair of rows of different components meets in exactly one pair of tiles
+    by = {(r.bucket, r.set): r for r in tiles}
+    rng = random.Random(3)
+    for b in (1, 2, 3):
+        mine = [r for r in tiles if r.bucket == b]
+        for x, y in (rng.sample(mine, 2) for _ in range(3000)):
+            met = y.tile in x.others
+            assert met == (x.tile in y.others) and (met or x.root == y.root)
+    assert len(by) == len(rows) == len(tiles)
+
+
 def test_one_of_each_group_stays(odd):
     kept = minhash.without_near_duplicates(odd)
     assert kept.columns == odd.columns
