@@ -11,7 +11,9 @@ item is small. Starting words are taken from the rarer ones of the item's first
 is dropped at the first sample where no item has its word, which is what makes many repeats cheap. Candidates are verified by exact edit
 distance.
 
-Documents are scanned once and never shuffled. Items travel to the executors in blocks of bounded size, one scan per block.
+Documents are scanned once and never shuffled. Items travel to the executors in blocks of bounded text and number, one scan per block. A worker's
+tables grow with the words and with the number of the items of a block, not with their product: the bits of a step are computed from numbers of the step
+and the word, the words of an item are sorted keys, and which words some item has at a sample is a filter of a few places per item.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ TO_SPACE = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
 UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 SEGMENT = 1 << 19  # words scanned at once
 BLOCK_BYTES = 16 << 20  # item text shipped at once
+BLOCK_ITEMS = 1 << 17  # items shipped at once
+CELLS = 1 << 20  # words looked at together when candidates are sifted
 RATIO = 1.5  # longest to shortest item of a length class
 
 
@@ -82,11 +86,11 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class _Class:
     """Walks of items of like length."""
 
-    bits: np.ndarray  # repeat, step, word: whether the walk moves on
+    factors: np.ndarray  # repeat, step: odd numbers; with the number of a word they give whether the walk moves on
     samples: np.ndarray  # repeat, sample: ascending steps, the first being the start
-    keys: list[np.ndarray]  # per repeat: sorted keys of the items' sampled words
-    owners: list[np.ndarray]  # item and place of its starting word, in the order of the keys
-    seen: list[list[np.ndarray]]  # per repeat and sample: which words some item has there
+    keys: np.ndarray  # per repeat: sorted keys of the items' sampled words
+    owners: np.ndarray  # item and place of its starting word, in the order of the keys
+    seen: np.ndarray  # repeat, sample, slot of a word: whether an item may have it there
 
 
 class _Exact:
@@ -131,92 +135,108 @@ class Finder:
     """Finds the given items in texts."""
 
     def __init__(self, texts: list[str], settings: Settings) -> None:
-        words = [words_of(t) for t in texts]
         self.settings = settings
-        self.kept = [i for i, w in enumerate(words) if len(w) >= settings.min_words]
+        self.kept: list[int] = []
         self.vocabulary: dict[bytes, int] = {}
-        short = [i for i, w in enumerate(words) if settings.exact_words <= len(w) < settings.min_words]
-        for i in [*self.kept, *short]:
-            for w in words[i]:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)  # 0: a word of no item
-        self.items = [np.array([self.vocabulary[w] for w in words[i]], np.int32) for i in self.kept]
-        self.edits = [int((1 - settings.similarity) * len(x) + 1e-9) for x in self.items]
+        self.short: dict[int, np.ndarray] = {}
+        parts: list[np.ndarray] = []
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            if len(words) < settings.exact_words:
+                continue
+            item = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32)  # 0: a word of no item
+            if len(words) < settings.min_words:
+                self.short[i] = item
+            else:
+                self.kept.append(i)
+                parts.append(item)
         n = len(self.vocabulary) + 1
-        self.has = np.zeros((len(self.items), n), bool)  # which words an item has; never "no item's word"
-        for k, x in enumerate(self.items):
-            self.has[k, x] = True
-        self.short = {i: np.array([self.vocabulary[w] for w in words[i]], np.int32) for i in short}
+        self.lengths = np.array(list(map(len, parts)), np.int64)
+        self.edits = [int((1 - settings.similarity) * x + 1e-9) for x in self.lengths.tolist()]
+        self._first = np.concatenate([[0], np.cumsum(self.lengths)])
+        self._words = np.concatenate(parts) if parts else np.zeros(0, np.int32)  # of all items, one after the other
+        self.items = np.split(self._words, self._first[1:-1]) if parts else []
+        self._has = np.unique(np.repeat(np.arange(len(parts)), self.lengths) * n + self._words)  # which words an item has
         self.exact = _Exact(self.short, n)
-        self.longest = max(map(len, self.items), default=0)
-        self.classes: list[_Class] = []
-        order = sorted(range(len(self.items)), key=lambda k: len(self.items[k]))
+        self.longest = int(self.lengths.max(initial=0))
         rng = np.random.default_rng(settings.seed)
-        while order:
-            longest = len(self.items[order[0]]) * RATIO
-            group = [k for k in order if len(self.items[k]) <= longest]
-            order = order[len(group) :]
-            self.classes.append(self._class(group, n, rng))
-        steps = max((c.bits.shape[1] for c in self.classes), default=0)
-        self.margin = 1 + max(steps, self.longest) + 2 * max(self.edits, default=0)
+        self._numbers = rng.integers(0, 1 << 64, n, np.uint64)  # of the words
+        spread = np.bincount(self._has % n, minlength=n)
+        self.classes: list[_Class] = []
         self.starting = np.zeros(n, bool)
-        for c in self.classes:
-            for table in c.seen:
-                self.starting |= table[0]
+        order = np.argsort(self.lengths, kind="stable")
+        while len(order):
+            size = int(np.searchsorted(self.lengths[order], self.lengths[order[0]] * RATIO, "right"))
+            self.classes.append(self._class(order[:size], spread, rng))
+            order = order[size:]
+        steps = max((c.factors.shape[1] for c in self.classes), default=0)
+        self.margin = 1 + max(steps, self.longest) + 2 * max(self.edits, default=0)
 
     def _anchors(self, item: np.ndarray, spread: np.ndarray) -> np.ndarray:
         """Places in the first half of ``item`` whose words are in the fewest items: half of them, four at least."""
         half = max(4, len(item) // 2)
         places = np.argsort(spread[item[:half]], kind="stable")
-        return places[: max(4, half // 2)]
+        return places[: max(4, half // 2)].astype(np.int32)
+
+    def _moves(self, words: np.ndarray, factor: np.uint64) -> np.ndarray:
+        """The random bit of a step for each word."""
+        return ((self._numbers[words] * factor) >> np.uint64(63)).astype(np.int64)
+
+    def _slots(self, words: np.ndarray, size: int) -> np.ndarray:
+        return (self._numbers[words] & np.uint64(size - 1)).astype(np.int64)
 
-    def _class(self, group: list[int], n: int, rng: np.random.Generator) -> _Class:
-        st = self.settings
-        shortest = len(self.items[group[0]])
-        steps = max(st.samples + 1, shortest)  # a walk moves on at every other step: it covers half of the shortest item
-        bits = rng.integers(0, 2, (st.repeats, steps, n), np.uint8)
+    def _class(self, group: np.ndarray, spread: np.ndarray, rng: np.random.Generator) -> _Class:
+        st, n = self.settings, len(self._numbers)
+        steps = max(st.samples + 1, int(self.lengths[group[0]]))  # a walk moves on at every other step: it covers half of the shortest item
+        factors = rng.integers(0, 1 << 63, (st.repeats, steps), np.uint64) * np.uint64(2) + np.uint64(1)
         samples = np.stack([np.concatenate([[0], 1 + np.sort(rng.choice(steps - 1, st.samples - 1, replace=False))]) for _ in range(st.repeats)])
-        spread = self.has.sum(axis=0)
-        padded = np.zeros((len(group), 2 * self.longest + steps + 1), np.int32)
-        for row, k in enumerate(group):
-            padded[row, : len(self.items[k])] = self.items[k]
-        keys, owners, seen = [], [], []
+        size = max(4096, 1 << int(4 * len(group) - 1).bit_length())
+        keys, owners = np.zeros((st.repeats, len(group)), np.int64), np.zeros((st.repeats, len(group), 2), np.int32)
+        seen = np.zeros((st.repeats, st.samples, size), bool)
+        anchors = [self._anchors(self.items[k], spread) for k in group.tolist()]
+        many = np.array(list(map(len, anchors)))
+        places, offset = np.concatenate(anchors), np.cumsum(many) - many
+        first, end = self._first[group], self._first[group + 1]
         for r in range(st.repeats):
-            start = np.array([rng.choice(self._anchors(self.items[k], spread)) for k in group])
-            at, key, table = start.copy(), np.zeros(len(group), np.int64), []
+            start = places[offset + (rng.random(len(group)) * many).astype(np.int64)]
+            at, key, sample = first + start, np.zeros(len(group), np.int64), 0
             for step in range(samples[r][-1] + 1):
-                here = padded[np.arange(len(group)), at]
-                if step in samples[r]:
+                here = np.where(at < end, self._words[np.minimum(at, end - 1)], 0)
+                if step == samples[r][sample]:
                     key = key * n + here
-                    mark = np.zeros(n, bool)
-                    mark[here] = True
-                    table.append(mark)
-                at = at + bits[r, step][here]
+                    seen[r, sample, self._slots(here, size)] = True
+                    if not sample:
+                        self.starting[here] = True
+                    sample += 1
+                at = at + self._moves(here, factors[r, step])
             by = np.argsort(key, kind="stable")
-            keys.append(key[by])
-            owners.append(np.stack([np.array(group)[by], start[by]], axis=1))
-            seen.append(table)
-        return _Class(bits, samples, keys, owners, seen)
-
-    def candidates(self, symbols: np.ndarray, starts: int) -> np.ndarray:
-        """(place of the starting word, item, place where the item would begin) of walks that agree at all samples of some repeat."""
-        n = len(self.vocabulary) + 1
-        begin = np.flatnonzero(self.starting[symbols[:starts]])
-        first = symbols[begin]
+            keys[r], owners[r] = key[by], np.stack([group[by], start[by]], axis=1)
+        return _Class(factors, samples, keys, owners, seen)
+
+    def candidates(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(place of the starting word, item, place where the item would begin) of walks that agree at all samples of some repeat. ``symbols`` are
+        those of several texts, each ending at one of ``ends``; behind it a walk reads words of no item."""
+        n = len(self._numbers)
+        begin = np.flatnonzero(self.starting[symbols])
+        first, stop = symbols[begin], ends[np.searchsorted(ends, begin, "right")]
         out = []
         for c in self.classes:
+            size = c.seen.shape[2]
+            slots = self._slots(first, size)
             for r in range(self.settings.repeats):
-                who = begin[c.seen[r][0][first]]
+                live = np.flatnonzero(c.seen[r, 0][slots])
+                who, end = begin[live], stop[live]
                 at, key, sample = who, np.zeros(len(who), np.int64), 0
                 for step in range(c.samples[r][-1] + 1):
-                    here = symbols[at]
+                    here = np.where(at < end, symbols[np.minimum(at, end - 1)], 0)
                     if step == c.samples[r][sample]:
-                        live = c.seen[r][sample][here]
-                        who, at, here = who[live], at[live], here[live]
+                        live = c.seen[r, sample][self._slots(here, size)]
+                        who, at, here, end = who[live], at[live], here[live], end[live]
                         key = key[live] * n + here
                         sample += 1
                     if not len(who):
                         break
-                    at = at + c.bits[r, step][here]
+                    at = at + self._moves(here, c.factors[r, step])
                 if len(who) and sample == self.settings.samples:
                     low, high = np.searchsorted(c.keys[r], key, "left"), np.searchsorted(c.keys[r], key, "right")
                     many = high - low
@@ -225,20 +245,28 @@ class Finder:
                     out.append(np.stack([place, owner[:, 0], place - owner[:, 1]], axis=1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
-    def _enough(self, symbols: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Pairs around whose start there are as many words of the item as it may not lose."""
+    def _enough(self, symbols: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Pairs around whose start there are, in its text, as many words of the item as it may not lose."""
         if not len(pairs):
             return pairs
-        lengths, edits = np.array(list(map(len, self.items))), np.array(self.edits)
-        keep = []
-        for a in range(0, len(pairs), 8192):
-            part = pairs[a : a + 8192]
-            item, k = part[:, 1], edits[part[:, 1]]
-            reach = np.arange(-max(self.edits), self.longest + max(self.edits) + 1)
-            where = part[:, 2:] + reach
-            inside = (reach >= -k[:, None]) & (reach < (lengths[item] + k)[:, None]) & (where >= 0) & (where < len(symbols))
-            found = self.has[item[:, None], symbols[np.clip(where, 0, len(symbols) - 1)]] & inside
-            keep.append(found.sum(axis=1) >= lengths[item] - k)
+        n, edits = len(self._numbers), np.array(self.edits)
+        pairs = pairs[np.argsort(self.lengths[pairs[:, 1]], kind="stable")]
+        widths = (self.lengths + 2 * edits)[pairs[:, 1]]
+        keep, a = [], 0
+        while a < len(pairs):
+            b = min(len(pairs), a + max(1, CELLS // int(widths[a])))
+            b = a + max(1, min(b - a, CELLS // int(widths[b - 1])))
+            place, item, start = pairs[a:b].T
+            k, which = edits[item][:, None], np.searchsorted(ends, place, "right")
+            first, end = np.where(which, ends[which - 1], 0)[:, None], ends[which][:, None]
+            where = (start[:, None] - k) + np.arange(widths[b - 1])
+            inside = (where < start[:, None] + self.lengths[item][:, None] + k) & (where >= first) & (where < end)
+            row, column = np.nonzero(inside)
+            word = symbols[where[row, column]]
+            key = item[row] * n + word
+            found = self._has[np.minimum(np.searchsorted(self._has, key), len(self._has) - 1)] == key
+            keep.append(np.bincount(row[found], minlength=b - a) >= self.lengths[item] - k[:, 0])
+            a = b
         return pairs[np.concatenate(keep)]
 
     def symbols(self, text: str | None) -> np.ndarray:
@@ -251,7 +279,6 @@ class Finder:
         exact: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         if not self.classes and not self.short:
             return exact
-        gap = np.zeros(self.margin, np.int32)
         batch, size = [], 0
         for row, text in enumerate(texts):
             s = self.symbols(text)
@@ -261,18 +288,19 @@ class Finder:
                 batch.append((row, a, s[a : a + SEGMENT + self.margin]))
                 size += len(batch[-1][2])
             if size >= SEGMENT:
-                self._scan(batch, gap, found)
+                self._scan(batch, found)
                 batch, size = [], 0
         if batch:
-            self._scan(batch, gap, found)
+            self._scan(batch, found)
         return [sorted([*((self.kept[k], *hit) for k, hit in hits.items()), *more]) for hits, more in zip(found, exact)]
 
-    def _scan(self, batch: list, gap: np.ndarray, found: list) -> None:
-        symbols = np.concatenate([x for _, _, s in batch for x in (s, gap)])
-        firsts = np.concatenate([[0], np.cumsum([len(s) + len(gap) for _, _, s in batch])])
+    def _scan(self, batch: list, found: list) -> None:
+        symbols = np.concatenate([s for _, _, s in batch])
+        ends = np.cumsum([len(s) for _, _, s in batch])
+        firsts = np.concatenate([[0], ends])
         regions: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for place, item, start in self._enough(symbols, self.candidates(symbols, len(symbols) - len(gap))).tolist():
-            regions[int(np.searchsorted(firsts, place, "right")) - 1, item].append(start)
+        for place, item, start in self._enough(symbols, ends, self.candidates(symbols, ends)).tolist():
+            regions[int(np.searchsorted(ends, place, "right")), item].append(start)
         for (piece, item), starts in regions.items():
             row, offset, s = batch[piece]
             want, k = self.items[item], self.edits[item]
@@ -304,13 +332,13 @@ def _finder(shipped, settings: Settings) -> Finder:
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about ``block_bytes``; of rows alike in both columns one."""
+    """The items in blocks of about ``block_bytes`` and ``BLOCK_ITEMS`` at most; of rows alike in both columns one."""
     rows = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
+    total = rows.agg(F.sum(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("n")).first()
+    n = max(-(-(total.size or 0) // block_bytes), -(-total.n // BLOCK_ITEMS))
     for block in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block)
-        yield sorted(((r.item, r.text) for r in part.collect()), key=lambda x: (x[0] is not None, x))  # bounded by block_bytes
+        yield sorted(((r.item, r.text) for r in part.collect()), key=lambda x: (x[0] is not None, x))  # bounded by block_bytes and BLOCK_ITEMS
 
 
 def find_leaks(

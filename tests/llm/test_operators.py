@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -393,6 +396,32 @@ def test_leaks_reach_their_recall():
     assert found >= 0.95 * len(items)
 
 
+MEMORY = """
+import random, resource, sys
+from kinfold.llm import decontaminate
+rng = random.Random(5)
+if sys.argv[1] == "short":
+    items = [" ".join(f"w{rng.randrange(60000)}" for _ in range(20)) for _ in range(decontaminate.BLOCK_ITEMS)]
+    assert sum(map(len, items)) > 15 << 20
+else:
+    items = [" ".join(f"w{rng.randrange(60000)}" for _ in range(10000 if k == 0 else 15)) for k in range(300)]
+texts = [f"before {items[k]} after" for k in range(0, 300, 3)] + ["w1 w2 w3 " * 100] * 200
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+finder = decontaminate.Finder(items, decontaminate.Settings())
+hits = finder.find(texts)
+assert all(any(h[:2] == (k, 0) for h in hits[n]) for n, k in enumerate(range(0, 300, 3)))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+@pytest.mark.parametrize("kind", ["short", "long"])
+def test_tables_of_items_stay_small(kind):
+    """A whole block of short items, and one item of 10 000 words beside short ones."""
+    done = subprocess.run([sys.executable, "-c", MEMORY, kind], capture_output=True, text=True, cwd=Path(__file__).parents[2])
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 300
+
+
 def test_short_items_are_found_as_they_are(spark):
     items = [(1, "two words"), (2, "Seven words are still a short item."), (3, "word"), (4, "words, are"), (5, "two words"), (6, "日本語")]
     rows = [
