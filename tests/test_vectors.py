@@ -2,6 +2,7 @@ import math
 
 import brute
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,49 @@ def test_nearest_by_reachability(spark, sizes, min_samples, k):
     assert got == [(i, r + 1, j) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), reach[i]))[:k])]
 
 
+def tile(x, first=0, **more):
+    return pd.DataFrame({"id": np.arange(first, first + len(x)), "vec": list(x), "tile": 0, **more})
+
+
+def counted(monkeypatch, *modules):
+    """How many pairs are measured from here on."""
+    seen, measure, whole = [0], neighbors.Rows.measure, neighbors.distances
+    monkeypatch.setattr(neighbors.Rows, "measure", lambda x, y, i, j: (seen.__setitem__(0, seen[0] + len(i)), measure(x, y, i, j))[1])
+    for m in modules:
+        monkeypatch.setattr(m, "distances", lambda x, y: (seen.__setitem__(0, seen[0] + len(x) * len(y)), whole(x, y))[1])
+    return seen
+
+
+#: without structure; a lattice, where most distances are equal; far from the origin, where products round most
+POINTS = {
+    "normal": np.random.default_rng(8).normal(size=(1200, 32)),
+    "lattice": np.stack(np.meshgrid(*[np.arange(6.0)] * 3), -1).reshape(-1, 3),
+    "far": 1e6 + np.random.default_rng(9).normal(size=(300, 8)),
+}
+
+
+@pytest.mark.parametrize("kind", POINTS)
+@pytest.mark.parametrize("cored", [False, True])
+def test_nearest_measures_few_pairs(monkeypatch, kind, cored):
+    """Tiles by themselves and a pair of them, against all pairs; of points without structure no more than a twentieth is measured."""
+    x, k = POINTS[kind], 4
+    seen, half = counted(monkeypatch, neighbors), len(x) // 2
+    core = {"core": np.sort(neighbors.distances(x, x), axis=1)[:, 3]} if cored else {}
+    d = neighbors.distances(x, x)
+    reach = np.maximum(d, np.maximum.outer(core["core"], core["core"])) if cored else d
+    np.fill_diagonal(reach, np.inf)
+    seen[0], local = 0, neighbors._top(k, 64, cored)
+    parts = [tile(x, **core).iloc[s] for s in (slice(half), slice(half, None))]
+    found = [local(p, p, True) for p in parts]
+    limits = [f.groupby("id")["reach"].max().to_numpy() for f in found]
+    found.append(local(parts[0].assign(limit=limits[0]), parts[1].assign(limit=limits[1]), False))
+    got = pd.concat(found).sort_values(["id", "reach", "neighbor"])
+    got = got[got.groupby("id").cumcount() < k]
+    want = np.array([np.lexsort((np.arange(len(x)), row))[:k] for row in reach])
+    assert (got["neighbor"].to_numpy().reshape(-1, k) == want).all() and (got["reach"].to_numpy().reshape(-1, k) == np.take_along_axis(reach, want, 1)).all()
+    assert kind != "normal" or seen[0] < len(x) ** 2 / 20
+
+
 def test_clustering_in_few_jobs(spark):
     """Counted on the sessions's own tracker: the number of jobs does not follow the depth of the tree."""
     rng = np.random.default_rng(2)
