@@ -1,7 +1,9 @@
 """Exact minimum spanning tree of the mutual-reachability graph.
 
-A task compares two tiles and returns one spanning tree of the edges between them; the union of those trees contains the minimum spanning
-tree of everything (cycle property). Borůvka rounds on that sparse edge table contract it; once the edges left fit in one task, which
+A task returns the spanning tree of a tile, or a spanning forest of those edges between two tiles that may belong to the tree of both; their union contains
+the minimum spanning tree of everything (cycle property). Each point knows the heaviest edge on its way, along the tree of its own part, to the center of
+that part. An edge between two parts that is heavier than what its two ends have on their ways, and than one link of the parts, closes a cycle as its
+heaviest edge. So only pairs within those bounds are measured. Borůvka rounds on that sparse edge table contract it; once the edges left fit in one task, which
 is so from the start for small tables, that task makes the remaining rounds at once. Edges are ordered by (weight, smaller id, larger id) throughout,
 with weights measured in one way, so the tree is unique and depends neither on tiles nor on partitions.
 """
@@ -17,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.vectors import matrix
-from kinfold.operators.neighbors import Cells, Hierarchy, blocks, compare_pairs, compare_tiles, distances
+from kinfold.operators.neighbors import PENDING, Cells, Hierarchy, Rows, blocks, compare_pairs, compare_tiles, distances, marked
 from kinfold.session import checkpoint, checkpoint_counting
 
-EDGE = "tile long, lo long, hi long, w double"
+EDGE = "lo long, hi long, w double"
+OWN = f"tile long, id long, way double, {EDGE}"  # one row per point: its way to the center, and the edge by which it was joined to a larger part
+LEAF_ROWS = 64  # points of which all pairs are ordered
 HOPS = 3  # links followed per round
 LAST_EDGES = 1 << 18  # edges that one task contracts to the end
 
@@ -50,11 +54,12 @@ def _reach(tree: Hierarchy, longest: np.ndarray, core: np.ndarray) -> Hierarchy:
     return tree.upwards(longest, link)
 
 
-def _forest(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places of the edges of the minimum spanning forest, lightest first."""
-    ids, ends = np.unique(np.concatenate([lo, hi]), return_inverse=True)
-    a, b = ends[: len(lo)].tolist(), ends[len(lo) :].tolist()
-    root, kept = list(range(len(ids))), []
+def _join(n: int, i: np.ndarray, j: np.ndarray, lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Places of the edges (i, j) of the minimum spanning forest of n points, lightest first; per edge the point whose part was joined to a larger one, and
+    per point the one it hangs on (-1: the center of its part)."""
+    a, b = i.tolist(), j.tolist()
+    root, size, above = list(range(n)), [1] * n, [-1] * n
+    kept, joined = [], []
     for e in np.lexsort((hi, lo, w)).tolist():
         x, y = a[e], b[e]
         while root[x] != x:
@@ -62,9 +67,21 @@ def _forest(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
         while root[y] != y:
             root[y] = y = root[root[y]]
         if x != y:
-            root[x] = y
+            if size[x] > size[y] or (size[x] == size[y] and x < y):
+                x, y = y, x
+            root[x] = above[x] = y
+            size[y] += size[x]
             kept.append(e)
-    return np.array(kept, int)
+            joined.append(x)
+            if len(kept) == n - 1:
+                break
+    return kept, joined, above
+
+
+def _forest(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of the minimum spanning forest, lightest first."""
+    ids, ends = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    return np.array(_join(len(ids), ends[: len(lo)], ends[len(lo) :], lo, hi, w)[0], int)
 
 
 def _prim(d: np.ndarray, rows: np.ndarray, cols: np.ndarray, same: bool) -> list[tuple[int, int]]:
@@ -113,29 +130,112 @@ def _prim(d: np.ndarray, rows: np.ndarray, cols: np.ndarray, same: bool) -> list
     return edges
 
 
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _named(x: Rows, y: Rows, found: Found) -> Found:
+    """(lo, hi, w) of edges given by places."""
+    a, b = x.ids[found[0]], y.ids[found[1]]
+    return np.minimum(a, b), np.maximum(a, b), found[2]
+
+
+def _between(x: Rows, y: Rows, rows: np.ndarray, cols: np.ndarray, way_x: np.ndarray, way_y: np.ndarray, block_rows: int) -> Found:
+    """(i, j, w): the edges between ``rows`` of x and ``cols`` of y that are no heavier than the ways of their ends or the best link at hand.
+
+    Points near the centers come first, so that the first block has a good link. In a block where that leaves many edges, all of equal weight for instance,
+    the spanning tree of the block stands for them.
+    """
+    rows, cols = rows[np.argsort(way_x[rows], kind="stable")], cols[np.argsort(way_y[cols], kind="stable")]
+    slack, link = x.slack(y), np.inf
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[Found] = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+
+    def settle() -> None:
+        i, j = (np.concatenate(part) for part in zip(*pending))
+        w = x.measure(y, i, j)[1]
+        near = w <= np.maximum(np.maximum(way_x[i], way_y[j]), link)
+        found.append((i[near], j[near], w[near]))
+        pending.clear()
+        if sum(len(f[0]) for f in found) > 2 * PENDING:
+            every = tuple(np.concatenate(part) for part in zip(*found))
+            kept = _forest(*_named(x, y, every))
+            found[:] = [tuple(part[kept] for part in every)]
+
+    for r, c in blocks(len(rows), len(cols), False, block_rows):
+        r, c = rows[r], cols[c]
+        f, far, wide = x.squares(y, r, c), way_x[r], way_y[c]
+        for again in (True, False):
+            near = (f <= (np.square(np.maximum(far, link)) + slack)[:, None]) | (f <= (np.square(wide) + slack)[None, :])
+            n = np.count_nonzero(near)
+            if not again or n <= len(r) + len(c):
+                break
+            a, b = np.divmod(np.maximum(f, np.square(np.maximum(far[:, None], wide[None, :]))).argmin(), len(c))
+            link = min(link, max(float(x.measure(y, r[[a]], c[[b]])[1][0]), far[a], wide[b]))
+        if n > 16 * (len(r) + len(c)):
+            d = distances(x.x[r], y.x[c])
+            if x.core is not None:
+                d = np.maximum(d, np.maximum(x.core[r][:, None], y.core[c][None, :]))
+            i, j = np.array(_prim(d, x.ids[r], y.ids[c], False)).T
+        elif n:
+            i, j = marked(near)
+        else:
+            continue
+        pending.append((r[i], c[j]))
+        if sum(len(p[0]) for p in pending) >= PENDING:
+            settle()
+    if pending:
+        settle()
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _own_tree(x: Rows, block_rows: int) -> tuple[Found, np.ndarray, np.ndarray]:
+    """Spanning tree of a tile, from those of its halves and so on; the way of each point, and the point that each edge joined to a larger part."""
+    way = np.zeros(len(x.ids))
+
+    def grow(start: int, stop: int) -> tuple[Found, np.ndarray]:
+        n = stop - start
+        if n <= LEAF_ROWS:
+            i, j = np.triu_indices(n, 1)
+            found = (i + start, j + start, x.measure(x, i + start, j + start)[1])
+        else:
+            half = (start + stop) // 2
+            below = [grow(start, half)[0], grow(half, stop)[0], _between(x, x, np.arange(start, half), np.arange(half, stop), way, way, block_rows)]
+            found = tuple(np.concatenate(part) for part in zip(*below))
+        kept, joined, above = _join(n, found[0] - start, found[1] - start, *_named(x, x, found))
+        found = tuple(part[kept] for part in found)
+        far = [0.0] * n
+        for p, w in zip(reversed(joined), reversed(found[2].tolist())):  # what a point hangs on was joined later
+            far[p] = w if above[above[p]] < 0 else far[above[p]]
+        way[start:stop] = far
+        return found, np.array(joined, int) + start
+
+    found, joined = grow(0, len(x.ids))
+    return found, way, joined
+
+
 def _tile_tree(block_rows: int, cored: bool):
-    """One spanning tree of the edges between two tiles, from those of their pairs of blocks."""
+    """The spanning tree of a tile, one row per point; the center has an edge to itself."""
+
+    def local(pdf: pd.DataFrame, _: pd.DataFrame, same: bool) -> pd.DataFrame:
+        x = Rows(pdf, cored)
+        found, way, joined = _own_tree(x, block_rows)
+        lo, hi, w = x.ids.copy(), x.ids.copy(), np.zeros(len(x.ids))
+        lo[joined], hi[joined], w[joined] = _named(x, x, found)
+        return pd.DataFrame({"tile": pdf["tile"].to_numpy(), "id": x.ids, "way": way, "lo": lo, "hi": hi, "w": w})
+
+    return local
+
+
+def _pair_forest(block_rows: int, cored: bool):
+    """A spanning forest of the edges between two tiles that may be of the tree of both."""
 
     def local(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        left, right = (p.sort_values("id", ignore_index=True) for p in (left, right))
-        found: list[list[np.ndarray]] = [[np.empty(0, int), np.empty(0, int), np.empty(0)]]
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        x, y = (matrix(p["vec"]) if len(p) else None for p in (left, right))
-        for r, c in blocks(len(a), len(b), same, block_rows) if len(a) and len(b) else ():
-            own = same and r == c
-            if own and r.stop - r.start < 2:
-                continue
-            d = distances(x[r], y[c])
-            if cored:
-                d = np.maximum(d, np.maximum(left["core"].to_numpy()[r][:, None], right["core"].to_numpy()[c][None, :]))
-            if own:
-                np.fill_diagonal(d, np.inf)
-            i, j = np.array(_prim(d, a[r], b[c], own)).T
-            found.append([np.minimum(a[r][i], b[c][j]), np.maximum(a[r][i], b[c][j]), d[i, j]])
-        lo, hi, w = (np.concatenate(part) for part in zip(*found))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"lo": np.empty(0, int), "hi": np.empty(0, int), "w": np.empty(0)})
+        x, y = Rows(left, cored), Rows(right, cored)
+        lo, hi, w = _named(x, y, _between(x, y, np.arange(len(left)), np.arange(len(right)), left["way"].to_numpy(), right["way"].to_numpy(), block_rows))
         kept = _forest(lo, hi, w)
-        tile = int(left["tile"].iloc[0]) if same else -1
-        return pd.DataFrame({"tile": np.full(len(kept), tile), "lo": lo[kept], "hi": hi[kept], "w": w[kept]})
+        return pd.DataFrame({"lo": lo[kept], "hi": hi[kept], "w": w[kept]})
 
     return local
 
@@ -148,18 +248,21 @@ def candidate_edges(cells: Cells, cores: DataFrame | None = None) -> DataFrame:
     extra: tuple[str, ...] = ()
     if cores is not None:
         cells, extra = replace(cells, points=checkpoint(cells.points.join(cores, "id"))), ("core",)
-    local = _tile_tree(cells.block_rows, bool(extra))
-    edges = compare_tiles(cells, local, EDGE, extra)
+    own = compare_tiles(cells, _tile_tree(cells.block_rows, bool(extra)), OWN, extra)
     if (n := cells.tree.n_tiles) > 1:
-        edges = checkpoint(edges)
+        own = checkpoint(own)
+    edges = own.where("lo <> hi").select("lo", "hi", "w")
+    if n > 1:
         longest, core = np.zeros(n), np.zeros(n)
-        seen = edges.groupBy("tile").agg(F.max("w").alias("m")).toPandas()  # one row per tile
+        seen = own.groupBy("tile").agg(F.max("w").alias("m")).toPandas()  # one row per tile
         longest[seen["tile"]] = seen["m"]
         if extra:
             worst = cells.points.groupBy("tile").agg(F.max("core").alias("m")).toPandas()  # one row per tile
             core[worst["tile"]] = worst["m"]
-        edges = edges.unionByName(compare_pairs(replace(cells, tree=_reach(cells.tree, longest, core)), local, EDGE, extra))
-    return edges.select("lo", "hi", "w")
+        points = checkpoint(cells.points.join(own.select("id", "way"), "id"))
+        apart = replace(cells, points=points, tree=_reach(cells.tree, longest, core))
+        edges = edges.unionByName(compare_pairs(apart, _pair_forest(cells.block_rows, bool(extra)), EDGE, (*extra, "way")))
+    return edges
 
 
 def copy_edges(rows: DataFrame, points: DataFrame, cores: DataFrame | None = None) -> DataFrame:

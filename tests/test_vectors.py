@@ -207,6 +207,28 @@ def test_nearest_measures_few_pairs(monkeypatch, kind, cored):
     assert kind != "normal" or seen[0] < len(x) ** 2 / 20
 
 
+@pytest.mark.parametrize("kind", POINTS)
+@pytest.mark.parametrize("cored", [False, True])
+def test_trees_measure_few_pairs(monkeypatch, kind, cored):
+    """Trees of two tiles and the forest between them hold the tree of all pairs; of points without structure no more than a twentieth is measured."""
+    x = POINTS[kind]
+    seen, half = counted(monkeypatch, neighbors, mst), len(x) // 2
+    d = neighbors.distances(x, x)
+    core = {"core": np.sort(d, axis=1)[:, 3]} if cored else {}
+    reach = np.maximum(d, np.maximum.outer(core["core"], core["core"])) if cored else d
+    i, j = np.triu_indices(len(x), 1)
+    want = {(i[e], j[e]) for e in mst._forest(i, j, reach[i, j])}
+    seen[0] = 0
+    parts = [tile(x, **core).iloc[s] for s in (slice(half), slice(half, None))]
+    own = [mst._tile_tree(64, cored)(p, p, True) for p in parts]
+    assert all(list(o["id"]) == list(p["id"]) and (o["lo"] != o["hi"]).sum() == len(p) - 1 for o, p in zip(own, parts))
+    between = mst._pair_forest(64, cored)(*(p.assign(way=o["way"].to_numpy()) for p, o in zip(parts, own)), False)
+    every = pd.concat([o[o["lo"] != o["hi"]] for o in own] + [between])
+    lo, hi, w = (every[c].to_numpy() for c in ("lo", "hi", "w"))
+    assert {(lo[e], hi[e]) for e in mst._forest(lo, hi, w)} == want and (w == reach[lo, hi]).all()
+    assert len(between) < len(x) and (kind != "normal" or seen[0] < len(x) ** 2 / 20)
+
+
 def test_clustering_in_few_jobs(spark):
     """Counted on the sessions's own tracker: the number of jobs does not follow the depth of the tree."""
     rng = np.random.default_rng(2)
