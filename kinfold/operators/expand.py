@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.ids import cluster_file
 from kinfold.operators.ordering import with_position
+from kinfold.session import TASK_ROWS, frequent, parts_for
 
 NOISE = -1
 
@@ -27,15 +28,24 @@ def families(assignment: DataFrame) -> DataFrame:
     return keyed.join(numbered, ["_noise", "_key"]).select("rep", "pos", "label", "cluster_id")
 
 
-def expand_members(reps: DataFrame, members: DataFrame) -> DataFrame:
+def expand_members(reps: DataFrame, members: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Attach the members of each representative; one that has none stands for itself.
 
-    ``reps`` carries ``rep`` and any further columns, ``members`` is the multimap (rep, member).
+    ``reps`` carries ``rep`` and any further columns, ``members`` is the multimap (rep, member). Both are dealt by ``rep`` to as many tasks as their rows
+    ask for, except those of representatives with more than ``task_rows`` members.
     """
-    members = members.select("rep", "member")
-    # an inner join lets Spark split the members of a frequent representative, an outer one would not
-    alone = reps.join(members.select("rep").distinct(), "rep", "left_anti").withColumn("member", F.col("rep"))
-    return reps.join(members, "rep").unionByName(alone)
+    members = members.select("rep", "member").where(F.col("rep").isNotNull())
+    parts = parts_for(members.count() + reps.count(), task_rows)
+    hot, many = frequent(members, "rep", task_rows), None
+    if hot is not None:
+        hot = F.broadcast(hot)  # at most rows / task_rows of them
+        # an inner join lets Spark split the members of a frequent representative, an outer one would not
+        many = reps.join(hot, "rep", "left_semi").join(members.join(hot, "rep", "left_semi"), "rep")
+        reps, members = reps.join(hot, "rep", "left_anti"), members.join(hot, "rep", "left_anti")
+    known = members.withColumn("_has", F.lit(True)).repartition(parts, "rep")
+    found = reps.repartition(parts, "rep").join(known, "rep", "left")
+    found = found.withColumn("member", F.when(F.col("_has"), F.col("member")).otherwise(F.col("rep"))).drop("_has")
+    return found if many is None else found.unionByName(many)
 
 
 def with_file_name(df: DataFrame) -> DataFrame:

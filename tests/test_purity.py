@@ -121,3 +121,16 @@ def test_expansion(spark):
     assert got == {0: {"r1", "m1", "r3"}, 1: {"r2", "m2"}, 2: {"r4"}}
     s = sizes.size_summary(sizes.cluster_sizes(out.withColumnRenamed("cluster_id", "cluster"))).first()
     assert s.n_clusters == 3 and s.pct_singletons == pytest.approx(100 / 3)
+
+
+def test_expanding_deals_rows_by_their_number(spark):
+    """Tasks follow the rows, not the session's partitions; a frequent representative, a null and a member that is null keep all their rows."""
+    reps = spark.range(40).select(F.col("id").alias("rep"), (F.col("id") * 2).alias("more")).unionByName(spark.createDataFrame([(None, 7)], "rep long, more long"))
+    rows = [(r, 100 * r + k) for r in range(30) for k in range(r % 4)] + [(5, k) for k in range(60)] + [(31, None), (None, 3), (77, 1)]
+    members = spark.createDataFrame(rows, "rep long, member long")
+    want = sorted(([(r, 2 * r, m) for r, m in rows if r is not None and r < 40] + [(r, 2 * r, r) for r in range(40) if r not in {x for x, _ in rows}] + [(None, 7, None)]), key=str)
+    for task_rows in (10, 1000):
+        out = expand.expand_members(reps, members, task_rows)
+        assert sorted(map(tuple, out.select("rep", "more", "member").collect()), key=str) == want
+    few = expand.expand_members(reps, members.where("rep <> 5"), 10)
+    assert few.rdd.getNumPartitions() == -(-(41 + members.where("rep <> 5").count()) // 10)
