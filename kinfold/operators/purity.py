@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.ids import parent_term
+from kinfold.session import TASK_ROWS, checkpoint, frequent, parts_for
 
 PREFIX_MODES = ("raw", "dotted")
 
 
-def term_counts(members: DataFrame, annotations: DataFrame, keep_unannotated: bool = False) -> DataFrame:
+def term_counts(members: DataFrame, annotations: DataFrame, keep_unannotated: bool = False, task_rows: int = TASK_ROWS) -> DataFrame:
     """(cluster, term, n): how often each term occurs in each cluster.
 
     ``members`` is a multiset (cluster, accession): a member contributes all terms of its accession, and contributes
@@ -18,13 +19,23 @@ def term_counts(members: DataFrame, annotations: DataFrame, keep_unannotated: bo
     without any annotation keeps one row with a null term.
 
     The join is an ordinary equi-join: Spark broadcasts the annotations while they are under its own threshold and
-    shuffles (splitting hot accessions at run time) beyond it. Counting is partial before the shuffle, so a cluster
-    holding a third of all members sends one row per term and task.
+    shuffles (splitting hot accessions at run time) beyond it. Its rows are dealt by cluster to as many tasks as members and
+    annotations ask for, and stay there for all that is counted per cluster. Clusters with more than ``task_rows`` members are counted apart,
+    partially before the shuffle, so that one holding a third of all members sends one row per term and task.
     """
     known = annotations.select("accession", "term").dropDuplicates()
     how = "left" if keep_unannotated else "inner"
-    joined = members.select("cluster", "accession").join(known, "accession", how)
-    counts = joined.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n"))
+    members = members.select("cluster", "accession")
+
+    def counted(joined: DataFrame) -> DataFrame:
+        return joined.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n"))
+
+    # a member has a few terms
+    parts, hot = parts_for(2 * members.count(), task_rows), frequent(members, "cluster", task_rows)
+    rest = members if hot is None else members.join(F.broadcast(hot), "cluster", "left_anti")  # at most rows / task_rows of them
+    counts = counted(rest.join(known, "accession", how).repartition(parts, "cluster"))
+    if hot is not None:
+        counts = counts.unionByName(counted(members.join(F.broadcast(hot), "cluster", "left_semi").join(known, "accession", how)))
     return counts.withColumn("n", F.when(F.col("term").isNotNull(), F.col("n")).otherwise(F.lit(0)).cast("long"))
 
 
@@ -56,7 +67,8 @@ def purity_of_counts(counts: DataFrame, terms: DataFrame | None = None, prefix_m
     parent of one of the cluster's terms covers by prefix. ``terms`` may name a smaller table holding the term
     domain (the annotations); by default it is read off the counts.
     """
-    candidates = parent_candidates(counts if terms is None else terms, prefix_mode)
+    # written first, so that its size is known: where it is small, counts stay dealt by cluster
+    candidates = checkpoint(parent_candidates(counts if terms is None else terms, prefix_mode))
     spread = counts.join(candidates, "term", "left").select("cluster", "n", F.explode_outer("parents").alias("p"))
     own = F.col("p.own")
     per_parent = spread.groupBy("cluster", F.col("p.parent").alias("parent")).agg(

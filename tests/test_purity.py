@@ -134,3 +134,20 @@ def test_expanding_deals_rows_by_their_number(spark):
         assert sorted(map(tuple, out.select("rep", "more", "member").collect()), key=str) == want
     few = expand.expand_members(reps, members.where("rep <> 5"), 10)
     assert few.rdd.getNumPartitions() == -(-(41 + members.where("rep <> 5").count()) // 10)
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_counting_deals_rows_by_their_number(spark, keep):
+    """Tasks follow the rows, not the session's partitions; a large cluster, a null one and members without terms are counted all the same."""
+    rows = [(k % 9, k % 13) for k in range(100)] + [(20, k % 5) for k in range(70)] + [(None, 1), (None, 99), (30, 99)]
+    terms = [(a, f"1.{a % 3}.{a}") for a in range(13)] + [(a, f"2.{a}") for a in range(0, 13, 4)]
+    members, ann = spark.createDataFrame(rows, "cluster long, accession long"), spark.createDataFrame(terms, "accession long, term string")
+    want = {}
+    for c, a in rows:
+        for t in [t for x, t in terms if x == a] or [None] * keep:
+            want[c, t] = want.get((c, t), 0) + (t is not None)
+    for task_rows in (20, 1000):
+        got = purity.term_counts(members, ann, keep, task_rows).collect()
+        assert {(r.cluster, r.term): r.n for r in got} == want and len(got) == len(want)
+    few = purity.term_counts(members.where("cluster < 9"), ann, keep, 20)
+    assert few.rdd.getNumPartitions() == 200 // 20 == purity.purity_of_counts(few, ann).rdd.getNumPartitions()
