@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import ids
 from kinfold.operators.ordering import with_position
+from kinfold.session import TASK_ROWS, checkpoint, parts_for
 
 # The suffixes of cluster files and of sequence files, and the heading lines of the report files.
 CLUSTER_SUFFIXES = ("faa", "aln")
@@ -130,16 +131,17 @@ def write_sizes(sizes: DataFrame, path: str, heading: str = "family\tnum_sequenc
     n.unionByName(head).unionByName(rows).sort("o", "k").select("value").write.text(path)
 
 
-def write_families(members: DataFrame, folder: str, text: bool = False) -> None:
+def write_families(members: DataFrame, folder: str, text: bool = False, task_rows: int = TASK_ROWS) -> None:
     """Families as one Parquet table (cluster_file, pos, member), in few files and sorted by family; with ``text`` as text instead, one
     directory per family, a header and a placeholder residue per member.
 
     ``members`` is (cluster_id, pos, member). The folder is replaced as a whole. Rows are spread by (family, slice of
-    positions) so that a hot family is written by several tasks.
+    positions) so that a hot family is written by several tasks, of about ``task_rows`` rows.
     """
     if not text:
-        rows = members.select(ids.cluster_file(F.col("cluster_id")).alias("cluster_file"), "pos", "member")
-        rows.repartitionByRange("cluster_file", "pos").sortWithinPartitions("cluster_file", "pos").write.mode("overwrite").parquet(folder)
+        # written first: it is counted, sampled for its ranges, and sorted
+        rows = checkpoint(members.select(ids.cluster_file(F.col("cluster_id")).alias("cluster_file"), "pos", "member"))
+        rows.repartitionByRange(parts_for(rows.count(), task_rows), "cluster_file", "pos").sortWithinPartitions("cluster_file", "pos").write.mode("overwrite").parquet(folder)
         return
     out = members.select(
         ids.cluster_file(F.col("cluster_id")).alias("cluster_file"), "pos", F.concat(F.lit(">"), "member", F.lit("\nX")).alias("value")

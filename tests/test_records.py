@@ -324,3 +324,11 @@ def test_embedding_policies(spark):
     assert (s.n_embedded, s.n_failed, s.avg_length) == (3, 1, pytest.approx(7 / 3))
     full = embed.embed(df.where("key = 2"), pool=False).first()
     assert len(full.embedding) == 3 and len(full.embedding[0]) == 8
+
+
+def test_families_are_written_by_as_many_tasks_as_rows_ask_for(spark, tmp_path):
+    members = spark.range(400).select((F.col("id") % 40).alias("cluster_id"), F.col("id").alias("pos"), F.col("id").cast("string").alias("member"))
+    files.write_families(members, str(tmp_path / "fam"), task_rows=20)
+    assert 15 <= len(list((tmp_path / "fam").glob("*.parquet"))) <= 20
+    back = files.read_cluster_folder(spark, str(tmp_path / "fam"))
+    assert back.count() == 400 and back.select("cluster").distinct().count() == 40
