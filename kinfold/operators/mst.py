@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.vectors import matrix
-from kinfold.operators.neighbors import PENDING, Cells, Hierarchy, Rows, blocks, compare_pairs, compare_tiles, distances, marked
+from kinfold.operators.neighbors import PENDING, Cells, Hierarchy, Rows, blocks, compare_pairs, compare_tiles, distances, few, marked
 from kinfold.session import checkpoint, checkpoint_counting
 
 EDGE = "lo long, hi long, w double"
@@ -146,43 +146,62 @@ def _between(x: Rows, y: Rows, rows: np.ndarray, cols: np.ndarray, way_x: np.nda
     the spanning tree of the block stands for them.
     """
     rows, cols = rows[np.argsort(way_x[rows], kind="stable")], cols[np.argsort(way_y[cols], kind="stable")]
-    slack, link = x.slack(y), np.inf
+    far, wide, link = way_x[rows], way_y[cols], np.inf
+    left, right, slack = x.products(y, rows, cols, float(np.square(max(far[len(far) // 2], wide[len(wide) // 2]))))
+    core = None if x.core is None else tuple(np.square(c).astype(left.dtype) for c in (x.core[rows], y.core[cols]))
+    room, mask = np.empty(block_rows * block_rows, left.dtype), np.zeros(-(-block_rows * block_rows // 8) * 8, bool)
     pending: list[tuple[np.ndarray, np.ndarray]] = []
     found: list[Found] = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    n_pending = n_found = 0
 
     def settle() -> None:
+        nonlocal n_pending, n_found
         i, j = (np.concatenate(part) for part in zip(*pending))
         w = x.measure(y, i, j)[1]
         near = w <= np.maximum(np.maximum(way_x[i], way_y[j]), link)
         found.append((i[near], j[near], w[near]))
+        n_found += np.count_nonzero(near)
         pending.clear()
-        if sum(len(f[0]) for f in found) > 2 * PENDING:
+        n_pending = 0
+        if n_found > 2 * PENDING:
             every = tuple(np.concatenate(part) for part in zip(*found))
             kept = _forest(*_named(x, y, every))
             found[:] = [tuple(part[kept] for part in every)]
+            n_found = len(kept)
 
     for r, c in blocks(len(rows), len(cols), False, block_rows):
-        r, c = rows[r], cols[c]
-        f, far, wide = x.squares(y, r, c), way_x[r], way_y[c]
-        for again in (True, False):
-            near = (f <= (np.square(np.maximum(far, link)) + slack)[:, None]) | (f <= (np.square(wide) + slack)[None, :])
-            n = np.count_nonzero(near)
-            if not again or n <= len(r) + len(c):
-                break
-            a, b = np.divmod(np.maximum(f, np.square(np.maximum(far[:, None], wide[None, :]))).argmin(), len(c))
-            link = min(link, max(float(x.measure(y, r[[a]], c[[b]])[1][0]), far[a], wide[b]))
-        if n > 16 * (len(r) + len(c)):
-            d = distances(x.x[r], y.x[c])
-            if x.core is not None:
-                d = np.maximum(d, np.maximum(x.core[r][:, None], y.core[c][None, :]))
-            i, j = np.array(_prim(d, x.ids[r], y.ids[c], False)).T
-        elif n:
-            i, j = marked(near)
+        high, across = r.stop - r.start, c.stop - c.start
+        f = np.matmul(left[r], right[c].T, out=room[: high * across].reshape(high, across))
+        if core is not None:
+            np.maximum(f, core[0][r][:, None], out=f)
+            np.maximum(f, core[1][c][None, :], out=f)
+        # ways rise, so the last of a block bounds all of it
+        np.less_equal(f, float(np.square(max(far[r.stop - 1], wide[c.stop - 1], link)) + slack), out=mask[: f.size].reshape(f.shape))
+        i = few(mask, f.size)
+        if len(i) <= high + across:
+            i, j = np.divmod(i, across)
+            near = f[i, j] <= np.square(np.maximum(np.maximum(far[r][i], wide[c][j]), link)) + slack
+            i, j = i[near], j[near]
         else:
-            continue
-        pending.append((r[i], c[j]))
-        if sum(len(p[0]) for p in pending) >= PENDING:
-            settle()
+            for again in (True, False):
+                near = (f <= (np.square(np.maximum(far[r], link)) + slack)[:, None]) | (f <= (np.square(wide[c]) + slack)[None, :])
+                n = np.count_nonzero(near)
+                if not again or n <= high + across:
+                    break
+                a, b = np.divmod(np.maximum(f, np.square(np.maximum(far[r][:, None], wide[c][None, :]))).argmin(), across)
+                link = min(link, max(float(x.measure(y, rows[r][[a]], cols[c][[b]])[1][0]), far[r][a], wide[c][b]))
+            if n > 16 * (high + across):
+                d = distances(x.x[rows[r]], y.x[cols[c]])
+                if x.core is not None:
+                    d = np.maximum(d, np.maximum(x.core[rows[r]][:, None], y.core[cols[c]][None, :]))
+                i, j = np.array(_prim(d, x.ids[rows[r]], y.ids[cols[c]], False)).T
+            else:
+                i, j = marked(near)
+        if len(i):
+            pending.append((rows[r][i], cols[c][j]))
+            n_pending += len(i)
+            if n_pending >= PENDING:
+                settle()
     if pending:
         settle()
     return tuple(np.concatenate(part) for part in zip(*found))

@@ -1,9 +1,11 @@
 import math
+import time
 
 import brute
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from kinfold.functions import vectors as V
@@ -229,6 +231,47 @@ def test_trees_measure_few_pairs(monkeypatch, kind, cored):
     assert len(between) < len(x) and (kind != "normal" or seen[0] < len(x) ** 2 / 20)
 
 
+@pytest.mark.parametrize("kind", POINTS)
+@pytest.mark.parametrize("cored", [False, True])
+def test_products_are_within_their_slack(kind, cored):
+    """Single precision only where its rounding is far below the squares of interest: not far from the origin, nor for tiny or huge vectors."""
+    for scale in (1.0, 1e-18, 1e25):
+        x = POINTS[kind][:200] * scale
+        d = neighbors.distances(x, x)
+        rows = neighbors.Rows(tile(x), cored) if not cored else neighbors.Rows(tile(x, core=np.sort(d, axis=1)[:, 3]), True)
+        at = np.random.default_rng(3).permutation(len(x))
+        left, right, slack = rows.products(rows, at, at[::-1], float(np.median(d) ** 2))
+        assert left.dtype == (np.float32 if kind != "far" and scale == 1 else np.float64)
+        assert np.abs(left @ right.T - np.square(d)[at][:, at[::-1]]).max() <= slack
+    mask = np.zeros(1024, bool)
+    mask[[3, 8, 9, 700, 1001]] = True
+    assert list(neighbors.few(mask, 1001)) == [3, 8, 9, 700] and list(neighbors.few(mask, 1002)) == [3, 8, 9, 700, 1001]
+
+
+def test_pairs_of_tiles_do_not_share_a_task(spark, monkeypatch):
+    """Their rows are few bytes and much work; Spark would put all of them into one task."""
+    monkeypatch.setattr(neighbors, "TASK_PAIRS", 64, raising=False)
+    cells = cells_of(spark, np.random.default_rng(4).normal(size=(300, 3)), tile_rows=64, block_rows=8)
+    n = cells.tree.n_tiles
+    where = lambda left, right, same: pd.DataFrame({"part": [TaskContext.get().partitionId()]})
+    own = [r.part for r in neighbors.compare_tiles(cells, where, "part int").collect()]
+    assert len(own) == n and len(set(own)) > n / 2
+    none = neighbors.replace(cells, tree=neighbors.replace(cells.tree, reach=np.full(len(cells.tree.parent), np.inf)))
+    pairs = [r.part for r in neighbors.compare_pairs(none, where, "part int").collect()]
+    assert len(pairs) == n * (n - 1) / 2 and len(set(pairs)) > len(pairs) / 2
+    assert [neighbors.parts_of(*a) for a in ((0, 0, 0), (9, 10, 1e3), (10**6, 10, 1e20), (10**6, 1 << 40, 1e20))] == [1, 15, neighbors.MOST_PARTS, 1 << 21]
+
+
+def test_norm_is_taken_once_per_row(spark):
+    """Not once per component: 48 rows of 4096 components would take minutes."""
+    df = spark.range(48).select("id", F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda x: (x % 7).cast("double")).alias("embedding"))
+    start = time.perf_counter()
+    got = [r.embedding for r in V.with_unit(df).select(F.slice("embedding", 1, 8).alias("embedding")).collect()]
+    assert time.perf_counter() - start < 10
+    x = np.arange(1, 4097) % 7.0
+    assert got[0] == pytest.approx((x / np.linalg.norm(x))[:8]) and V.with_unit(spark.sql("SELECT cast(null as array<double>) AS embedding")).first().embedding is None
+
+
 def test_clustering_in_few_jobs(spark):
     """Counted on the sessions's own tracker: the number of jobs does not follow the depth of the tree."""
     rng = np.random.default_rng(2)
