@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.ids import cluster_file
 from kinfold.operators.ordering import with_position
-from kinfold.session import TASK_ROWS, frequent, parts_for
+from kinfold.session import TASK_ROWS, checkpoint, frequent, parts_for
 
 NOISE = -1
+SPARSE = 16  # members per representative beyond which most of them are taken to be those of others
 
 
 def families(assignment: DataFrame) -> DataFrame:
@@ -32,10 +33,15 @@ def expand_members(reps: DataFrame, members: DataFrame, task_rows: int = TASK_RO
     """Attach the members of each representative; one that has none stands for itself.
 
     ``reps`` carries ``rep`` and any further columns, ``members`` is the multimap (rep, member). Both are dealt by ``rep`` to as many tasks as their rows
-    ask for, except those of representatives with more than ``task_rows`` members.
+    ask for, except those of representatives with more than ``task_rows`` members. Members of others than ``reps`` are left out first where there are many.
     """
     members = members.select("rep", "member").where(F.col("rep").isNotNull())
-    parts = parts_for(members.count() + reps.count(), task_rows)
+    n_members, n_reps = members.count(), reps.count()
+    if n_members > SPARSE * n_reps:
+        reps = checkpoint(reps)  # its size is known then: where it is small, members need not move
+        members = checkpoint(members.join(reps.select("rep"), "rep", "left_semi"))
+        n_members = members.count()
+    parts = parts_for(n_members + n_reps, task_rows)
     hot, many = frequent(members, "rep", task_rows), None
     if hot is not None:
         hot = F.broadcast(hot)  # at most rows / task_rows of them

@@ -136,6 +136,17 @@ def test_expanding_deals_rows_by_their_number(spark):
     assert few.rdd.getNumPartitions() == -(-(41 + members.where("rep <> 5").count()) // 10)
 
 
+def test_members_of_others_are_left_out_first(spark):
+    """Neither counted nor dealt: tasks follow the members of the given representatives, repeated ones and nulls included."""
+    reps = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (900, 30), (None, 40)], "rep long, more long")
+    others = spark.range(3, 603).select(F.col("id").alias("rep"), F.col("id").alias("member")).unionByName(spark.range(50).select(F.lit(700).cast("long").alias("rep"), F.col("id").alias("member")))
+    members = others.unionByName(spark.createDataFrame([(1, 5), (1, 6), (2, None), (None, 9)], "rep long, member long"))
+    out = expand.expand_members(reps, members, 10)
+    got = sorted(map(tuple, out.select("rep", "more", "member").collect()), key=str)
+    assert got == sorted([(1, 10, 5), (1, 10, 6), (1, 11, 5), (1, 11, 6), (2, 20, None), (900, 30, 900), (None, 40, None)], key=str)
+    assert out.rdd.getNumPartitions() == 1
+
+
 @pytest.mark.parametrize("keep", [False, True])
 def test_counting_deals_rows_by_their_number(spark, keep):
     """Tasks follow the rows, not the session's partitions; a large cluster, a null one and members without terms are counted all the same."""

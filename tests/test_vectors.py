@@ -262,6 +262,23 @@ def test_pairs_of_tiles_do_not_share_a_task(spark, monkeypatch):
     assert [neighbors.parts_of(*a) for a in ((0, 0, 0), (9, 10, 1e3), (10**6, 10, 1e20), (10**6, 1 << 40, 1e20))] == [1, 15, neighbors.MOST_PARTS, 1 << 21]
 
 
+def test_points_travel_together(spark):
+    """Few rows for each pair of tiles, bounded in size, hold what one row per point and pair holds."""
+    cells = cells_of(spark, np.random.default_rng(4).normal(size=(300, 3)), tile_rows=64, block_rows=8)
+    cells = neighbors.replace(cells, points=cells.points.withColumn("way", F.col("id") / 7), tree=neighbors.replace(cells.tree, reach=np.full(len(cells.tree.parent), np.inf)))
+    want = sorted((r.lo, r.hi, r.tile, r.id, *r.vec, r.way) for r in neighbors.tile_pairs(cells, ("way",)).collect())
+    for most in (1 << 20, 240):
+        together = neighbors.bundles(neighbors._with_partners(cells, ("way",)), ("way",), most).toPandas()
+        assert len(together) < len(want) / 4 and max(len(v) for v in together["vecs"]) <= most
+        got = []
+        for key, part in together.groupby(["lo", "hi", "tile"]):
+            p = neighbors._unpacked(part, ("way",))
+            got += [(*key, i, *v, w) for i, v, w in zip(p["id"], p["vec"], p["way"])]
+        assert sorted(got) == want
+    none = neighbors._unpacked(together[:0], ("way",))
+    assert list(none) == ["id", "vec", "way"] and not len(none)
+
+
 def test_norm_is_taken_once_per_row(spark):
     """Not once per component: 48 rows of 4096 components would take minutes."""
     df = spark.range(48).select("id", F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda x: (x % 7).cast("double")).alias("embedding"))
